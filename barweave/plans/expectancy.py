@@ -251,17 +251,13 @@ def ex_per_sector(t):
     return ex.metrics(labelled, ["sector"]).where(c("n_trades") >= 30).join(tickers, "sector")
 
 
-# gate configurations: everything, long only, long only with a calm gauge
-_SENS = F.array(
-    F.lit("all"),
-    F.when(c("side") == "long", "long"),
-    F.when((c("side") == "long") & (F.coalesce("vix_t", F.lit(0.0)) <= 30.0), "long, calm"),
-)
-
-
 def _sensitivity(t):
+    """Decisions under each gate configuration: everything, long only, long only with a calm gauge."""
+    long = c("side") == "long"
+    calm = F.coalesce("vix_t", F.lit(0.0)) <= 30.0
+    configs = F.array(F.lit("all"), F.when(long, "long"), F.when(long & calm, "long, calm"))
     base = _resolved(t).where(c("rr_multiple") == 2.0)
-    return base.withColumn("config", F.explode(F.array_compact(_SENS)))
+    return base.withColumn("config", F.explode(F.array_compact(configs)))
 
 
 _SENS_SQL = {
@@ -317,8 +313,8 @@ def ex_study(t):
 
 @query(
     "sink_study_json",
-    ctes(*_BASE, **_MAIN, **metrics_sql("main", ""), nn="SELECT *, row_number() OVER (ORDER BY date, ticker) AS seq, count(*) OVER () AS n FROM eq")
-    + f"SELECT {cols('seq date ticker', 'equity')} FROM nn WHERE seq % greatest(1, (n + 1) // 400) = 0",
+    ctes(*_BASE, **_MAIN, **metrics_sql("main", ""), nn="SELECT *, row_number() OVER (ORDER BY date, ticker) AS seq, count(*) OVER () AS total FROM eq")
+    + f"SELECT {cols('seq date ticker', 'equity')} FROM nn WHERE seq % greatest(1, (total + 1) // 400) = 0",
 )
 def sink_study_json(t):
     return ex.thin_equity(ex.equity(_main(t), []), []).select("seq", "date", "ticker", "equity")

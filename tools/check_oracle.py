@@ -54,6 +54,8 @@ def main() -> int:
     for name, q in qs.items():
         if a.names and name not in a.names:
             continue
+        if a.modules and q.build.__module__.rsplit(".", 1)[-1] not in a.modules.split(","):
+            continue
         t0 = time.time()
         try:
             df = q(spark, a.sf)
