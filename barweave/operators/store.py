@@ -124,3 +124,10 @@ def all_lists(lists: DataFrame) -> DataFrame:
 
 def get_list(lists: DataFrame, name: str) -> DataFrame:
     return lists.where(c("name") == name)
+
+
+def import_lists(docs: DataFrame) -> DataFrame:
+    """Lists from documents {name: {tickers, created_at}} (column ``payload``)."""
+    shape = "map<string, struct<tickers: array<string>, created_at: string>>"
+    rows = docs.select(F.explode(F.from_json("payload", shape)).alias("name", "w"))
+    return rows.select("name", "w.tickers", "w.created_at")
