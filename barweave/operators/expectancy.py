@@ -99,6 +99,7 @@ def add_execution(max_hold: int = MAX_HOLD):
     """ATR, next open and the bars of the holding window of each decision bar."""
 
     def step(df: DataFrame) -> DataFrame:
+        df = df.withColumn("_prev", F.lag("close").over(series()))
         df = df.withColumn("_tr", true_range(first_is_null=False))
         path = F.collect_list(F.struct("high", "low", "close")).over(series().rowsBetween(1, max_hold))
         return df.withColumns(
@@ -107,7 +108,7 @@ def add_execution(max_hold: int = MAX_HOLD):
                 "entry": F.lead("open").over(series()),
                 "path": path,
             }
-        ).drop("_tr")
+        ).drop("_tr", "_prev")
 
     return step
 

@@ -1,8 +1,12 @@
 """Indicator columns over a bar panel.
 
-Each ``add_*`` step adds columns to segmented bars (see ``barweave.panel``);
-``compute`` runs any choice of steps in one shuffle. Undefined values are
-null, never NaN.
+An indicator is a generator of column layers: each ``yield`` is a dict of new
+columns, and later layers may use earlier ones. ``layered`` adds the first
+layers of all chosen indicators together, then the second ones, and so on, so
+any set of indicators needs only a few window passes over one sort. Names that
+start with an underscore are intermediate and dropped at the end. Undefined
+values are null, never NaN; bars themselves hold no nulls, so a frame over
+bar columns is complete once ``seq`` reaches its length.
 """
 
 from __future__ import annotations
@@ -26,6 +30,16 @@ def pct_change(column: str, n: int = 1) -> Column:
     return div(c(column), lag(column, n)) - 1
 
 
+def ready(n: int, value: Column) -> Column:
+    """``value`` from row n on."""
+    return F.when(c("seq") >= n, value)
+
+
+def bar_mean(n: int, column: str) -> Column:
+    """Mean of a bar column over n rows."""
+    return ready(n, F.avg(column).over(last_rows(n)))
+
+
 def mean(n: int, column: str) -> Column:
     return full(n, F.avg(column).over(last_rows(n)), c(column))
 
@@ -34,201 +48,222 @@ def std(n: int, column: str) -> Column:
     return full(n, F.stddev_samp(column).over(last_rows(n)), c(column))
 
 
-def with_columns(df: DataFrame, **columns: Column) -> DataFrame:
-    return df.withColumns(columns)
+def returns():
+    yield {f"ret_{n}d": pct_change("close", n) for n in (1, 3, 5, 10, 20)}
 
 
-def add_returns(df: DataFrame) -> DataFrame:
-    return df.withColumns({f"ret_{n}d": pct_change("close", n) for n in (1, 3, 5, 10, 20)})
+def _ret():
+    return {"ret_1d": pct_change("close")}
 
 
-def add_volatility(df: DataFrame) -> DataFrame:
-    df = _ensure(df, "ret_1d", add_returns)
-    return df.withColumns({f"vol_{n}d": std(n, "ret_1d") for n in (5, 10, 20, 60)})
+def volatility():
+    yield _ret()
+    yield {f"vol_{n}d": std(n, "ret_1d") for n in (5, 10, 20, 60)}
 
 
-def add_sma(df: DataFrame) -> DataFrame:
-    return df.withColumns({f"sma_{n}": mean(n, "close") for n in (10, 20, 50, 200)})
+def sma():
+    yield {f"sma_{n}": bar_mean(n, "close") for n in (10, 20, 50, 200)}
 
 
-def add_ema(df: DataFrame) -> DataFrame:
-    return df.withColumns({f"ema_{n}": ema(c("close"), n) for n in (12, 26)})
+def emas():
+    yield {f"ema_{n}": ema(c("close"), n) for n in (12, 26)}
 
 
-def add_dist_sma(df: DataFrame) -> DataFrame:
-    df = _ensure(df, "sma_10", add_sma)
-    return df.withColumns({f"dist_sma_{n}": div(c("close") - c(f"sma_{n}"), c(f"sma_{n}")) for n in (10, 20, 50)})
+def dist_sma():
+    yield {f"sma_{n}": bar_mean(n, "close") for n in (10, 20, 50)}
+    yield {f"dist_sma_{n}": div(c("close") - c(f"sma_{n}"), c(f"sma_{n}")) for n in (10, 20, 50)}
 
 
-def add_macd(df: DataFrame) -> DataFrame:
-    df = _ensure(df, "ema_12", add_ema)
+def macd():
+    yield {f"ema_{n}": ema(c("close"), n) for n in (12, 26)}
+    yield {"macd": ready(26, c("ema_12") - c("ema_26"))}
     start = F.greatest(F.lit(26), c("_first"))
-    df = df.withColumn("macd", F.when(c("seq") >= 26, c("ema_12") - c("ema_26")))
-    df = df.withColumn("macd_signal", F.when(c("seq") >= 34, ema(c("macd"), 9, start)))
-    df = df.withColumn("macd_diff", c("macd") - c("macd_signal"))
-    return df.withColumns(
-        {"macd_norm": div(c("macd"), c("close")), "macd_diff_norm": div(c("macd_diff"), c("close"))}
-    )
+    yield {"macd_signal": ready(34, ema(c("macd"), 9, start)), "macd_norm": div(c("macd"), c("close"))}
+    yield {"macd_diff": c("macd") - c("macd_signal"), "macd_diff_norm": div(c("macd") - c("macd_signal"), c("close"))}
 
 
-def add_bollinger(df: DataFrame) -> DataFrame:
-    spread = F.stddev_pop("close").over(last_rows(20))
-    df = df.withColumns({"bb_mid": mean(20, "close"), "_bb_std": spread})
-    df = df.withColumns({"bb_high": c("bb_mid") + 2 * c("_bb_std"), "bb_low": c("bb_mid") - 2 * c("_bb_std")})
-    return df.withColumns(
-        {
-            "bb_width": div(c("bb_high") - c("bb_low"), c("bb_mid")),
-            "bb_pct": div(c("close") - c("bb_low"), c("bb_high") - c("bb_low")),
-        }
-    ).drop("_bb_std")
+def bollinger():
+    yield {"bb_mid": bar_mean(20, "close"), "_bb_std": F.stddev_pop("close").over(last_rows(20))}
+    yield {"bb_high": c("bb_mid") + 2 * c("_bb_std"), "bb_low": c("bb_mid") - 2 * c("_bb_std")}
+    yield {
+        "bb_width": div(c("bb_high") - c("bb_low"), c("bb_mid")),
+        "bb_pct": div(c("close") - c("bb_low"), c("bb_high") - c("bb_low")),
+    }
 
 
 def true_range(first_is_null: bool) -> Column:
-    """Largest of high-low and the gaps to the previous close."""
-    prev = lag("close")
-    spread = F.greatest(c("high") - c("low"), F.abs(c("high") - prev), F.abs(c("low") - prev))
-    return F.when(prev.isNotNull(), spread) if first_is_null else spread
-
-
-def add_atr(df: DataFrame) -> DataFrame:
-    df = df.withColumn("_tr", true_range(first_is_null=False))
-    seed = F.when(c("_first") == 1, F.avg("_tr").over(last_rows(14))).otherwise(c("_tr"))
-    df = df.withColumn("atr", wilder(c("_tr"), 14, F.greatest(F.lit(14), c("_first")), seed))
-    return df.withColumn("atr_pct", div(c("atr"), c("close"))).drop("_tr")
-
-
-def add_adx(df: DataFrame) -> DataFrame:
-    up, down = c("high") - lag("high"), lag("low") - c("low")
-    df = df.withColumns({"_up": up, "_down": down, "_tr": true_range(first_is_null=True)})
-    df = df.withColumns(
-        {
-            "_pdm": F.when((c("_up") > c("_down")) & (c("_up") > 0), c("_up")).otherwise(0.0),
-            "_mdm": F.when((c("_down") > c("_up")) & (c("_down") > 0), c("_down")).otherwise(0.0),
-        }
-    )
+    """Largest of high-low and the gaps to the previous close (``_prev``)."""
+    spread = F.greatest(c("high") - c("low"), F.abs(c("high") - c("_prev")), F.abs(c("low") - c("_prev")))
+    return F.when(c("_prev").isNotNull(), spread) if first_is_null else spread
+
+
+def _prev():
+    return {"_prev": lag("close")}
+
+
+def atr():
+    yield _prev()
+    yield {"_tr": true_range(first_is_null=False)}
+    yield {"_tr_seed": F.when(c("_first") == 1, F.avg("_tr").over(last_rows(14))).otherwise(c("_tr"))}
+    yield {"atr": wilder(c("_tr"), 14, F.greatest(F.lit(14), c("_first")), c("_tr_seed"))}
+    yield {"atr_pct": div(c("atr"), c("close"))}
+
+
+def adx():
+    yield {**_prev(), "_up": c("high") - lag("high"), "_down": lag("low") - c("low")}
+    up, down = c("_up"), c("_down")
+    yield {
+        "_dm_tr": true_range(first_is_null=True),
+        "_pdm": F.when((up > down) & (up > 0), up).otherwise(0.0),
+        "_mdm": F.when((down > up) & (down > 0), down).otherwise(0.0),
+    }
+    parts = ("_dm_tr", "_pdm", "_mdm")
+    yield {
+        f"{x}_seed": F.when(c("_first") == 1, F.avg(x).over(last_rows(14))).otherwise(F.coalesce(c(x), F.lit(0.0)))
+        for x in parts
+    }
     start = F.greatest(F.lit(15), c("_first"))
+    yield {f"{x}_avg": wilder(c(x), 14, start, c(f"{x}_seed")) for x in parts}
+    tr, p, m = c("_dm_tr_avg"), c("_pdm_avg"), c("_mdm_avg")
+    yield {"_dx": F.when(tr.isNotNull(), F.coalesce(div(F.abs(p - m), p + m), F.lit(0.0)) * 100)}
+    yield {"_dx_seed": F.when(c("_first") == 1, F.avg("_dx").over(last_rows(14))).otherwise(c("_dx"))}
+    yield {"adx": wilder(c("_dx"), 14, F.greatest(F.lit(28), c("_first")), c("_dx_seed"))}
 
-    def smooth(name: str) -> Column:
-        seed = F.when(c("_first") == 1, F.avg(name).over(last_rows(14))).otherwise(F.coalesce(c(name), F.lit(0.0)))
-        return wilder(c(name), 14, start, seed)
 
-    df = df.withColumns({"_str": smooth("_tr"), "_sp": smooth("_pdm"), "_sm": smooth("_mdm")})
-    p, m = div(c("_sp"), c("_str")), div(c("_sm"), c("_str"))
-    df = df.withColumn("_dx", F.when(c("_str").isNotNull(), F.coalesce(div(F.abs(p - m), p + m), F.lit(0.0)) * 100))
-    seed = F.when(c("_first") == 1, F.avg("_dx").over(last_rows(14))).otherwise(c("_dx"))
-    df = df.withColumn("adx", wilder(c("_dx"), 14, F.greatest(F.lit(28), c("_first")), seed))
-    return df.drop("_up", "_down", "_tr", "_pdm", "_mdm", "_str", "_sp", "_sm", "_dx")
+def _high_low(n: int) -> dict:
+    return {
+        f"_hh{n}": ready(n, F.max("high").over(last_rows(n))),
+        f"_ll{n}": ready(n, F.min("low").over(last_rows(n))),
+    }
 
 
-def _high_low(n: int) -> tuple[Column, Column]:
-    return (
-        full(n, F.max("high").over(last_rows(n)), c("high")),
-        full(n, F.min("low").over(last_rows(n)), c("low")),
-    )
+def stochastic():
+    yield _high_low(14)
+    yield {"stoch_k": div(c("close") - c("_ll14"), c("_hh14") - c("_ll14")) * 100}
+    yield {"stoch_d": mean(3, "stoch_k")}
 
 
-def add_stochastic(df: DataFrame) -> DataFrame:
-    high, low = _high_low(14)
-    df = df.withColumn("stoch_k", div(c("close") - low, high - low) * 100)
-    return df.withColumn("stoch_d", mean(3, "stoch_k"))
+def williams_r():
+    yield _high_low(14)
+    yield {"williams_r": div(c("_hh14") - c("close"), c("_hh14") - c("_ll14")) * -100}
 
 
-def add_williams_r(df: DataFrame) -> DataFrame:
-    high, low = _high_low(14)
-    return df.withColumn("williams_r", div(high - c("close"), high - low) * -100)
+def cci():
+    tp = (c("high") + c("low") + c("close")) / 3
+    yield {"_tp": tp, "_tp_mean": ready(20, F.avg(tp).over(last_rows(20))), "_tps": F.collect_list(tp).over(last_rows(20))}
+    deviations = F.transform("_tps", lambda x: F.abs(x - c("_tp_mean")))
+    yield {"_mad": F.aggregate(deviations, F.lit(0.0), lambda acc, x: acc + x) / 20}
+    yield {"cci": div(c("_tp") - c("_tp_mean"), c("_mad") * 0.015)}
 
 
-def add_cci(df: DataFrame) -> DataFrame:
-    df = df.withColumn("_tp", (c("high") + c("low") + c("close")) / 3)
-    df = df.withColumns({"_tp_mean": mean(20, "_tp"), "_tps": F.collect_list("_tp").over(last_rows(20))})
-    deviations = F.transform("_tps", lambda x: F.abs(x - c("_tp_mean")))
-    mad = F.aggregate(deviations, F.lit(0.0), lambda acc, x: acc + x) / 20
-    return df.withColumn("cci", div(c("_tp") - c("_tp_mean"), mad * 0.015)).drop("_tp", "_tp_mean", "_tps")
+def rsi():
+    yield _prev()
+    move = c("close") - c("_prev")
+    yield {"_g": F.when(move > 0, move).otherwise(0.0), "_l": F.when(move < 0, -move).otherwise(0.0)}
+    yield {"_gain": wilder(c("_g"), 14, c("_first"), c("_g")), "_loss": wilder(c("_l"), 14, c("_first"), c("_l"))}
+    value = F.when(c("_loss") == 0, 100.0).otherwise(100 - 100 / (1 + div(c("_gain"), c("_loss"))))
+    yield {"rsi": ready(14, value)}
 
 
-def add_rsi(df: DataFrame) -> DataFrame:
-    df = df.withColumn("_d", c("close") - lag("close"))
-    gain = F.when(c("_d") > 0, c("_d")).otherwise(0.0)
-    loss = F.when(c("_d") < 0, -c("_d")).otherwise(0.0)
-    df = df.withColumns({"_gain": wilder(gain, 14, c("_first"), gain), "_loss": wilder(loss, 14, c("_first"), loss)})
-    rsi = F.when(c("_loss") == 0, 100.0).otherwise(100 - 100 / (1 + div(c("_gain"), c("_loss"))))
-    return df.withColumn("rsi", F.when(c("seq") >= 14, rsi)).drop("_d", "_gain", "_loss")
+def obv_ratio():
+    """On-balance volume against 20-row volume; ``obv`` comes from ``with_obv``."""
+    yield {"_vol_sum_20": ready(20, F.sum("volume").over(last_rows(20)))}
+    yield {"obv_ratio_20d": div(c("obv"), c("_vol_sum_20"))}
 
 
-def add_obv_flow(df: DataFrame) -> DataFrame:
-    """Signed volume of one bar; ``obv`` is its running sum."""
-    flow = F.when(c("close") < lag("close"), -c("volume")).otherwise(c("volume"))
-    return df.withColumns(
-        {"obv_flow": flow, "_vol_sum_20": full(20, F.sum("volume").over(last_rows(20)), c("volume"))}
-    )
+def vwap():
+    tpv = (c("high") + c("low") + c("close")) / 3 * c("volume")
+    yield {"vwap": ready(14, div(F.sum(tpv).over(last_rows(14)), F.sum("volume").over(last_rows(14))))}
+    yield {"dist_vwap": div(c("close") - c("vwap"), c("vwap"))}
 
 
-def accumulate_obv(df: DataFrame) -> DataFrame:
-    """On-balance volume from the flows, as a two-level running sum."""
-    df = panel.running(df, ["ticker"], ["seq"], "seg", obv=("sum", "obv_flow"))
-    return df.withColumn("obv_ratio_20d", div(c("obv"), c("_vol_sum_20"))).drop("obv_flow", "_vol_sum_20")
+def volume():
+    yield {"volume_sma_20": bar_mean(20, "volume"), "volume_roc": pct_change("volume", 5)}
+    yield {"volume_ratio": div(c("volume"), c("volume_sma_20"))}
 
 
-def add_vwap(df: DataFrame) -> DataFrame:
-    tp = (c("high") + c("low") + c("close")) / 3
-    df = df.withColumn("_tpv", tp * c("volume"))
-    vwap = div(F.sum("_tpv").over(last_rows(14)), F.sum("volume").over(last_rows(14)))
-    df = df.withColumn("vwap", full(14, vwap, c("_tpv")))
-    return df.withColumn("dist_vwap", div(c("close") - c("vwap"), c("vwap"))).drop("_tpv")
+def momentum():
+    yield {f"momentum_{n}": pct_change("close", n) for n in (5, 10, 20)}
 
 
-def add_volume(df: DataFrame) -> DataFrame:
-    df = df.withColumn("volume_sma_20", mean(20, "volume"))
-    return df.withColumns(
-        {"volume_ratio": div(c("volume"), c("volume_sma_20")), "volume_roc": pct_change("volume", 5)}
-    )
+def lag_returns():
+    yield _ret()
+    yield {f"lag_ret_{n}": lag("ret_1d", n) for n in (1, 2, 3, 5, 10)}
 
 
-def add_momentum(df: DataFrame) -> DataFrame:
-    return df.withColumns({f"momentum_{n}": pct_change("close", n) for n in (5, 10, 20)})
+def range20():
+    yield {"high_20d": ready(20, F.max("high").over(last_rows(20))), "low_20d": ready(20, F.min("low").over(last_rows(20)))}
+    yield {"range_20d": div(c("high_20d") - c("low_20d"), c("close"))}
 
 
-def add_lag_returns(df: DataFrame) -> DataFrame:
-    df = _ensure(df, "ret_1d", add_returns)
-    return df.withColumns({f"lag_ret_{n}": lag("ret_1d", n) for n in (1, 2, 3, 5, 10)})
+def median20():
+    yield {"_closes": F.array_sort(F.collect_list("close").over(last_rows(20)))}
+    yield {"median_20d": ready(20, (F.get("_closes", F.lit(9)) + F.get("_closes", F.lit(10))) / 2)}
 
 
-def add_range20(df: DataFrame) -> DataFrame:
-    high, low = _high_low(20)
-    df = df.withColumns({"high_20d": high, "low_20d": low})
-    return df.withColumn("range_20d", div(c("high_20d") - c("low_20d"), c("close")))
+def candle():
+    body = F.abs(c("close") - c("open"))
+    yield {
+        "body": body,
+        "upper_shadow": c("high") - F.greatest("close", "open"),
+        "lower_shadow": F.least("close", "open") - c("low"),
+        "total_range": c("high") - c("low"),
+        "body_pct": div(body, c("high") - c("low")),
+    }
 
 
-def add_median20(df: DataFrame) -> DataFrame:
-    ordered = F.array_sort(F.collect_list("close").over(last_rows(20)))
-    middle = (F.get(ordered, F.lit(9)) + F.get(ordered, F.lit(10))) / 2
-    return df.withColumn("median_20d", full(20, middle, c("close")))
+def calendar():
+    day = F.dayofmonth("date")
+    yield {
+        "day_of_week": F.weekday("date"),
+        "month": F.month("date"),
+        "quarter": F.quarter("date"),
+        "day_of_month": day,
+        "is_month_end": (day > 25).cast("int"),
+        "is_month_start": (day <= 5).cast("int"),
+    }
 
 
-def add_candle(df: DataFrame) -> DataFrame:
-    df = df.withColumns(
-        {
-            "body": F.abs(c("close") - c("open")),
-            "upper_shadow": c("high") - F.greatest("close", "open"),
-            "lower_shadow": F.least("close", "open") - c("low"),
-            "total_range": c("high") - c("low"),
-        }
-    )
-    return df.withColumn("body_pct", div(c("body"), c("total_range")))
+def market_corr():
+    """20-row correlation of the own return with ``market_ret_1d``."""
+    yield _ret()
+    both = c("ret_1d").isNotNull() & c("market_ret_1d").isNotNull()
+    yield {"_own": F.when(both, c("ret_1d")), "_mkt": F.when(both, c("market_ret_1d"))}
+    w = last_rows(20)
+    # corr() raises on a flat frame, so divide the covariance null-safely
+    corr = div(F.covar_pop("_own", "_mkt").over(w), F.stddev_pop("_own").over(w) * F.stddev_pop("_mkt").over(w))
+    yield {"market_corr_20d": full(20, corr, c("_own"))}
 
 
-def add_calendar(df: DataFrame) -> DataFrame:
-    day = F.dayofmonth("date")
-    return df.withColumns(
-        {
-            "day_of_week": F.weekday("date"),
-            "month": F.month("date"),
-            "quarter": F.quarter("date"),
-            "day_of_month": day,
-            "is_month_end": (day > 25).cast("int"),
-            "is_month_start": (day <= 5).cast("int"),
-        }
-    )
+def layered(*indicators):
+    """A step that adds the columns of ``indicators``, layer by layer."""
+
+    def step(df: DataFrame) -> DataFrame:
+        kept = [x for x in df.columns]
+        running = [i() for i in indicators]
+        while running:
+            layer, alive = {}, []
+            for gen in running:
+                columns = next(gen, None)
+                if columns is not None:
+                    layer.update(columns)
+                    alive.append(gen)
+            if layer:
+                df = df.withColumns({k: v for k, v in layer.items() if k not in df.columns})
+            running = alive
+        return df.drop(*[x for x in df.columns if x.startswith("_") and x not in kept])
+
+    return step
+
+
+def with_obv(bars: DataFrame, rows: int = panel.SEGMENT_ROWS) -> DataFrame:
+    """On-balance volume: volume counts as negative when the close falls.
+
+    The running sum covers the whole history, so it is taken in two levels.
+    """
+    flow = F.when(c("close") < lag("close"), -c("volume")).otherwise(c("volume"))
+    signed = panel.windowed(bars, [lambda d: d.withColumn("_flow", flow)], back=1, rows=rows)
+    return panel.running(signed, ["ticker"], ["seq"], "seg", obv=("sum", "_flow")).drop("_flow")
 
 
 # --- market context -------------------------------------------------------
@@ -241,8 +276,10 @@ def market_context(market: DataFrame) -> DataFrame:
     df = panel.windowed(
         panel.sequence(market.withColumn("ticker", F.lit("index"))),
         [
-            lambda d: d.withColumns({"market_ret_1d": pct_change("close"), "market_ret_5d": pct_change("close", 5)}),
-            lambda d: d.withColumns({"_sma": mean(20, "close"), "market_vol_20d": std(20, "market_ret_1d")}),
+            lambda d: d.withColumns(
+                {"market_ret_1d": pct_change("close"), "market_ret_5d": pct_change("close", 5), "_sma": bar_mean(20, "close")}
+            ),
+            lambda d: d.withColumn("market_vol_20d", std(20, "market_ret_1d")),
         ],
         back=20,
     )
@@ -279,21 +316,9 @@ def join_context(df: DataFrame, market: DataFrame | None = None, vix: DataFrame
     return df
 
 
-def add_market_corr(df: DataFrame) -> DataFrame:
-    """20-row correlation of the own return with ``market_ret_1d``."""
-    df = _ensure(df, "ret_1d", add_returns)
-    both = c("ret_1d").isNotNull() & c("market_ret_1d").isNotNull()
-    df = df.withColumns({"_own": F.when(both, c("ret_1d")), "_mkt": F.when(both, c("market_ret_1d"))})
-    w = last_rows(20)
-    # corr() raises on a flat frame, so divide the covariance null-safely
-    corr = div(F.covar_pop("_own", "_mkt").over(w), F.stddev_pop("_own").over(w) * F.stddev_pop("_mkt").over(w))
-    return df.withColumn("market_corr_20d", full(20, corr, c("_own"))).drop("_own", "_mkt")
-
-
-ALL_STEPS = [
-    add_returns, add_volatility, add_sma, add_ema, add_dist_sma, add_macd, add_bollinger, add_atr, add_adx,
-    add_stochastic, add_williams_r, add_cci, add_rsi, add_obv_flow, add_vwap, add_volume, add_momentum,
-    add_lag_returns, add_range20, add_median20, add_candle, add_calendar,
+ALL = [
+    returns, volatility, sma, emas, dist_sma, macd, bollinger, atr, adx, stochastic, williams_r, cci, rsi, obv_ratio, vwap,
+    volume, momentum, lag_returns, range20, median20, candle, calendar,
 ]
 
 # Scale-free inputs of the ensemble and of the small model.
@@ -317,10 +342,11 @@ BASIC_FEATURES = [
 ]
 
 
-def compute(bars: DataFrame, steps: list, rows: int = panel.SEGMENT_ROWS) -> DataFrame:
-    """Add the columns of ``steps`` to sequenced bars."""
-    out = panel.windowed(bars, steps, back=panel.WARMUP_ROWS, rows=rows)
-    return accumulate_obv(out) if add_obv_flow in steps else out
+def compute(bars: DataFrame, indicators: list, rows: int = panel.SEGMENT_ROWS) -> DataFrame:
+    """Add the columns of ``indicators`` to sequenced bars."""
+    if obv_ratio in indicators:
+        bars = with_obv(bars, rows)
+    return panel.windowed(bars, [layered(*indicators)], back=panel.WARMUP_ROWS, rows=rows)
 
 
 def compute_all(
@@ -330,10 +356,8 @@ def compute_all(
     rows: int = panel.SEGMENT_ROWS,
 ) -> DataFrame:
     """Every indicator; context columns only when the context is given."""
-    steps = list(ALL_STEPS)
-    if market is not None:
-        steps.append(add_market_corr)
-    return compute(join_context(bars, market, vix), steps, rows)
+    indicators = ALL if market is None else [*ALL, market_corr]
+    return compute(join_context(bars, market, vix), indicators, rows)
 
 
 def chart_overlays(bars: DataFrame, days: int = 260) -> DataFrame:
@@ -356,7 +380,3 @@ def chart_overlays(bars: DataFrame, days: int = 260) -> DataFrame:
         F.when(enough, sma + 2 * dev).alias("bb_upper"),
         F.when(enough, sma - 2 * dev).alias("bb_lower"),
     )
-
-
-def _ensure(df: DataFrame, column: str, step) -> DataFrame:
-    return df if column in df.columns else step(df)

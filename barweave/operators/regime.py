@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from barweave import panel
 from barweave.functions.exprs import div, text1
-from barweave.operators.features import full, lag, last_rows, pct_change, std, true_range
+from barweave.operators.features import full, lag, last_rows, layered, pct_change, std, true_range
 
 c = F.col
 
@@ -22,17 +22,18 @@ RANGE_ATR_CAUTION = 3.0
 MIN_HISTORY = 20
 
 
-def add_simple_atr(df: DataFrame) -> DataFrame:
+def simple_atr():
     """14-bar simple mean of the true range; the first true range is unknown."""
-    df = df.withColumns({"_tr": true_range(first_is_null=True), "prev_close": lag("close")})
-    return df.withColumn("atr_sma", full(14, F.avg("_tr").over(last_rows(14)), c("_tr"))).drop("_tr")
+    yield {"_prev": lag("close")}
+    yield {"_tr_null": true_range(first_is_null=True)}
+    yield {"atr_sma": full(14, F.avg("_tr_null").over(last_rows(14)), c("_tr_null"))}
 
 
-def add_range_and_gap(df: DataFrame) -> DataFrame:
+def range_and_gap():
+    """Day range and opening gap in units of ``atr_sma``."""
+    yield from simple_atr()
     atr = F.when(c("atr_sma") > 0, c("atr_sma"))
-    return df.withColumns(
-        {"range_atr": div(c("high") - c("low"), atr), "gap_atr": div(F.abs(c("open") - c("prev_close")), atr)}
-    )
+    yield {"range_atr": div(c("high") - c("low"), atr), "gap_atr": div(F.abs(c("open") - c("_prev")), atr)}
 
 
 def vix_scores(vix: DataFrame) -> DataFrame:
@@ -105,7 +106,7 @@ def add_reasons(df: DataFrame) -> DataFrame:
 
 def regimes(bars: DataFrame, vix: DataFrame, rows: int = panel.SEGMENT_ROWS) -> DataFrame:
     """The regime of every bar."""
-    measured = panel.windowed(bars, [add_simple_atr, add_range_and_gap], back=16, rows=rows)
+    measured = panel.windowed(bars, [layered(range_and_gap)], back=16, rows=rows)
     return classify(join_vix_asof(measured, vix))
 
 

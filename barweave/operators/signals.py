@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from barweave import panel
 from barweave.functions.exprs import div
 from barweave.operators import levels, regime
-from barweave.operators.features import add_atr, mean
+from barweave.operators.features import atr, layered, volume
 
 c = F.col
 
@@ -53,12 +53,7 @@ def latest(df: DataFrame) -> DataFrame:
 
 def measured(bars: DataFrame, vix: DataFrame, rows: int = panel.SEGMENT_ROWS) -> DataFrame:
     """Bars with both ATR flavours, volume ratio and regime."""
-    steps = [
-        add_atr,
-        regime.add_simple_atr,
-        regime.add_range_and_gap,
-        lambda d: d.withColumn("volume_ratio", div(c("volume"), mean(20, "volume"))),
-    ]
+    steps = [layered(atr, regime.range_and_gap, volume)]
     out = panel.windowed(bars, steps, back=panel.WARMUP_ROWS, rows=rows)
     usable = F.coalesce(F.when(c("atr") > 0, c("atr")), F.when((c("seq") > 20) & (c("atr_sma") > 0), c("atr_sma")))
     return regime.classify(regime.join_vix_asof(out.withColumn("atr", usable), vix))

@@ -32,19 +32,19 @@ def _pct(column: str, n: int, alias: str) -> str:
 
 
 indicator(
-    "f_returns", f.add_returns, "ret_1d ret_3d ret_5d ret_10d ret_20d",
+    "f_returns", f.returns, "ret_1d ret_3d ret_5d ret_10d ret_20d",
     ", ".join(_pct("close", n, f"ret_{n}d") for n in (1, 3, 5, 10, 20)),
 )
 indicator(
-    "f_volatility", f.add_volatility, "vol_5d vol_10d vol_20d vol_60d",
+    "f_volatility", f.volatility, "vol_5d vol_10d vol_20d vol_60d",
     ", ".join(f"{full(n, 'stddev_samp(ret_1d)', 'ret_1d')} AS vol_{n}d" for n in (5, 10, 20, 60)), "rets",
 )
 _SMA = ", ".join(f"{full(n, 'avg(close)', 'close')} AS sma_{n}" for n in (10, 20, 50, 200))
-indicator("f_sma", f.add_sma, "sma_10 sma_20 sma_50 sma_200", _SMA)
+indicator("f_sma", f.sma, "sma_10 sma_20 sma_50 sma_200", _SMA)
 _EMA = ", ".join(f"{decayed('close', 2 / (n + 1), '(seq - 1)')} AS ema_{n}" for n in (12, 26))
-indicator("f_ema", f.add_ema, "ema_12 ema_26", _EMA)
+indicator("f_ema", f.emas, "ema_12 ema_26", _EMA)
 indicator(
-    "f_dist_sma", f.add_dist_sma, "dist_sma_10 dist_sma_20 dist_sma_50",
+    "f_dist_sma", f.dist_sma, "dist_sma_10 dist_sma_20 dist_sma_50",
     ", ".join(f"(close - sma_{n}) / sma_{n} AS dist_sma_{n}" for n in (10, 20, 50)),
     sma=f"SELECT *, {_SMA} FROM bars",
 )
@@ -54,17 +54,17 @@ _MACD = {
     "sig": f"SELECT *, CASE WHEN seq >= 34 THEN {decayed('macd', 0.2, '(seq - 26)')} END AS macd_signal FROM line",
 }
 indicator(
-    "f_macd", f.add_macd, "macd macd_signal macd_diff macd_norm macd_diff_norm",
+    "f_macd", f.macd, "macd macd_signal macd_diff macd_norm macd_diff_norm",
     "macd - macd_signal AS macd_diff, macd / close AS macd_norm, (macd - macd_signal) / close AS macd_diff_norm",
     **_MACD,
 )
 indicator(
-    "f_bollinger", f.add_bollinger, "bb_mid bb_high bb_low bb_width bb_pct",
+    "f_bollinger", f.bollinger, "bb_mid bb_high bb_low bb_width bb_pct",
     "mid AS bb_mid, mid + 2 * sd AS bb_high, mid - 2 * sd AS bb_low, 4 * sd / mid AS bb_width, "
     "(close - mid + 2 * sd) / nullif(4 * sd, 0) AS bb_pct",
     mid=f"SELECT *, {full(20, 'avg(close)', 'close')} AS mid, {full(20, 'stddev_pop(close)', 'close')} AS sd FROM bars",
 )
-indicator("f_atr", f.add_atr, "atr atr_pct", "atr / close AS atr_pct", "atrs")
+indicator("f_atr", f.atr, "atr atr_pct", "atr / close AS atr_pct", "atrs")
 _ADX = {
     "moves": f"SELECT *, high - lag(high) OVER ({W}) AS up, lag(low) OVER ({W}) - low AS down FROM tr",
     "dm": "SELECT *, CASE WHEN up > down AND up > 0 THEN up ELSE 0 END AS pdm, "
@@ -76,58 +76,58 @@ _ADX = {
     "coalesce(abs(s_pdm - s_mdm) / nullif(s_pdm + s_mdm, 0), 0) * 100 END AS dx FROM smooth",
     "dx14": f"SELECT *, {full(14, 'avg(dx)', 'dx')} AS seed_dx FROM dx",
 }
-indicator("f_adx", f.add_adx, "adx", f"{decayed('dx', 1 / 14, '(seq - 28)', 'seed_dx')} AS adx", "tr", **_ADX)
+indicator("f_adx", f.adx, "adx", f"{decayed('dx', 1 / 14, '(seq - 28)', 'seed_dx')} AS adx", "tr", **_ADX)
 _HL14 = f"SELECT *, {full(14, 'max(high)', 'high')} AS hh, {full(14, 'min(low)', 'low')} AS ll FROM bars"
 indicator(
-    "f_stochastic", f.add_stochastic, "stoch_k stoch_d", f"{full(3, 'avg(stoch_k)', 'stoch_k')} AS stoch_d",
+    "f_stochastic", f.stochastic, "stoch_k stoch_d", f"{full(3, 'avg(stoch_k)', 'stoch_k')} AS stoch_d",
     hl=_HL14, k="SELECT *, 100 * (close - ll) / nullif(hh - ll, 0) AS stoch_k FROM hl",
 )
 indicator(
-    "f_williams_r", f.add_williams_r, "williams_r", "-100 * (hh - close) / nullif(hh - ll, 0) AS williams_r", hl=_HL14
+    "f_williams_r", f.williams_r, "williams_r", "-100 * (hh - close) / nullif(hh - ll, 0) AS williams_r", hl=_HL14
 )
 indicator(
-    "f_cci", f.add_cci, "cci", "(tp - m) / nullif(0.015 * mad, 0) AS cci",
+    "f_cci", f.cci, "cci", "(tp - m) / nullif(0.015 * mad, 0) AS cci",
     tps="SELECT *, (high + low + close) / 3 AS tp FROM bars",
     mean=f"SELECT *, {full(20, 'avg(tp)', 'tp')} AS m, "
     f"{full(20, 'list(tp)', 'tp')} AS l FROM tps",
     mads="SELECT *, list_avg(list_transform(l, lambda x: abs(x - m))) AS mad FROM mean",
 )
 indicator(
-    "f_rsi", f.add_rsi, "rsi",
+    "f_rsi", f.rsi, "rsi",
     "CASE WHEN seq >= 14 THEN CASE WHEN dn = 0 THEN 100 ELSE 100 - 100 / (1 + up / dn) END END AS rsi",
     "rets",
     moves="SELECT *, greatest(coalesce(close - prev_close, 0), 0) AS g, greatest(coalesce(prev_close - close, 0), 0) AS l FROM rets",
     avgs=f"SELECT *, {decayed('g', 1 / 14, '(seq - 1)')} AS up, {decayed('l', 1 / 14, '(seq - 1)')} AS dn FROM moves",
 )
 indicator(
-    "f_vwap", f.add_vwap, "vwap dist_vwap", "(close - vwap) / vwap AS dist_vwap",
+    "f_vwap", f.vwap, "vwap dist_vwap", "(close - vwap) / vwap AS dist_vwap",
     v=f"SELECT *, {full(14, 'sum((high + low + close) / 3 * volume)', 'volume')} / {full(14, 'sum(volume)', 'volume')} AS vwap FROM bars",
 )
 indicator(
-    "f_volume", f.add_volume, "volume_sma_20 volume_ratio volume_roc",
+    "f_volume", f.volume, "volume_sma_20 volume_ratio volume_roc",
     f"volume / volume_sma_20 AS volume_ratio, {_pct('volume', 5, 'volume_roc')}",
     v=f"SELECT *, {full(20, 'avg(volume)', 'volume')} AS volume_sma_20 FROM bars",
 )
 indicator(
-    "f_momentum", f.add_momentum, "momentum_5 momentum_10 momentum_20",
+    "f_momentum", f.momentum, "momentum_5 momentum_10 momentum_20",
     ", ".join(_pct("close", n, f"momentum_{n}") for n in (5, 10, 20)),
 )
 indicator(
-    "f_lag_returns", f.add_lag_returns, "lag_ret_1 lag_ret_2 lag_ret_3 lag_ret_5 lag_ret_10",
+    "f_lag_returns", f.lag_returns, "lag_ret_1 lag_ret_2 lag_ret_3 lag_ret_5 lag_ret_10",
     ", ".join(f"lag(ret_1d, {n}) OVER ({W}) AS lag_ret_{n}" for n in (1, 2, 3, 5, 10)), "rets",
 )
 indicator(
-    "f_range20", f.add_range20, "high_20d low_20d range_20d", "(high_20d - low_20d) / close AS range_20d",
+    "f_range20", f.range20, "high_20d low_20d range_20d", "(high_20d - low_20d) / close AS range_20d",
     r=f"SELECT *, {full(20, 'max(high)', 'high')} AS high_20d, {full(20, 'min(low)', 'low')} AS low_20d FROM bars",
 )
-indicator("f_median20", f.add_median20, "median_20d", f"{full(20, 'median(close)', 'close')} AS median_20d")
+indicator("f_median20", f.median20, "median_20d", f"{full(20, 'median(close)', 'close')} AS median_20d")
 indicator(
-    "f_candle", f.add_candle, "body upper_shadow lower_shadow total_range body_pct",
+    "f_candle", f.candle, "body upper_shadow lower_shadow total_range body_pct",
     "abs(close - open) AS body, high - greatest(open, close) AS upper_shadow, least(open, close) - low AS lower_shadow, "
     "high - low AS total_range, abs(close - open) / nullif(high - low, 0) AS body_pct",
 )
 indicator(
-    "f_calendar", f.add_calendar, "", 
+    "f_calendar", f.calendar, "", 
     "CAST(isodow(date) - 1 AS INTEGER) AS day_of_week, CAST(month(date) AS INTEGER) AS month, "
     "CAST(quarter(date) AS INTEGER) AS quarter, CAST(day(date) AS INTEGER) AS day_of_month, "
     "CAST(day(date) > 25 AS INTEGER) AS is_month_end, CAST(day(date) <= 5 AS INTEGER) AS is_month_start",
@@ -142,7 +142,7 @@ indicator(
     + f"SELECT {cols('ticker date', 'obv obv_ratio_20d')} FROM out",
 )
 def f_obv(t):
-    return f.compute(t.bars, [f.add_obv_flow]).select("ticker", "date", "obv", "obv_ratio_20d")
+    return f.compute(t.bars, [f.obv_ratio]).select("ticker", "date", "obv", "obv_ratio_20d")
 
 
 _MARKET_CTX = {
@@ -192,7 +192,7 @@ _W20 = f"({W} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"
 )
 def f_ctx_corr(t):
     joined = f.join_context(t.bars, market=t.market)
-    return f.compute(joined, [f.add_market_corr]).select("ticker", "date", "market_corr_20d")
+    return f.compute(joined, [f.market_corr]).select("ticker", "date", "market_corr_20d")
 
 
 @query("f_all")
@@ -284,7 +284,7 @@ _PREP = ["ret_20d", "vol_60d", "dist_sma_50", "volume_ratio"]
 
 
 def _prepared(t):
-    df = f.compute(t.bars, [f.add_returns, f.add_volatility, f.add_dist_sma, f.add_volume])
+    df = f.compute(t.bars, [f.returns, f.volatility, f.dist_sma, f.volume])
     return targets.drop_incomplete(panel.windowed(df, [targets.add_direction()], ahead=1), _PREP)
 
 

@@ -257,7 +257,7 @@ def sc_holding(t):
     + f"SELECT {cols('ticker decision', 'stop_loss take_profit reward_risk')} FROM o2",
 )
 def sc_stop_take(t):
-    atr = f.compute(t.bars, [f.add_atr]).select("ticker", "date", "atr")
+    atr = f.compute(t.bars, [f.atr]).select("ticker", "date", "atr")
     joined = _horizons(t).join(atr, ["ticker", "date"], "left")
     return sc.add_stop_take(joined).select("ticker", "decision", "stop_loss", "take_profit", "reward_risk")
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from barweave import panel
 from barweave.operators import levels, regime, screener, signals, store
+from barweave.operators.features import layered
 from barweave.plans.registry import query
 from barweave.plans.sqlparts import W, cols, ctes
 
@@ -16,11 +17,11 @@ c = F.col
 
 @query("rg_atr_sma", ctes("atrs") + f"SELECT {cols('ticker date', 'atr_sma')} FROM atrs")
 def rg_atr_sma(t):
-    return panel.windowed(t.bars, [regime.add_simple_atr], back=16).select("ticker", "date", "atr_sma")
+    return panel.windowed(t.bars, [layered(regime.simple_atr)], back=16).select("ticker", "date", "atr_sma")
 
 
 def _measures(t):
-    return panel.windowed(t.bars, [regime.add_simple_atr, regime.add_range_and_gap], back=16)
+    return panel.windowed(t.bars, [layered(regime.range_and_gap)], back=16)
 
 
 @query("rg_range_atr", ctes("reg0") + f"SELECT {cols('ticker date', 'range_atr')}, coalesce(range_atr >= 3, false) AS is_caution FROM reg0")
