@@ -107,8 +107,7 @@ def drawdowns(df: DataFrame, keys: list[str], order: list, bucket: str, value: s
     The peak starts at the first point of the curve, not at 1.
     """
     grown = df.withColumn("_growth", c(value) + 1)
-    curve = panel.running(grown, keys, order, bucket, curve=("product", "_growth"))
-    curve = panel.running(curve, keys, order, bucket, peak=("max", "curve"))
+    curve = panel.compounded(grown, keys, order, bucket, "_growth")
     return curve.withColumn("drawdown", div(c("curve"), c("peak")) - 1).drop("_growth")
 
 

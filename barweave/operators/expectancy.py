@@ -300,10 +300,8 @@ def max_concurrent(df: DataFrame, keys: list[str], limit: int, one_per_ticker: b
 def equity(trades: DataFrame, keys: list[str], risk: float = RISK_PER_TRADE) -> DataFrame:
     """Compounded equity in (date, ticker) order, with its running peak (at least 1)."""
     grown = trades.withColumns({"_growth": c("r") * risk + 1, "_month": F.trunc("date", "month")})
-    order = ["date", "ticker"]
-    curve = panel.running(grown, keys, order, "_month", equity=("product", "_growth"))
-    curve = panel.running(curve, keys, order, "_month", peak=("max", "equity"))
-    curve = curve.withColumn("peak", F.greatest("peak", F.lit(1.0)))
+    curve = panel.compounded(grown, keys, ["date", "ticker"], "_month", "_growth")
+    curve = curve.withColumnRenamed("curve", "equity").withColumn("peak", F.greatest("peak", F.lit(1.0)))
     return curve.withColumn("drawdown", div(c("equity") - c("peak"), c("peak"))).drop("_growth", "_month")
 
 

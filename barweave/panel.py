@@ -78,6 +78,26 @@ def running(df: DataFrame, keys: list[str], order: list, bucket: str, **outputs)
     return joined.select(*df.columns, *combined)
 
 
+def compounded(df: DataFrame, keys: list[str], order: list, bucket: str, growth: str) -> DataFrame:
+    """Add ``curve``, the running product of ``growth``, and ``peak``, its running maximum.
+
+    Both come from one local pass and one carry per bucket; ``growth`` must be
+    positive, so scaling by the carry keeps the order of the local maxima.
+    """
+    order = [F.col(o) if isinstance(o, str) else o for o in order]
+    on = [*keys, bucket]
+    rows = Window.partitionBy(*on).orderBy(*order).rowsBetween(_UNB, 0)
+    earlier = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(_UNB, -1)
+    local = df.withColumn("_p", F.product(growth).over(rows)).withColumn("_m", F.max("_p").over(rows))
+    totals = local.groupBy(*on).agg(F.max_by("_p", F.struct(*order)).alias("_tp"), F.max("_m").alias("_tm"))
+    start = totals.withColumn("_scale", F.coalesce(F.product("_tp").over(earlier), F.lit(1.0)))
+    carry = start.withColumn("_high", F.max(F.col("_scale") * F.col("_tm")).over(earlier)).select(*on, "_scale", "_high")
+    scale = F.col("_scale")
+    return local.join(carry, on).select(
+        *df.columns, (F.col("_p") * scale).alias("curve"), F.greatest(F.col("_m") * scale, "_high").alias("peak")
+    )
+
+
 def sequence(
     df: DataFrame,
     keys: list[str] = ("ticker",),

@@ -169,7 +169,33 @@ def ex_one_position(t):
     return ex.one_position(_final(t), ["scenario"]).select("ticker", "pos_t", "held")
 
 
-@query("ex_max_concurrent")
+_STATE = "STRUCT(t VARCHAR, p BIGINT, b BIGINT, e BIGINT, d BIGINT)[]"
+
+
+def limited_sql(src: str, keys: str) -> dict[str, str]:
+    """CTEs folding the ordered decisions of ``src`` under the portfolio limits; ``limited`` keeps the accepted rows."""
+    day = "date_diff('day', DATE '1970-01-01', date) + 1"
+    return {
+        "ranked": f"""SELECT {keys}, ticker AS t, pos_t AS p, pos_t + held AS b, {day} AS d,
+        {day} + greatest(1, CAST(floor(held * 1.45::DOUBLE) AS BIGINT)) AS e, date FROM {src}""",
+        "listed": f"""SELECT {keys}, list({{'op': [{{'t': t, 'p': p, 'b': b, 'e': e, 'd': d}}]::{_STATE}, 'taken': []::{_STATE}}} ORDER BY date, t) AS l
+        FROM ranked GROUP BY {keys}""",
+        "folded": f"""SELECT {keys}, list_reduce(l, lambda acc, x: CASE WHEN len(list_filter(acc.op, lambda o: o.e >= x.op[1].d)) < 3
+        AND len(list_filter(acc.op, lambda o: o.t = x.op[1].t AND o.b >= x.op[1].p)) = 0
+        THEN {{'op': list_append(list_filter(acc.op, lambda o: o.e >= x.op[1].d OR o.t <> x.op[1].t), x.op[1]), 'taken': list_append(acc.taken, x.op[1])}}
+        ELSE acc END, {{'op': []::{_STATE}, 'taken': []::{_STATE}}}) AS r FROM listed""",
+        "accepted": f"SELECT {keys}, unnest(r.taken).t AS ticker, unnest(r.taken).p AS pos_t FROM folded",
+        "limited": f"SELECT s.* FROM {src} s JOIN accepted USING ({keys}, ticker, pos_t)",
+    }
+
+
+_FINAL_S = {**_FINAL, "cands": "SELECT *, 'final' AS scenario FROM cand"}
+
+
+@query(
+    "ex_max_concurrent",
+    ctes(*_BASE, **_FINAL_S, **limited_sql("cands", "scenario")) + f"SELECT {cols('date ticker pos_t held', 'r')} FROM limited",
+)
 def ex_max_concurrent(t):
     return ex.max_concurrent(_final(t), ["scenario"], limit=3).select("date", "ticker", "pos_t", "held", "r")
 
@@ -279,7 +305,10 @@ def ex_sensitivity(t):
     )
 
 
-@query("ex_sensitivity_limited")
+@query(
+    "ex_sensitivity_limited",
+    ctes(*_BASE, **_SENS_SQL, **limited_sql("sens", "config"), **metrics_sql("limited", "config")) + f"SELECT {cols('config n_trades', MEASURES)} FROM me",
+)
 def ex_sensitivity_limited(t):
     """The same configurations under the portfolio limits."""
     return ex.metrics(ex.max_concurrent(_sensitivity(t), ["config"], limit=3), ["config"])
@@ -299,7 +328,18 @@ def ex_benchmark(t):
     return ex.benchmark(t.market, t.oof.agg(F.min("date")).scalar(), t.oof.agg(F.max("date")).scalar())
 
 
-@query("ex_study")
+_STUDY = {
+    **_FINAL,
+    "grouped": """SELECT c.*, CASE WHEN sector = '0' THEN 'control' ELSE 'universe' END AS grp FROM cand c JOIN universe USING (ticker)""",
+    "sliced": "SELECT *, 'all' AS slice FROM grouped UNION ALL SELECT *, CAST(year(date) AS VARCHAR) FROM grouped",
+}
+
+
+@query(
+    "ex_study",
+    ctes(*_BASE, "universe", **_STUDY, **limited_sql("sliced", "grp, slice"), **metrics_sql("limited", "grp, slice"))
+    + f"SELECT {cols('grp slice n_trades', MEASURES)} FROM me",
+)
 def ex_study(t):
     """Portfolio-limited results of the universe and of the training tickers, by slice."""
     held = t.universe.where(c("sector") == "0").select("ticker")  # stands for the training tickers
