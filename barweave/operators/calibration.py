@@ -7,10 +7,8 @@ the distinct probabilities.
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
+from pyspark.ml.regression import GeneralizedLinearRegression, IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +19,6 @@ c = F.col
 METHODS = ("isotonic", "platt")
 LOW, HIGH = 0.01, 0.99
 EPS = 1e-6
-INVERSE_PENALTY = 1e6
 
 
 def merged(oof: DataFrame) -> DataFrame:
@@ -51,11 +48,11 @@ class Calibrator:
             iso = IsotonicRegression(featuresCol="prob_up", labelCol="rate", weightCol="weight", predictionCol="_cal")
             self.model = iso.fit(merged(oof))
         else:
-            counts = oof.groupBy("prob_up", "target").agg(F.count(F.lit(1)).cast("double").alias("weight"))
-            rows = counts.select(logit(c("prob_up")).alias("_z"), c("target").cast("double").alias("label"), "weight")
-            penalty = 1.0 / (INVERSE_PENALTY * counts.agg(F.sum("weight")).first()[0])
-            lr = LogisticRegression(featuresCol="_v", weightCol="weight", regParam=penalty, standardization=False, maxIter=1000, tol=1e-10)
-            self.model = lr.fit(_vector(rows))
+            rows = merged(oof).withColumn("_z", logit(c("prob_up")))
+            fit = GeneralizedLinearRegression(
+                family="binomial", link="logit", featuresCol="_v", labelCol="rate", weightCol="weight", predictionCol="_cal", maxIter=100, tol=1e-12
+            )
+            self.model = fit.fit(_vector(rows))
         return self
 
     def transform(self, df: DataFrame, output: str = "prob_cal") -> DataFrame:
@@ -64,8 +61,7 @@ class Calibrator:
         if self.method == "isotonic":
             return self.model.transform(df).withColumn(output, clip(c("_cal"), LOW, HIGH)).drop("_cal")
         scored = self.model.transform(_vector(df.withColumn("_z", logit(c("prob_up")))))
-        keep = [F.col(x) for x in df.columns]
-        return scored.select(*keep, vector_to_array("probability")[1].alias(output))
+        return scored.withColumnRenamed("_cal", output).drop("_v", "_z")
 
     def knots(self) -> DataFrame:
         """The isotonic steps as a small table (one row per step boundary)."""

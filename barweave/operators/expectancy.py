@@ -223,26 +223,53 @@ def into_scenarios(resolved: DataFrame, prob_mins: list[float] = SWEEP_PROBS) ->
 # --- portfolio limits -------------------------------------------------------------------------
 
 
-def one_position(df: DataFrame, keys: list[str]) -> DataFrame:
+def _occupy(busy: Column, x: Column) -> Column:
+    """Last session taken by a position after seeing decision ``x``."""
+    return F.when(busy < x["pos_t"], x["pos_t"] + x["held"]).otherwise(busy)
+
+
+def one_position(df: DataFrame, keys: list[str], max_hold: int = MAX_HOLD, rows: int = panel.SEGMENT_ROWS) -> DataFrame:
     """Greedy per ticker: skip decisions made while the last accepted trade is open.
 
-    A (scenario, ticker) group has at most one decision per session, so its
-    folded array is bounded by the calendar.
+    The history is cut into segments of ``rows`` sessions. A trade reaches at
+    most ``max_hold`` sessions into the next segment, so each segment is first
+    folded for every possible overhang at its start; chaining these small
+    tables gives the true overhang, and one more fold accepts the decisions. No
+    task ever holds more than one segment of a ticker.
     """
-    item = F.struct("pos_t", "held")
-    packed = df.groupBy(*keys, "ticker").agg(F.array_sort(F.collect_list(item)).alias("_items"))
-    start = F.struct(F.lit(-1).cast("long").alias("busy"), F.array().cast("array<bigint>").alias("taken"))
+    if max_hold >= rows:
+        raise ValueError("a segment must be longer than the longest trade")
+    on = [*keys, "ticker", "seg"]
+    placed = df.withColumn("seg", panel.segment_of(c("pos_t"), rows))
+    packed = placed.groupBy(*on).agg(F.array_sort(F.collect_list(F.struct("pos_t", "held"))).alias("_items"))
+    base = c("seg").cast("long") * rows
+    overhangs = F.sequence(F.lit(0).cast("long"), F.lit(max_hold).cast("long"))
+    exits = F.transform(overhangs, lambda o: F.greatest(F.lit(0), F.aggregate("_items", base + o, _occupy) - base - rows))
+
+    # overhang at the start of each segment: follow the exits from the first one
+    chain = packed.select(*on, exits.alias("_exits")).groupBy(*keys, "ticker").agg(
+        F.array_sort(F.collect_list(F.struct("seg", "_exits"))).alias("_segs")
+    )
+    entry = F.struct(F.lit(-1).alias("seg"), F.lit(0).cast("long").alias("over"), F.lit(0).cast("long").alias("out"))
+
+    def follow(acc, x):
+        last = F.element_at(acc, -1)
+        over = F.when(last["seg"] == x["seg"] - 1, last["out"]).otherwise(F.lit(0).cast("long"))
+        out = F.element_at(x["_exits"], (over + 1).cast("int"))
+        return F.array_append(acc, F.struct(x["seg"].alias("seg"), over.alias("over"), out.alias("out")))
+
+    starts = chain.select(*keys, "ticker", F.explode(F.aggregate("_segs", F.array(entry), follow)).alias("_s"))
+    starts = starts.select(*keys, "ticker", c("_s.seg").alias("seg"), c("_s.over").alias("_over"))
+
+    fresh = F.struct((base + c("_over")).alias("busy"), F.array().cast("array<bigint>").alias("taken"))
 
-    def step(acc, x):
+    def accept(acc, x):
         free = acc["busy"] < x["pos_t"]
-        return F.when(
-            free,
-            F.struct((x["pos_t"] + x["held"]).alias("busy"), F.array_append(acc["taken"], x["pos_t"]).alias("taken")),
-        ).otherwise(acc)
+        taken = F.when(free, F.array_append(acc["taken"], x["pos_t"])).otherwise(acc["taken"])
+        return F.struct(_occupy(acc["busy"], x).alias("busy"), taken.alias("taken"))
 
-    taken = F.aggregate("_items", start, step, lambda acc: acc["taken"])
-    accepted = packed.select(*keys, "ticker", F.explode(taken).alias("pos_t"))
-    return df.join(accepted, [*keys, "ticker", "pos_t"], "left_semi")
+    folded = packed.join(starts, on).select(*on, F.explode(F.aggregate("_items", fresh, accept)["taken"]).alias("pos_t"))
+    return placed.join(folded, [*on, "pos_t"], "left_semi").drop("seg")
 
 
 def max_concurrent(df: DataFrame, keys: list[str], limit: int, one_per_ticker: bool = True, width: int = 16) -> DataFrame:
@@ -299,10 +326,10 @@ def max_concurrent(df: DataFrame, keys: list[str], limit: int, one_per_ticker: b
 
 def equity(trades: DataFrame, keys: list[str], risk: float = RISK_PER_TRADE) -> DataFrame:
     """Compounded equity in (date, ticker) order, with its running peak (at least 1)."""
-    grown = trades.withColumns({"_growth": c("r") * risk + 1, "_month": F.trunc("date", "month")})
-    curve = panel.compounded(grown, keys, ["date", "ticker"], "_month", "_growth")
+    grown = trades.withColumns({"_growth": c("r") * risk + 1, "_day": c("date")})
+    curve = panel.compounded(grown, keys, ["date", "ticker"], "_day", "_growth")
     curve = curve.withColumnRenamed("curve", "equity").withColumn("peak", F.greatest("peak", F.lit(1.0)))
-    return curve.withColumn("drawdown", div(c("equity") - c("peak"), c("peak"))).drop("_growth", "_month")
+    return curve.withColumn("drawdown", div(c("equity") - c("peak"), c("peak"))).drop("_growth", "_day")
 
 
 def metrics(trades: DataFrame, keys: list[str], risk: float = RISK_PER_TRADE) -> DataFrame:
@@ -376,7 +403,7 @@ def benchmark(market: DataFrame, first: Column, last: Column) -> DataFrame:
 def thin_equity(curve: DataFrame, keys: list[str], points: int = 400) -> DataFrame:
     """Every n-th point of the equity curve, so about ``points`` remain per key."""
     plain = curve.select(*keys, "date", "ticker", "equity")
-    numbered = panel.sequence(plain, keys, ["date", "ticker"], F.trunc("date", "month")).drop("seg")
+    numbered = panel.sequence(plain, keys, ["date", "ticker"], c("date")).drop("seg")
     sizes = plain.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     joined = numbered.join(sizes, keys) if keys else numbered.join(F.broadcast(sizes))  # one row
     # the curve starts with the initial capital at index 0

@@ -128,7 +128,7 @@ def vol_terciles(bars: DataFrame, rows: int = panel.SEGMENT_ROWS) -> DataFrame:
         back=21,
         rows=rows,
     ).drop("_ret")
-    cuts = panel.exact_quantiles(vol, ["ticker"], "realized_vol", [1 / 3, 2 / 3], F.floor(c("realized_vol") * 2000))
+    cuts = panel.exact_quantiles(vol, ["ticker"], "realized_vol", [1 / 3, 2 / 3], F.floor(c("realized_vol") * 200_000))
     label = (
         F.when(c("realized_vol") <= c("q0"), "low")
         .when(c("realized_vol") <= c("q1"), "mid")

@@ -8,7 +8,7 @@ from barweave import panel
 from barweave.functions import exprs
 from barweave.operators import features as f
 from barweave.operators import splits, targets
-from barweave.plans.registry import query
+from barweave.plans.registry import QUERIES, query
 from barweave.plans.sqlparts import W, cols, ctes, decayed, full
 
 c = F.col
@@ -195,7 +195,16 @@ def f_ctx_corr(t):
     return f.compute(joined, [f.market_corr]).select("ticker", "date", "market_corr_20d")
 
 
-@query("f_all")
+def joined_sql(names: list[str]) -> str:
+    """Bars joined with the SQL of several indicator queries."""
+    base = ctes("bars") + "SELECT ticker, date, open, high, low, close, volume, prob_up, seq FROM bars"
+    return f"SELECT * FROM ({base})" + "".join(f" JOIN ({QUERIES[n].sql}) USING (ticker, date)" for n in names)
+
+
+_ALL = [n for n in QUERIES if n.startswith("f_")]
+
+
+@query("f_all", joined_sql(_ALL))
 def f_all(t):
     return t.features.drop("seg")
 
@@ -335,7 +344,10 @@ def prep_class_weight(t):
     return targets.class_weights(_prepared(t))
 
 
-@query("prep_feature_subset")
+_SUBSET = ["f_returns", "f_volatility", "f_dist_sma", "f_rsi", "f_volume", "f_calendar"]
+
+
+@query("prep_feature_subset", f"SELECT ticker, date, {', '.join(f.BASIC_FEATURES)} FROM ({joined_sql(_SUBSET)})")
 def prep_feature_subset(t):
     names = targets.subset(t.features, f.BASIC_FEATURES)
     return t.features.select("ticker", "date", *names)

@@ -299,7 +299,19 @@ def cal_transform(t):
     return _calibrated(t).select("ticker", "date", "prob_cal")
 
 
-@query("cal_platt")
+# logistic fit on the logit by Newton steps
+_PLATT = {
+    "z": """SELECT prob_up, ln(greatest(least(prob_up, 0.999999), 0.000001) / (1 - greatest(least(prob_up, 0.999999), 0.000001))) AS z,
+    sum(target)::DOUBLE AS s, count(*)::DOUBLE AS k FROM oof GROUP BY 1""",
+    "nw": """SELECT 0 AS it, 0::DOUBLE AS a, 0::DOUBLE AS b UNION ALL
+    SELECT it + 1, a + (hbb * ga - hab * gb) / (haa * hbb - hab * hab), b + (haa * gb - hab * ga) / (haa * hbb - hab * hab) FROM (
+    SELECT it, a, b, sum(s - k * p) AS ga, sum((s - k * p) * z) AS gb, sum(k * p * (1 - p)) AS haa, sum(k * p * (1 - p) * z) AS hab, sum(k * p * (1 - p) * z * z) AS hbb
+    FROM (SELECT nw.*, z.*, 1 / (1 + exp(-(a + b * z))) AS p FROM nw, z WHERE it < 12) GROUP BY 1, 2, 3)""",
+    "pl": "SELECT o.ticker, o.date, o.prob_up, 1 / (1 + exp(-(a + b * z))) AS prob_cal FROM oof o JOIN z USING (prob_up), (SELECT a, b FROM nw WHERE it = 12)",
+}
+
+
+@query("cal_platt", ctes("oof", **_PLATT).replace("WITH ", "WITH RECURSIVE ", 1) + f"SELECT {cols('ticker date', 'prob_up prob_cal')} FROM pl")
 def cal_platt(t):
     return Calibrator("platt").fit(t.oof).transform(t.oof).select("ticker", "date", "prob_up", "prob_cal")
 

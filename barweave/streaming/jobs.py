@@ -75,8 +75,9 @@ def upsert_signals(signals: DataFrame, path: str, hot_rows: int = 50, available_
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/log/run={batch_id}")
         spark = batch.sparkSession
-        now = store.current(spark.read.parquet(f"{path}/log").drop("run"))
-        store.latest(now, hot_rows).write.mode("overwrite").parquet(f"{path}/hot/run={batch_id}")
+        log = spark.read.parquet(f"{path}/log").drop("run")
+        newest = log.where(c("trade_date") == log.agg(F.max("trade_date")).scalar())  # prunes by file statistics
+        store.latest(store.current(newest), hot_rows).write.mode("overwrite").parquet(f"{path}/hot/run={batch_id}")
 
     return _start(signals.writeStream.foreachBatch(write), path, available_now)
 
