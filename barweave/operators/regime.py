@@ -110,10 +110,10 @@ def regimes(bars: DataFrame, vix: DataFrame, rows: int = panel.SEGMENT_ROWS) ->
     return classify(join_vix_asof(measured, vix))
 
 
-def as_of(df: DataFrame, date: str) -> DataFrame:
-    """The last row of each ticker at or before ``date``."""
-    row = F.max_by(F.struct(*df.columns), "date").alias("_row")
-    return df.where(c("date") <= F.to_date(F.lit(date))).groupBy("ticker").agg(row).select("_row.*")
+def as_of(bars: DataFrame, vix: DataFrame, date: str) -> DataFrame:
+    """The regime of each ticker's last bar at or before ``date``."""
+    known = bars.where(c("date") <= F.to_date(F.lit(date)))
+    return panel.newest(regimes(panel.tail(known, 32), vix))
 
 
 def vol_terciles(bars: DataFrame, rows: int = panel.SEGMENT_ROWS) -> DataFrame:

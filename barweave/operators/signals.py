@@ -47,8 +47,8 @@ def add_grade(df: DataFrame) -> DataFrame:
 
 
 def latest(df: DataFrame) -> DataFrame:
-    """The last row of each ticker, by partial aggregation."""
-    return df.groupBy("ticker").agg(F.max_by(F.struct(*df.columns), "date").alias("_row")).select("_row.*")
+    """The last row of each ticker: newest dates by hash aggregation, then a join back."""
+    return df.join(df.groupBy("ticker").agg(F.max("date").alias("date")), ["ticker", "date"])
 
 
 def measured(bars: DataFrame, vix: DataFrame, rows: int = panel.SEGMENT_ROWS) -> DataFrame:
@@ -73,7 +73,7 @@ def build(bars: DataFrame, vix: DataFrame, rows: int = panel.SEGMENT_ROWS) -> Da
 
     Levels come from all pivots of the ticker's history.
     """
-    now = regime.add_reasons(latest(measured(bars, vix, rows)))
+    now = regime.add_reasons(panel.newest(measured(panel.tail(bars), vix, rows)))
     zoned = levels.zone_arrays(levels.zones(levels.pivots(bars, rows=rows)))
     empty = F.array().cast("array<double>")
     df = add_grade(now).withColumn("price", c("close")).join(zoned, "ticker", "left")

@@ -181,30 +181,47 @@ def full(n: int, value: Column, present: Column) -> Column:
     return F.when(F.count(present).over(last_rows(n)) == n, value)
 
 
+def tail(df: DataFrame, rows: int = 2 * WARMUP_ROWS) -> DataFrame:
+    """The last ``rows`` rows of each ticker, with the ticker's row count as ``n_bars``.
+
+    Enough to compute any bounded frame or recurrence on the newest row, so a
+    scan of the latest state need not window over the whole history.
+    """
+    lengths = df.groupBy("ticker").agg(F.max("seq").alias("n_bars"))
+    return df.join(lengths, "ticker").where(F.col("seq") > F.col("n_bars") - rows)
+
+
+def newest(df: DataFrame) -> DataFrame:
+    """The last row of each ticker of a frame cut by ``tail``."""
+    return df.where(F.col("seq") == F.col("n_bars")).drop("n_bars")
+
+
 def exact_quantiles(df: DataFrame, keys: list[str], column: str, probs: list[float], bucket: Column) -> DataFrame:
     """Exact linear-interpolation quantiles per key, one column ``q0``, ``q1``, ….
 
-    Rows are ranked in two levels (``bucket`` must not decrease with the
-    value), so no task has to hold all values of a key.
+    A histogram over ``bucket`` (which must not decrease with the value) tells
+    which buckets hold the wanted ranks; only their rows are sorted.
     """
-    present = df.where(F.col(column).isNotNull()).select(*keys, column)
-    ranked = sequence(present, keys, [column], bucket).drop("seg")
-    counts = present.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    joined = ranked.join(counts, keys)
+    on = [*keys, "_bucket"]
+    present = df.where(F.col(column).isNotNull()).select(*keys, column, bucket.alias("_bucket"))
+    by_bucket = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(_UNB, 0)
+    hist = (
+        present.groupBy(*on).agg(F.count(F.lit(1)).alias("_k"))
+        .withColumns({"_cum": F.sum("_k").over(by_bucket), "_n": F.sum("_k").over(Window.partitionBy(*keys))})
+        .withColumn("_before", F.col("_cum") - F.col("_k"))
+    )
+    low = [F.floor((F.col("_n") - 1) * F.lit(p)) + 1 for p in probs]
+    high = [F.least(r + 1, F.col("_n")) for r in low]
+    holds = [(r > F.col("_before")) & (r <= F.col("_cum")) for r in [*low, *high]]
+    wanted = hist.where(reduce(lambda a, b: a | b, holds)).select(*on, "_before", "_n")
+    rank = F.col("_before") + F.row_number().over(Window.partitionBy(*on).orderBy(column))
+    ranked = present.join(wanted, on).withColumn("_rank", rank)
     aggs = []
     for i, p in enumerate(probs):
-        h = (F.col("_n") - 1) * F.lit(p)
-        lo = F.floor(h)
         aggs += [
-            F.max(F.when(F.col("seq") == lo + 1, F.col(column))).alias(f"_lo{i}"),
-            F.max(F.when(F.col("seq") == F.least(lo + 2, F.col("_n")), F.col(column))).alias(f"_hi{i}"),
-            F.max(h - lo).alias(f"_f{i}"),
+            F.max(F.when(F.col("_rank") == low[i], F.col(column))).alias(f"_lo{i}"),
+            F.max(F.when(F.col("_rank") == high[i], F.col(column))).alias(f"_hi{i}"),
+            F.max((F.col("_n") - 1) * F.lit(p) - low[i] + 1).alias(f"_f{i}"),
         ]
-    out = joined.groupBy(*keys).agg(*aggs)
-    return out.select(
-        *keys,
-        *[
-            (F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_f{i}")).alias(f"q{i}")
-            for i in range(len(probs))
-        ],
-    )
+    between = lambda i: F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_f{i}")
+    return ranked.groupBy(*keys).agg(*aggs).select(*keys, *[between(i).alias(f"q{i}") for i in range(len(probs))])

@@ -86,7 +86,7 @@ def rg_reasons(t):
     + f"SELECT {cols('ticker date status', 'position_scale gap_atr')} FROM r WHERE k = 1",
 )
 def rg_as_of(t):
-    return regime.as_of(regime.regimes(t.bars, t.vix), "1999-06-30").select("ticker", "date", "status", "position_scale", "gap_atr")
+    return regime.as_of(t.bars, t.vix, "1999-06-30").select("ticker", "date", "status", "position_scale", "gap_atr")
 
 
 @query(
