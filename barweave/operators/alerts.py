@@ -61,11 +61,11 @@ def with_messages(df: DataFrame) -> DataFrame:
 
 
 def audience(users: DataFrame) -> DataFrame:
-    """Number of subscribers per channel; always one row for each channel."""
-    subs = subscribers(users)
-    has = lambda name: F.count_if(F.trim(F.coalesce(name, F.lit(""))) != "")
-    counts = subs.agg(has("chat_id").alias("chat"), has("email").alias("email"))
-    return counts.unpivot([], ["chat", "email"], "channel", "recipients")
+    """One row: ``channels``, an array of (channel, recipients)."""
+    has = lambda name: F.count_if(F.trim(F.coalesce(name, F.lit(""))) != "").alias("recipients")
+    chat = F.struct(F.lit("chat").alias("channel"), has("chat_id"))
+    email = F.struct(F.lit("email").alias("channel"), has("email"))
+    return subscribers(users).agg(F.array(chat, email).alias("channels"))
 
 
 def outbox(signals: DataFrame, users: DataFrame) -> DataFrame:
@@ -74,13 +74,13 @@ def outbox(signals: DataFrame, users: DataFrame) -> DataFrame:
     The audience (``subscribers`` by channel) is resolved at delivery, so the
     outbox grows with the signals and not with signals times users.
     """
-    return signals.join(F.broadcast(audience(users).where(c("recipients") > 0)))  # two rows
+    sent = signals.withColumn("_channels", audience(users).scalar()).withColumn("_c", F.explode("_channels"))
+    return sent.select(*signals.columns, "_c.*").where(c("recipients") > 0)
 
 
 def summary(selected: DataFrame, fresh: DataFrame, users: DataFrame) -> DataFrame:
     """Messages sent and signals skipped because they were sent before."""
-    n_sel = selected.agg(F.count(F.lit(1)).alias("_selected"))
-    n_new = fresh.agg(F.count(F.lit(1)).alias("_fresh"))
-    people = subscribers(users).agg(F.count(F.lit(1)).alias("_people"))
-    one = n_sel.join(F.broadcast(n_new)).join(F.broadcast(people))  # one row each
-    return one.select((c("_fresh") * c("_people")).alias("sent"), (c("_selected") - c("_fresh")).alias("skipped"))
+    size = lambda df: df.agg(F.count(F.lit(1))).scalar()
+    counted = selected.agg(F.count(F.lit(1)).alias("_selected")).withColumn("_fresh", size(fresh))
+    sent = (c("_fresh") * size(subscribers(users))).alias("sent")
+    return counted.select(sent, (c("_selected") - c("_fresh")).alias("skipped"))

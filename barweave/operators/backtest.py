@@ -178,7 +178,7 @@ def trade_metrics(df: DataFrame, keys: list[str] = ("ticker",), value: str = "tr
         {"profit_factor": _ratio(c("_gain"), c("_loss")), "win_loss_ratio": _ratio(c("avg_win"), F.abs("avg_loss"))}
     ).drop("_gain", "_loss")
     streaks = loss_streaks(df, keys, ["entry_date"], "_year", value)
-    return agg.join(streaks, keys) if keys else agg.join(F.broadcast(streaks))  # one row each without keys
+    return agg.join(streaks, keys) if keys else agg.withColumn("max_consecutive_losses", streaks.scalar())
 
 
 def regime_metrics(curve: DataFrame, regimes: DataFrame) -> DataFrame:

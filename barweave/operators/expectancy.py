@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from barweave import panel
 from barweave.functions.exprs import clip, div
-from barweave.operators.features import full, last_rows, mean, true_range
+from barweave.operators.features import calendar_full, full, last_rows, true_range
 from barweave.panel import series
 from barweave.session import scratch_path
 
@@ -115,10 +115,7 @@ def add_execution(max_hold: int = MAX_HOLD):
 
 def market_trend(market: DataFrame) -> DataFrame:
     """Index close and its 50-row mean by date."""
-    df = panel.windowed(
-        panel.sequence(market.withColumn("ticker", F.lit("index"))), [lambda d: d.withColumn("spy_sma50_t", mean(50, "close"))], back=50
-    )
-    return df.select("date", c("close").alias("spy_t"), "spy_sma50_t")
+    return market.select("date", c("close").alias("spy_t"), calendar_full(50, F.avg, "close").alias("spy_sma50_t"))
 
 
 def attach(oof: DataFrame, bars: DataFrame, vix: DataFrame, market: DataFrame, max_hold: int = MAX_HOLD) -> DataFrame:
@@ -405,7 +402,7 @@ def thin_equity(curve: DataFrame, keys: list[str], points: int = 400) -> DataFra
     plain = curve.select(*keys, "date", "ticker", "equity")
     numbered = panel.sequence(plain, keys, ["date", "ticker"], c("date")).drop("seg")
     sizes = plain.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    joined = numbered.join(sizes, keys) if keys else numbered.join(F.broadcast(sizes))  # one row
+    joined = numbered.join(sizes, keys) if keys else numbered.withColumn("_n", sizes.scalar())
     # the curve starts with the initial capital at index 0
     stride = F.greatest(F.lit(1), F.floor((c("_n") + 1) / points))
     return joined.where(c("seq") % stride == 0).drop("_n")

@@ -11,7 +11,7 @@ bar columns is complete once ``seq`` reaches its length.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barweave import panel
@@ -271,39 +271,42 @@ def with_obv(bars: DataFrame, rows: int = panel.SEGMENT_ROWS) -> DataFrame:
 # one unpartitioned window over them stays small whatever the panel size.
 
 
+def calendar_rows(n: int) -> Window:
+    return Window.orderBy("date").rowsBetween(-(n - 1), 0)
+
+
+def calendar_full(n: int, agg, column: str) -> Column:
+    """Aggregate over the last n rows of a calendar series, null until n values exist."""
+    return F.when(F.count(column).over(calendar_rows(n)) == n, agg(column).over(calendar_rows(n)))
+
+
+def calendar_change(n: int) -> Column:
+    return div(c("close"), F.lag("close", n).over(Window.orderBy("date"))) - 1
+
+
 def market_context(market: DataFrame) -> DataFrame:
     """Index return, trend distance and volatility on the index's calendar."""
-    df = panel.windowed(
-        panel.sequence(market.withColumn("ticker", F.lit("index"))),
-        [
-            lambda d: d.withColumns(
-                {"market_ret_1d": pct_change("close"), "market_ret_5d": pct_change("close", 5), "_sma": bar_mean(20, "close")}
-            ),
-            lambda d: d.withColumn("market_vol_20d", std(20, "market_ret_1d")),
-        ],
-        back=20,
-    )
+    df = market.select(
+        "date", "close", calendar_change(1).alias("market_ret_1d"), calendar_change(5).alias("market_ret_5d"),
+        calendar_full(20, F.avg, "close").alias("_sma"),
+    )
     return df.select(
         "date",
         "market_ret_1d",
         "market_ret_5d",
         div(c("close") - c("_sma"), c("_sma")).alias("market_dist_sma_20"),
-        "market_vol_20d",
+        calendar_full(20, F.stddev_samp, "market_ret_1d").alias("market_vol_20d"),
     )
 
 
 def vix_context(vix: DataFrame) -> DataFrame:
     """Volatility gauge level, 60-row z-score and 5-row change."""
-    df = panel.windowed(
-        panel.sequence(vix.withColumn("ticker", F.lit("vix"))),
-        [lambda d: d.withColumns({"_m": mean(60, "close"), "_s": std(60, "close"), "vix_change_5d": pct_change("close", 5)})],
-        back=60,
-    )
-    return df.select(
+    level, spread = calendar_full(60, F.avg, "close"), calendar_full(60, F.stddev_samp, "close")
+    return vix.select(
         "date",
         c("close").alias("vix_level"),
-        div(c("close") - c("_m"), c("_s")).alias("vix_zscore"),
-        "vix_change_5d",
+        div(c("close") - level, spread).alias("vix_zscore"),
+        calendar_change(5).alias("vix_change_5d"),
     )
 
 

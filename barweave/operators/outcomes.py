@@ -103,7 +103,8 @@ def performance(resolved: DataFrame) -> DataFrame:
         F.min("trade_date").alias("first_date"),
         F.max("trade_date").alias("last_date"),
     )
-    return stats.join(F.broadcast(curve))  # one row each
+    packed = curve.select(F.struct(*curve.columns)).scalar()
+    return stats.withColumn("_m", packed).select(*stats.columns, "_m.*")
 
 
 def by_signal(resolved: DataFrame) -> DataFrame:
@@ -128,5 +129,4 @@ def split_legacy(legacy: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def import_if_empty(target: DataFrame, rows: DataFrame) -> DataFrame:
     """``rows`` when the target table is empty, else nothing to append."""
-    filled = target.limit(1).agg(F.count(F.lit(1)).alias("_filled"))
-    return rows.join(F.broadcast(filled)).where(c("_filled") == 0).drop("_filled")  # one row
+    return rows.where(target.limit(1).agg(F.count(F.lit(1))).scalar() == 0)

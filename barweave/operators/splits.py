@@ -70,7 +70,7 @@ def _roles(ranked: DataFrame, folds: DataFrame, on: list[str], rank: str) -> Dat
     )
     spec = F.struct("fold", "train_end", "test_start", "test_end")
     packed = folds.groupBy(*on).agg(F.collect_list(spec).alias("_folds"))  # n_splits entries
-    joined = ranked.join(packed, on) if on else ranked.join(F.broadcast(packed))  # one row
+    joined = ranked.join(packed, on) if on else ranked.withColumn("_folds", packed.scalar())
     return (
         joined.withColumn("_f", F.explode("_folds"))
         .select(*ranked.columns, "_f.*")

@@ -82,8 +82,5 @@ def class_weights(df: DataFrame) -> DataFrame:
 def split_temporal(df: DataFrame, test_size: float = 0.2) -> DataFrame:
     """Mark the first (1 - test_size) of the rows, in (date, ticker) order, as train."""
     ranked = panel.sequence(df.drop("seq", "seg"), [], ["date", "ticker"], c("date"))
-    total = df.agg(F.count(F.lit(1)).alias("_total"))
-    cut = F.floor(c("_total") * F.lit(1 - test_size))
-    return ranked.join(F.broadcast(total)).withColumn(  # one row
-        "role", F.when(c("seq") <= cut, "train").otherwise("test")
-    ).drop("_total", "seg")
+    cut = F.floor(df.agg(F.count(F.lit(1))).scalar() * F.lit(1 - test_size))
+    return ranked.withColumn("role", F.when(c("seq") <= cut, "train").otherwise("test")).drop("seg")

@@ -6,6 +6,7 @@ import hashlib
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 _written: dict[tuple[str, str], str] = {}
@@ -37,9 +38,13 @@ def written(spark: SparkSession, name: str, build) -> DataFrame:
     files instead of recomputing the whole chain.
     """
     key = (spark.sparkContext.applicationId, name)
-    if key not in _written:
-        digest = hashlib.sha1(name.encode()).hexdigest()[:10]
-        path = scratch_path(spark, f"table-{digest}")
-        build().write.parquet(path)
-        _written[key] = path
-    return spark.read.parquet(_written[key])
+    if key in _written:
+        try:
+            return spark.read.parquet(_written[key])
+        except AnalysisException:  # the folder was cleaned up meanwhile
+            pass
+    digest = hashlib.sha1(name.encode()).hexdigest()[:10]
+    path = scratch_path(spark, f"table-{digest}")
+    build().write.parquet(path)
+    _written[key] = path
+    return spark.read.parquet(path)

@@ -40,9 +40,7 @@ def or_fallback(universe: DataFrame) -> DataFrame:
     """The embedded liquid list when ``universe`` is empty."""
     spark = universe.sparkSession
     embedded = spark.createDataFrame([(t, t, UNKNOWN, "?") for t in LIQUID], "ticker string, name string, sector string, exchange string")
-    filled = universe.limit(1).agg(F.count(F.lit(1)).alias("_filled"))
-    spare = embedded.join(F.broadcast(filled)).where(c("_filled") == 0).drop("_filled")  # one row
-    return universe.unionByName(spare)
+    return universe.unionByName(embedded.where(universe.limit(1).agg(F.count(F.lit(1))).scalar() == 0))
 
 
 def exclude_location(universe: DataFrame, text: str = "NY", limit: int | None = None) -> DataFrame:
