@@ -70,22 +70,36 @@ def block_checks(blocks: DataFrame) -> DataFrame:
     )
 
 
+def _monthly_bits(df: DataFrame, key: str, flag: str, prefix: str) -> DataFrame:
+    """Per key and month, one bit per day: which days exist and which are up."""
+    bit = F.pow(F.lit(2.0), F.dayofmonth("date")).cast("long")
+    return df.groupBy(key, F.trunc("date", "month").alias("_month")).agg(
+        F.bit_or(bit).alias(f"{prefix}_days"), F.bit_or(F.when(c(flag) == 1, bit).otherwise(F.lit(0))).alias(f"{prefix}_up")
+    )
+
+
 def match_blocks(blocks: DataFrame, bars: DataFrame) -> DataFrame:
     """Name the ticker of each block by comparing targets with real moves, date by date.
 
     Candidates are the (few) training tickers. A candidate must cover 80 % of
     the dates; the least mismatch wins, and above 10 % the block stays unnamed.
+    Both sides are packed into one bit per day, so a block meets a candidate
+    once per month and not once per date.
     """
-    implied = panel.windowed(
-        bars, [lambda d: d.withColumn("_up", (F.lead("close").over(series()) > c("close")).cast("int"))], ahead=1
-    ).where(c("_up").isNotNull()).select(c("ticker").alias("candidate"), "date", "_up")
+    up = (F.lead("close").over(series()) > c("close")).cast("int")
+    implied = panel.windowed(bars, [lambda d: d.withColumn("_up", up)], ahead=1).where(c("_up").isNotNull())
+    candidates = _monthly_bits(implied.withColumnRenamed("ticker", "candidate"), "candidate", "_up", "c")
     sizes = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("n_rows"))
+    pairs = _monthly_bits(blocks, "block", "target", "b").join(candidates, "_month")
+    both = c("b_days").bitwiseAND(c("c_days"))
+    wrong = c("b_up").bitwiseXOR(c("c_up")).bitwiseAND(both)
     scored = (
-        blocks.select("block", "date", "target").join(implied, "date").groupBy("block", "candidate")
-        .agg(F.count(F.lit(1)).alias("_covered"), F.avg((c("_up") != c("target")).cast("double")).alias("_miss"))
-        .join(sizes, "block").where(c("_covered") >= MIN_COVERAGE * c("n_rows"))
+        pairs.groupBy("block", "candidate")
+        .agg(F.sum(F.bit_count(both)).alias("_covered"), F.sum(F.bit_count(wrong)).alias("_wrong"))
+        .join(sizes, "block").where((c("_covered") > 0) & (c("_covered") >= MIN_COVERAGE * c("n_rows")))
     )
-    best = scored.groupBy("block").agg(F.min(F.struct("_miss", "candidate")).alias("_b"))
+    miss = (c("_wrong") / c("_covered")).alias("_miss")
+    best = scored.groupBy("block").agg(F.min(F.struct(miss, "candidate")).alias("_b"))
     named = F.when(c("_b._miss") <= MAX_MISMATCH, c("_b.candidate"))
     return sizes.join(best, "block", "left").select(
         "block", "n_rows", named.alias("ticker"), F.coalesce(c("_b._miss"), F.lit(1.0)).alias("mismatch")
