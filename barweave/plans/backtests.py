@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from barweave import panel
 from barweave.operators import backtest as bt
-from barweave.operators import regime, splits
+from barweave.operators import splits
 from barweave.plans.features import _PANEL
 from barweave.plans.registry import query
 from barweave.plans.sqlparts import W, cols, ctes
@@ -155,7 +155,7 @@ _REG = {
 
 @query("bt_regime_metrics", ctes("bars", **_REG) + f"SELECT {cols('ticker vol_regime n_days', METRICS)} FROM rm")
 def bt_regime_metrics(t):
-    return bt.regime_metrics(_curve(t), regime.vol_terciles(t.bars))
+    return bt.regime_metrics(_curve(t), t.terciles)
 
 
 @query(
@@ -198,6 +198,6 @@ def bt_report(t):
     return bt.report(
         bt.metrics(curve, ["ticker"]),
         bt.trade_metrics(bt.trades(curve)),
-        bt.regime_metrics(curve, regime.vol_terciles(t.bars)),
+        bt.regime_metrics(curve, t.terciles),
         bt.Costs(),
     )

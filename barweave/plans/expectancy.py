@@ -32,7 +32,7 @@ _BLK = {
 
 
 def _blocks(t):
-    return ex.add_blocks(ex.number_rows(t.oof).drop("ticker"))
+    return t.store("blocks", lambda: ex.add_blocks(ex.number_rows(t.oof).drop("ticker")))
 
 
 @query("ex_blocks", ctes("oof", **_BLK) + "SELECT row_id, date, block FROM blk")

@@ -96,7 +96,7 @@ def rg_as_of(t):
     + f"SELECT {cols('ticker date', 'realized_vol')}, CASE WHEN realized_vol <= q[1] THEN 'low' WHEN realized_vol <= q[2] THEN 'mid' WHEN realized_vol > q[2] THEN 'high' END AS vol_regime FROM v JOIN q USING (ticker)",
 )
 def rg_vol_tercile(t):
-    return regime.vol_terciles(t.bars).select("ticker", "date", "realized_vol", "vol_regime")
+    return t.terciles.select("ticker", "date", "realized_vol", "vol_regime")
 
 
 # --- signals ------------------------------------------------------------------

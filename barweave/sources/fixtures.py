@@ -152,6 +152,13 @@ class Inputs:
             tier.alias("tier"),
         )
 
+    @cached_property
+    def terciles(self) -> DataFrame:
+        """Realised volatility and its regime label for every bar."""
+        from barweave.operators.regime import vol_terciles
+
+        return self.store("terciles", lambda: vol_terciles(self.bars).select("ticker", "date", "realized_vol", "vol_regime"))
+
     @cached_property
     def signals(self) -> DataFrame:
         """A graded signal for every bar, with volatility-based levels."""
