@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barweave.session import scratch_path
-from llm import exact_dedup, packing, token_files
-from llm.common import table
+from llm import exact_dedup, lm_score, packing, token_files
+from llm.common import remainder, table
 from llm.registry import query
 
 #: A file of the public tokenizers; read where tasks run.
@@ -20,6 +20,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+@query("op1_lm_score")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm_score.score(table(spark, sf_dir, "documents"), train=remainder("doc_id", 10) != 0)
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query(
     "op2_exact_dedup",
     """

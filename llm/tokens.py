@@ -38,7 +38,7 @@ class Generations:
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes; ``most_words`` bounds the memory."""
 
-    def __init__(self, path: str, most_words: int = 400_000):
+    def __init__(self, path: str, most_words: int = 120_000):
         import numpy as np
         import regex
         from tokenizers import Tokenizer, pre_tokenizers
