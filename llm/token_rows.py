@@ -17,9 +17,9 @@ def tokenised(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", t
 
         known, end = encoder(path), np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
+            texts = batch.column(1)
             for a, b in in_batches(texts):
-                ids = [x + end for x in known.encode(texts[a:b])]
+                ids = [x + end for x in known.encode_all(texts.slice(a, b - a))]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()

@@ -1,11 +1,11 @@
 """Token ids of whole texts by the ``tokenizers`` library, each distinct word encoded once.
 
 Vocabularies of this kind never join characters across white space, so a text is
-the sequence of its words. A worker keeps the ids of words that it has seen; the
-library is asked for new ones only. Words of plain Latin letters skip the library's
-normaliser (for these it only lower-cases) and reach its model split into the
-pre-tokens that the vocabulary file defines; any other word, such as one with
-combining marks or the text of a special token, is given to the library as it is.
+the sequence of its words, and a batch of texts needs each distinct word once. Words of
+plain Latin letters skip the library's normaliser (for these it only lower-cases) and
+reach its model split into the pre-tokens that the vocabulary file defines, whose ids a
+worker keeps; any other word, such as one with combining marks or the text of a special
+token, is given to the library as it is.
 """
 
 from __future__ import annotations
@@ -14,9 +14,8 @@ import json
 import string
 from functools import cache
 
-#: A word with a character for which normalising may be more than str.lower().
-_ODD = r"[^\n]*[^\n\x21-\x7e\u00a1-\u012f\u0131-\u017f][^\n]*"
-_MARKS = string.punctuation
+#: A character for which normalising may be more than lower-casing.
+_ODD = r"[^\x21-\x7e\x{a1}-\x{12f}\x{131}-\x{17f}]"
 
 
 class Generations:
@@ -50,13 +49,12 @@ class Encoder:
         pattern = next(s["pattern"]["Regex"] for s in steps if s["type"] == "Split")
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.pieces = regex.compile(pattern)
-        self.odd = regex.compile(_ODD)
         self.bare = Tokenizer(self.whole.model)
         self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         ends = [i for t, i in self.whole.get_vocab().items() if t.endswith(spec["model"]["end_of_word_suffix"])]
         self.ends = np.zeros(self.whole.get_vocab_size(), dtype=bool)
         self.ends[ends] = True
-        self.words, self.parts = Generations(most_words), Generations(most_words)
+        self.parts = Generations(most_words)
 
     def _parts(self, new: list[str]) -> list[bytes]:
         """Ids of lower-case pre-tokens; the last id of each, and no other, ends a word."""
@@ -69,36 +67,63 @@ class Encoder:
             out += [data[i:j] for i, j in zip([0, *cuts], cuts, strict=False)]
         return out
 
-    def _learn(self, new: set[str]) -> None:
-        """Put the ids of words that the cache lacks into it."""
+    def _vocabulary(self, words) -> list[bytes]:
+        """The ids of distinct words, an Arrow array."""
         import numpy as np
-
-        joined = "\n".join(new)
-        other = set(self.odd.findall(joined)) & new
-        if any(s in joined for s in self.special):
-            other |= {w for w in new if any(s in w for s in self.special)}
-        plain = list(new - other)
-        split = []
-        for w in plain:
-            core = w.rstrip(_MARKS)
-            if core.isalpha():
-                split.append((core.lower(), w[len(core) :]) if len(core) < len(w) else (core.lower(),))
-            else:
-                split.append(self.pieces.findall(w.lower()))
-        missing = list(self.parts.missing(set().union(*split)))
+        import pyarrow.compute as pc
+
+        own = pc.match_substring_regex(words, _ODD)
+        for s in self.special:
+            own = pc.or_(own, pc.match_substring(words, s))
+        core = pc.utf8_rtrim(words, characters=string.punctuation)
+        simple = pc.and_not(pc.utf8_is_alpha(core), own).to_numpy(zero_copy_only=False)
+        tailed = pc.not_equal(pc.binary_length(core), pc.binary_length(words)).to_numpy(zero_copy_only=False)
+        texts, cores = words.to_pylist(), pc.utf8_lower(core).to_pylist()
+        # the pre-tokens of each word: a core of letters and perhaps marks after it, or what the pattern says
+        tails = {i: texts[i][len(cores[i]) :] for i in np.flatnonzero(simple & tailed).tolist()}
+        whole = np.flatnonzero(own.to_numpy(zero_copy_only=False)).tolist()
+        rest = np.setdiff1d(np.flatnonzero(~simple), whole).tolist()
+        split = {i: self.pieces.findall(texts[i].lower()) for i in rest}
+        letters = [cores[i] for i in np.flatnonzero(simple).tolist()]
+        missing = list(self.parts.missing(set(letters).union(tails.values(), *split.values())))
         self.parts.new.update(zip(missing, self._parts(missing), strict=True))
-        find, join = self.parts.new.__getitem__, b"".join
-        self.words.new.update(zip(plain, [find(p[0]) if len(p) == 1 else join(map(find, p)) for p in split], strict=True))
-        if other := list(other):
-            encoded = self.whole.encode_batch_fast(other, add_special_tokens=False)
-            self.words.new.update(zip(other, [np.array(e.ids, dtype="<u4").tobytes() for e in encoded], strict=True))
+        known = self.parts.new
+        out = list(map(known.get, cores))
+        for i, t in tails.items():
+            out[i] += known[t]
+        for i, ps in split.items():
+            out[i] = b"".join([known[p] for p in ps])
+        if whole:
+            encoded = self.whole.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False)
+            for i, e in zip(whole, encoded, strict=True):
+                out[i] = np.array(e.ids, dtype="<u4").tobytes()
+        return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text."""
-        split = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        self._learn(self.words.missing(set().union(*split)))
-        find = self.words.new.__getitem__
-        return [b"".join(map(find, words)) for words in split]
+    def encode(self, texts):
+        """The ids of an Arrow array of texts (null: empty) as one array, and the bounds of each text in it."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        texts = pc.replace_substring(pc.fill_null(texts.cast(pa.large_string()), ""), "\n", " ")
+        words = pc.split_pattern(texts, " ")
+        coded = words.flatten().dictionary_encode()
+        ids = self._vocabulary(coded.dictionary)
+        place = coded.indices.to_numpy()
+        length = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        flat, start = np.frombuffer(b"".join(ids), dtype="<u4"), np.cumsum(length) - length
+        each = length[place]
+        ends = np.concatenate([[0], np.cumsum(each)])
+        at = np.repeat(start[place] - ends[:-1], each)
+        at += np.arange(len(at))
+        offsets = words.offsets.to_numpy()
+        return flat[at], ends[offsets - offsets[0]]
+
+    def encode_all(self, texts) -> list[bytes]:
+        """The ids of each text of an Arrow array as little-endian unsigned 32-bit bytes."""
+        ids, bounds = self.encode(texts)
+        data, bounds = ids.tobytes(), (4 * bounds).tolist()
+        return [data[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
 @cache
@@ -110,13 +135,15 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def in_batches(texts: list, most_bytes: int = 4_000_000):
-    """Ranges of ``texts`` of about ``most_bytes`` characters, so that memory stays bounded."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= most_bytes:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+def in_batches(texts, most_bytes: int = 8_000_000):
+    """Slices of an Arrow array of about ``most_bytes``, so that memory stays bounded."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(texts):
+        before = size[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(size, before + most_bytes, side="right")))
+        yield start, stop
+        start = stop
