@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barweave.session import scratch_path
-from llm import exact_dedup, lm_score, ngram_join, packing, token_files
+from llm import exact_dedup, lm_score, ngram_join, packing, token_files, toxicity
 from llm.common import remainder, table
 from llm.registry import query
 
@@ -43,6 +43,18 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select(F.col("row.doc_id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
 
 
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
+    """Learnt from the labels of this folder, but for those whose remainder is 1."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    return toxicity.fit(table(spark, sf_dir, "documents"), labels, use=remainder("doc_id", 3) != 1)
+
+
+@query("op5_toxicity")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity_model(spark, sf_dir).score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return scored.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 @query("op6_packing")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.packed_documents(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=0, size=2048)
