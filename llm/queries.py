@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barweave.session import scratch_path
-from llm import exact_dedup, lm_score, ngram_join, packing, token_files, toxicity
+from llm import exact_dedup, lm_score, mixing, ngram_join, packing, token_files, toxicity
 from llm.common import remainder, table
 from llm.registry import query
 
@@ -43,6 +43,18 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select(F.col("row.doc_id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
 
 
+def mixed(docs: DataFrame) -> DataFrame:
+    """Documents with their probabilities for tempered shares of sources, languages and topics."""
+    text = F.coalesce(docs["text"], F.lit(""))
+    return mixing.sampled(docs, {"source": docs["source"], "lang": docs["lang"], "topic": mixing.topic(text)})
+
+
+@query("op3_mixing")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixed(table(spark, sf_dir, "documents"))
+    return found.select(F.col("row.doc_id").alias("doc_id"), "source", "lang", "topic", "tokens", "factor", "probability", "selected")
+
+
 def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
     """Learnt from the labels of this folder, but for those whose remainder is 1."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
