@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barweave.session import scratch_path
-from llm import exact_dedup, lm_score, mixing, ngram_join, packing, token_files, toxicity
+from llm import exact_dedup, lm_score, mixing, ngram_join, packing, syncmers, token_files, toxicity
 from llm.common import remainder, table
 from llm.registry import query
 
@@ -73,6 +73,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")
 
 
+@query("op8_syncmers")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.with_neighbours(table(spark, sf_dir, "documents"))
+
+
 @query("op9_ngram_join")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.joined(table(spark, sf_dir, "documents"), size=4, percent=85).select("doc_id", "n_shingles", "component_id")
