@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barweave.session import scratch_path
-from llm import exact_dedup, lm_score, mixing, ngram_join, packing, syncmers, token_files, toxicity
+from llm import exact_dedup, lm_score, mixing, ngram_join, packing, syncmers, token_files, toxicity, url_rules
 from llm.common import remainder, table
 from llm.registry import query
 
@@ -73,6 +73,18 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")
 
 
+#: The given rules of the contract: action, host, start of the path.
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+@query("op7_url_rules")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
+    found = url_rules.judged(table(spark, sf_dir, "pages").select("page_id", "url"), labels, bad, URL_RULES)
+    return found.select("page_id", "host", "path", "rule", "verdict", "mined")
+
+
 @query("op8_syncmers")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.with_neighbours(table(spark, sf_dir, "documents"))
