@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barweave.session import scratch_path
-from llm import exact_dedup, lm_score, mixing, ngram_join, packing, syncmers, token_files, toxicity, url_rules
+from llm import exact_dedup, lm_score, mixing, ngram_join, packing, syncmers, token_files, toxicity, url_rules, warc
 from llm.common import remainder, table
 from llm.registry import query
 
@@ -55,6 +55,17 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("row.doc_id").alias("doc_id"), "source", "lang", "topic", "tokens", "factor", "probability", "selected")
 
 
+@query("op4_warc")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.derivatives(warc.responses_of(table(spark, sf_dir, "pages")), keep=["page_id"])
+    field = lambda name: F.col("headers")[name]
+    return records.select(
+        "page_id", "record_type", "record_id", "refers_to", field("WARC-Target-URI").alias("target_uri"), field("WARC-Date").alias("date"),
+        field("WARC-Block-Digest").alias("block_digest"), F.octet_length("block").cast("long").alias("length"),
+        F.sha2(warc.serialised(F.col("headers"), F.col("block")), 256).alias("record_sha256"),
+    )
+
+
 def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
     """Learnt from the labels of this folder, but for those whose remainder is 1."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
