@@ -34,6 +34,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from llm.common import cut
 from llm.components import components
@@ -154,8 +155,9 @@ def _scan(docs: DataFrame, size: int, percent: int, ranges: int, id_col: str, te
         if ids:
             yield from flush(ids, texts)
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"kind int, key bigint, doc_id {kind}, n bigint, same binary, span bigint, token bigint, tokens binary, places binary"
+    schema = T.StructType.fromDDL("kind int, key bigint").add("doc_id", docs.schema[id_col].dataType)
+    for field in T.StructType.fromDDL("n bigint, same binary, span bigint, token bigint, tokens binary, places binary"):
+        schema.add(field)
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 

@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from llm.common import cut
 
@@ -141,8 +142,8 @@ def featured(rows: DataFrame, lexicon: frozenset[str], text_col: str) -> DataFra
             values = [features(t or "", flags) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(values, pa.list_(pa.float64()))], names=[*others, "features"])
 
-    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in others)
-    return rows.select(text_col, *others).mapInArrow(run, f"{schema}, features array<double>" if others else "features array<double>")
+    schema = T.StructType([*(rows.schema[c] for c in others), T.StructField("features", T.ArrayType(T.DoubleType()))])
+    return rows.select(text_col, *others).mapInArrow(run, schema)
 
 
 @dataclass
