@@ -110,5 +110,4 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-files")
     token_files.write(table(spark, sf_dir, "documents"), path, tokenizer_path(), end_id=2)
-    docs = token_files.read(spark, path)
-    return docs.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return token_files.read(spark, path, {"ids_crc32": F.crc32("ids")})

@@ -14,7 +14,7 @@ split over blocks. An empty table gives files without blocks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from llm.common import cut
@@ -118,8 +118,12 @@ def _table(spark: SparkSession, path: str):
     return frequencies(counts)
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """Every document in the files: doc_id, start, n_tokens, ids (little-endian unsigned 32 bits)."""
+def read(spark: SparkSession, path: str, what: dict[str, Column] | None = None) -> DataFrame:
+    """Every document in the files: doc_id, start, n_tokens, ids (little-endian unsigned 32 bits).
+
+    Instead of the ids, ``what`` may name expressions over them, computed where blocks are
+    decoded: then the ids themselves aren't shuffled.
+    """
     freq = _table(spark, path)
     blocks = spark.read.parquet(f"{path}/blocks")
     kind = blocks.schema["doc_ids"].dataType.elementType.simpleString()
@@ -147,4 +151,6 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     # one row a range; the ranges follow each other in the order of ids
     earlier = Window.orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
     ranges = blocks.groupBy("range_no").agg(F.sum("n_ids").alias("n")).select("range_no", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
-    return docs.join(ranges, "range_no").select("doc_id", (F.col("base") + F.col("in_range")).alias("start"), "n_tokens", "ids")
+    found = {"ids": F.col("ids")} if what is None else what
+    docs = docs.select("range_no", "doc_id", "in_range", "n_tokens", *[c.alias(name) for name, c in found.items()])
+    return docs.join(ranges, "range_no").select("doc_id", (F.col("base") + F.col("in_range")).alias("start"), "n_tokens", *found)
