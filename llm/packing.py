@@ -6,7 +6,9 @@ each group is packed on its own: every piece goes where the sum, over all gaps,
 the squared number of open sequences with that gap becomes smallest. Pieces come
 longest first. The longer ones may open a sequence although others would take them,
 which keeps a mix of gaps; the shortest quarter then fills the gaps and opens a
-sequence only if nothing fits. A group ends with a sequence or two that are not full.
+sequence only if nothing fits. Where many pieces are too long to share a sequence, it is
+better if all pieces do so; a group is packed in both ways and keeps the one with fewer
+sequences. A group ends with a sequence or two that are not full.
 
 Defined results: a null text counts as empty and is one piece with the end id only.
 Equal rows are placed each on their own. An empty table gives an empty result.
@@ -47,8 +49,8 @@ def pieces(tokens: DataFrame, size: int) -> DataFrame:
     return tokens.mapInArrow(run, PIECES.format(id=tokens.schema["doc_id"].dataType.simpleString()))
 
 
-def sums_of_squares(lengths, size: int, fill: float = 0.25):
-    """Sequence number and offset for each of ``lengths``, which are sorted, longest first."""
+def sums_of_squares(lengths, size: int, fill: float):
+    """Sequence number and offset for each of ``lengths``, which are sorted, longest first; the last share ``fill`` only fills up."""
     import numpy as np
 
     count = np.zeros(size + 1, dtype=np.int64)  # open sequences by gap
@@ -95,7 +97,7 @@ def pack(rows: DataFrame, size: int, most_in_group: int = 200_000) -> DataFrame:
         table = table.take(order)
         group = table.column("_group")[0].as_py()
         lengths = table.column("length").to_numpy().astype(np.int64)
-        sequence, offset = sums_of_squares(lengths, size)
+        sequence, offset = min((sums_of_squares(lengths, size, fill) for fill in (0.25, 1.0)), key=lambda x: x[0].max())
         table = table.drop_columns(["_group"])
         return table.append_column("sequence_id", pa.array(sequence + (group << 40))).append_column("offset", pa.array(offset))
 
