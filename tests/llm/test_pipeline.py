@@ -25,7 +25,8 @@ def folder(spark, words, tmp_path_factory):
         labels.append((i, 1, int(i % 6 == 0)))
     near = docs[1][1].split()
     near[5] = "other"
-    docs += [(1000, docs[1][1].upper(), "en", "s1", 1, "x"), (1001, " ".join([*near, *near]), "en", "s1", 1, "x"), (1002, " ".join([*near, *near, "end"]), "en", "s1", 1, "x")]
+    shout = docs[1][1].translate({k: k - 32 for k in range(97, 123)})
+    docs += [(1000, shout, "en", "s1", 1, "x"), (1001, " ".join([*near, *near]), "en", "s1", 1, "x"), (1002, " ".join([*near, *near, "end"]), "en", "s1", 1, "x")]
     docs += [(None, None, None, None, None, None), (1003, "", "en", None, 0, "y"), (7, docs[7][1], "de", "s1", 1, "x")]
     path = str(tmp_path_factory.mktemp("docs"))
     spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, n_chars bigint, score string").write.parquet(f"{path}/documents.parquet")

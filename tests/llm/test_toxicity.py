@@ -16,7 +16,7 @@ def corpus(spark, words):
     docs, labels = [], []
     for i in range(900):
         text = [rng.choice(words) for _ in range(rng.randint(5, 120))]
-        toxic = i % 6 == 0
+        toxic = i % 7 == 0
         if toxic:
             for _ in range(rng.randint(1, 4)):
                 text.insert(rng.randrange(len(text)), rng.choice(bad))
