@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barweave.operators import store
+
 c = F.col
 
 STRONG = ["STRONG_BUY", "STRONG_SELL"]
@@ -22,9 +24,10 @@ def select(signals: DataFrame) -> DataFrame:
 
 
 def unsent(signals: DataFrame, sent: DataFrame) -> DataFrame:
-    """One row per key that is not in the sent log."""
+    """The newest version (by ``batch_id``, where there is one) of each key that is not in the sent log."""
     key = ["ticker", "trade_date"]
-    return signals.dropDuplicates(key).join(sent.select(*key), key, "left_anti")
+    order = c("batch_id") if "batch_id" in signals.columns else F.lit(0)
+    return store.current(signals, order).select(*signals.columns).join(sent.select(*key), key, "left_anti").select(*signals.columns)
 
 
 def subscribers(users: DataFrame) -> DataFrame:

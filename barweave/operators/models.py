@@ -153,13 +153,19 @@ def random_draws(n: int, seed: int = SEED) -> list[dict]:
 
 
 def tune(df: DataFrame, features: list[str], draws: list[dict], trees: int, geometry: splits.Geometry) -> DataFrame:
-    """Mean purged-fold accuracy of each draw; one row per draw, best first."""
+    """Mean of the purged folds' accuracies of each draw; one row per draw, best first.
+
+    A draw with a fold that cannot be evaluated counts 0.5.
+    """
     results = []
     for i, draw in enumerate(draws):
         make = lambda d=draw: {"boosted_a": GBTClassifier(maxIter=trees, seed=SEED, labelCol="label", weightCol="weight", **d)}
         try:
             oof = out_of_fold(df, features, make, geometry)
-            acc = oof.agg(F.avg(((c("prob_up") >= 0.5).cast("int") == c("target")).cast("double"))).first()[0]
+            hit = ((c("prob_up") >= 0.5).cast("int") == c("target")).cast("double")
+            folds = oof.groupBy("fold").agg(F.avg(hit).alias("acc"))
+            mean, n = folds.agg(F.avg("acc"), F.count(F.lit(1))).first()
+            acc = mean if n == geometry.n_splits else 0.5
         except RuntimeError:
             acc = 0.5
         results.append((i, *[float(draw[k]) for k in sorted(draw)], float(acc)))
@@ -179,15 +185,18 @@ def importances(model, features: list[str], top: int | None = None) -> DataFrame
     return df.limit(top) if top else df
 
 
-def surrogate(df: DataFrame, features: list[str]) -> tuple[dict, dict]:
-    """Coefficients and means of a logistic surrogate, on the original feature scale."""
+def surrogate(df: DataFrame, features: list[str]) -> tuple[dict, dict, float]:
+    """Coefficients, means and base of a logistic surrogate, on the original feature scale.
+
+    The base is the log-odds of a row at the means; ``explain.pressure`` takes it.
+    """
     rows = training_rows(df, features)
     scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True)
     lr = LogisticRegression(featuresCol="scaled", labelCol="label", weightCol="weight", regParam=0.01, maxIter=50)
     model = Pipeline(stages=[scaler, lr]).fit(rows)
     sd, mean, coef = model.stages[0].std.toArray(), model.stages[0].mean.toArray(), model.stages[1].coefficients.toArray()
     beta = [float(b / s) if s else 0.0 for b, s in zip(coef, sd)]
-    return dict(zip(features, beta)), dict(zip(features, map(float, mean)))
+    return dict(zip(features, beta)), dict(zip(features, map(float, mean))), float(model.stages[1].intercept)
 
 
 def scorable(panel_rows: DataFrame, features: list[str], min_rows: int = 60) -> DataFrame:

@@ -37,7 +37,11 @@ def range_and_gap():
 
 
 def vix_scores(vix: DataFrame) -> DataFrame:
-    """Level and z-score over up to 60 gauge rows (at least 30). Calendar-bounded."""
+    """Level and z-score over up to 60 known gauge rows (at least 30). Calendar-bounded.
+
+    A row without a close says nothing: the last known level holds.
+    """
+    vix = vix.where(c("close").isNotNull())
     w = Window.orderBy("date").rowsBetween(-59, 0)
     sd = F.stddev_samp("close").over(w)
     z = F.when((F.count("close").over(w) >= 30) & (sd > 0), div(c("close") - F.avg("close").over(w), sd))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,43 +33,34 @@ def ranked(df: DataFrame) -> DataFrame:
     return df.orderBy(c("conviction_pct").desc(), "ticker")
 
 
-def apply_filters(
-    df: DataFrame,
-    side: str | None = None,
-    signal: str | None = None,
-    min_confidence: float | None = None,
-    min_conviction: float | None = None,
-    max_atr_pct: float | None = None,
-    min_volume_ratio: float | None = None,
-    members: DataFrame | None = None,
-    watchlist: list[str] | None = None,
-    only_tradable: bool = False,
-    limit: int | None = None,
-) -> DataFrame:
-    """Optional filters; unknown ATR or volume ratio never passes a bound.
+def _at_least(name: str):
+    return lambda bound: c(name) >= bound
+
+
+#: What each option of ``matching`` asks of a row; a null measure never meets a bound.
+_ASKS = {
+    "only_tradable": lambda wanted: F.coalesce(c("trading_allowed"), F.lit(True)) if wanted else F.lit(True),
+    "watchlist": lambda names: F.upper("ticker").isin([n.strip().upper() for n in names]),
+    "min_volume_ratio": _at_least("volume_ratio"),
+    "min_conviction": _at_least("conviction_pct"),
+    "min_confidence": _at_least("confidence_pct"),
+    "max_atr_pct": lambda bound: c("atr_pct") <= bound,
+    "signal": lambda name: c("signal") == name.upper() if name else F.lit(True),
+    "side": lambda name: c("side") == name if name in ("long", "short") else F.lit(True),
+}
+
+
+def matching(df: DataFrame, members: DataFrame | None = None, limit: int | None = None, **options) -> DataFrame:
+    """Rows that meet all ``options`` (see ``_ASKS``; None asks nothing).
 
     ``members`` keeps the tickers of a frame (a sector, say), ``limit`` the
     strongest rows.
     """
-    if side in ("long", "short"):
-        df = df.where(c("side") == side)
-    if signal:
-        df = df.where(c("signal") == signal.upper())
-    if min_confidence is not None:
-        df = df.where(c("confidence_pct") >= min_confidence)
-    if min_conviction is not None:
-        df = df.where(c("conviction_pct") >= min_conviction)
-    if max_atr_pct is not None:
-        df = df.where(c("atr_pct") <= max_atr_pct)
-    if min_volume_ratio is not None:
-        df = df.where(c("volume_ratio") >= min_volume_ratio)
+    asked = [_ASKS[name](value) for name, value in options.items() if value is not None]
+    found = df.where(reduce(and_, asked)) if asked else df
     if members is not None:
-        df = df.join(members.select("ticker"), "ticker", "left_semi")
-    if watchlist is not None:
-        df = df.where(F.upper("ticker").isin([w.strip().upper() for w in watchlist]))
-    if only_tradable:
-        df = df.where(F.coalesce(c("trading_allowed"), F.lit(True)))
-    return ranked(df).limit(limit) if limit else df
+        found = found.join(members.select("ticker"), "ticker", "left_semi")
+    return ranked(found).limit(limit) if limit else found
 
 
 def counts(df: DataFrame) -> DataFrame:

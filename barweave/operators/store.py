@@ -14,10 +14,14 @@ c = F.col
 KEY = ["ticker", "trade_date"]
 
 
+def keyed(signals: DataFrame) -> DataFrame:
+    """Rows with a full key, tickers in upper case."""
+    return signals.withColumn("ticker", F.upper("ticker")).where((c("ticker") != "") & c("trade_date").isNotNull())
+
+
 def to_log(signals: DataFrame, batch_id: int) -> DataFrame:
     """Rows ready to append; rows without a full key are skipped."""
-    keyed = signals.withColumns({"ticker": F.upper("ticker"), "batch_id": F.lit(batch_id)})
-    return keyed.where((c("ticker") != "") & c("trade_date").isNotNull())
+    return keyed(signals.withColumn("batch_id", F.lit(batch_id)))
 
 
 def from_documents(signals: DataFrame) -> DataFrame:
@@ -27,10 +31,15 @@ def from_documents(signals: DataFrame) -> DataFrame:
     )
 
 
-def current(log: DataFrame, order: str = "batch_id") -> DataFrame:
+def newest_first(df: DataFrame, order: str | Column) -> Column:
+    """``order``, and among equals a hash of the row, so that the choice never depends on the plan."""
+    return F.struct(c(order) if isinstance(order, str) else order, F.xxhash64(*df.columns))
+
+
+def current(log: DataFrame, order: str | Column = "batch_id") -> DataFrame:
     """Newest row per key, by partial aggregation (no per-key sort)."""
     rest = [x for x in log.columns if x not in KEY]
-    return log.groupBy(*KEY).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(*KEY, "_r.*")
+    return log.groupBy(*KEY).agg(F.max_by(F.struct(*rest), newest_first(log, order)).alias("_r")).select(*KEY, "_r.*")
 
 
 def compact(log: DataFrame, path: str) -> None:

@@ -107,7 +107,7 @@ def sc_panel(t):
 
 @query("xp_contributions")
 def xp_contributions(t):
-    coef, mean = models.surrogate(_training(t), _FEATURES)
+    coef, mean, _ = models.surrogate(_training(t), _FEATURES)
     return explain.contributions(_training(t), coef, mean)
 
 

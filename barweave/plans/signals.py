@@ -284,27 +284,27 @@ def scr_scan(t):
 
 @query(
     "scr_filters",
-    ctes("signals", "universe")
-    + f"""SELECT {cols('ticker date signal', 'confidence_pct conviction_pct atr_pct volume_ratio')} FROM signals
-    WHERE side = 'long' AND confidence_pct >= 52 AND conviction_pct >= 5 AND atr_pct <= 4 AND volume_ratio >= 0.8 AND trading_allowed
+    ctes("signals", "universe", s=_LATEST)
+    + f"""SELECT {cols('ticker date signal', 'confidence_pct conviction_pct atr_pct volume_ratio')} FROM s
+    WHERE entry IS NOT NULL AND volume_ratio IS NOT NULL AND side = 'long' AND confidence_pct >= 52 AND conviction_pct >= 5 AND atr_pct <= 4 AND volume_ratio >= 0.8 AND trading_allowed
     AND ticker IN (SELECT ticker FROM universe WHERE sector = '2' OR sector = '3') AND upper(ticker) IN ('BRAND#2', 'BRAND#3', 'BRAND#12', 'BRAND#13', 'BRAND#4')""",
 )
 def scr_filters(t):
     wanted = t.universe.where(c("sector").isin("2", "3"))
-    return screener.apply_filters(
-        t.signals, side="long", min_confidence=52, min_conviction=5, max_atr_pct=4, min_volume_ratio=0.8, members=wanted,
+    return screener.matching(
+        screener.scan(t.signals), side="long", min_confidence=52, min_conviction=5, max_atr_pct=4, min_volume_ratio=0.8, members=wanted,
         watchlist=["Brand#2", "Brand#3", "Brand#12", "Brand#13", "Brand#4"], only_tradable=True,
     ).select("ticker", "date", "signal", "confidence_pct", "conviction_pct", "atr_pct", "volume_ratio")
 
 
 @query(
     "scr_counts",
-    ctes("signals")
+    ctes("signals", s=_LATEST)
     + """SELECT count(*) AS total, count(*) FILTER (WHERE side = 'long') AS buy_count, count(*) FILTER (WHERE side = 'short') AS sell_count,
-    count(*) FILTER (WHERE NOT trading_allowed) AS suspended_count FROM signals""",
+    count(*) FILTER (WHERE NOT trading_allowed) AS suspended_count FROM s WHERE entry IS NOT NULL AND volume_ratio IS NOT NULL""",
 )
 def scr_counts(t):
-    return screener.counts(t.signals)
+    return screener.counts(screener.scan(t.signals))
 
 
 @query(

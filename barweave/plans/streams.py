@@ -61,7 +61,7 @@ def ss_alert_dedup(t):
     landed, schema = _landed(t, "log", lambda: _log(t))
     path = scratch_path(t.spark, "ss-alerts")
     jobs.finish(jobs.dedup_alerts(jobs.files(t.spark, landed, schema), path))
-    return t.spark.read.parquet(f"{path}/outbox").select("ticker", "trade_date")
+    return jobs.read_outbox(t.spark, path).select("ticker", "trade_date")
 
 
 @query("ss_resolve", ctes("signals", **_RES) + f"SELECT {cols('ticker trade_date direction_correct hit_sl hit_tp1', 'next_close next_ret_pct')} FROM outc")

@@ -7,6 +7,7 @@ exact. With ``available_now`` a job handles what has landed and stops.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -45,16 +46,28 @@ def bars(ticks: DataFrame, path: str, window: str = "1 hour", lateness: str = "1
     return _start(rolled.writeStream.outputMode("append").format("parquet").option("path", f"{path}/bars"), path, available_now)
 
 
-def live_bars(ticks: DataFrame, path: str, window: str = "1 hour", available_now: bool = True) -> StreamingQuery:
-    """Write each changed bar, open windows included, as a revision keyed by the batch."""
+def live_bars(ticks: DataFrame, path: str, window: str = "1 hour", lateness: str = "1 day", available_now: bool = True) -> StreamingQuery:
+    """Write each changed bar, open windows included, as a revision keyed by the batch.
+
+    A window takes ticks until the newest tick is ``lateness`` past its end, and then
+    leaves the state; later ticks are counted by ``dropped_late``.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/revisions/batch={batch_id}")
 
-    rolled = from_ticks(ticks, window)
+    rolled = from_ticks(ticks.withWatermark("ts", lateness), window)
     return _start(rolled.writeStream.outputMode("update").foreachBatch(write), path, available_now)
 
 
+def dropped_late(query: StreamingQuery) -> int:
+    """Rows that came after the watermark, over the progress that the query remembers.
+
+    They are in the landed files; rebuilding those windows from the files repairs the bars.
+    """
+    return sum(op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators)
+
+
 def read_live_bars(spark: SparkSession, path: str) -> DataFrame:
     """The newest revision of every bar."""
     rows = spark.read.parquet(f"{path}/revisions")
@@ -66,70 +79,130 @@ def read_live_bars(spark: SparkSession, path: str) -> DataFrame:
 # --- scan results ---------------------------------------------------------------------
 
 
-def upsert_signals(signals: DataFrame, path: str, hot_rows: int = 50, available_now: bool = True) -> StreamingQuery:
+def _landed(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """The table below ``path``; empty before the first write."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
+
+
+def upsert_signals(signals: DataFrame, path: str, hot_rows: int = 50, compact_every: int = 50, available_now: bool = True) -> StreamingQuery:
     """Append scanned signals to the log, keyed by batch; refresh the hot view of the newest date.
 
-    A replayed batch overwrites its own folder, so nothing is written twice.
+    A replayed batch overwrites its own folders, so nothing is written twice. The log is
+    partitioned by date, so a batch reads the newest date only; every ``compact_every``
+    batches the current rows become a new base that readers start from.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/log/run={batch_id}")
         spark = batch.sparkSession
-        log = spark.read.parquet(f"{path}/log").drop("run")
-        newest = log.where(c("trade_date") == log.agg(F.max("trade_date")).scalar())  # prunes by file statistics
-        store.latest(store.current(newest), hot_rows).write.mode("overwrite").parquet(f"{path}/hot/run={batch_id}")
+        keyed = store.keyed(batch)
+        keyed.write.mode("overwrite").partitionBy("trade_date").parquet(f"{path}/log/run={batch_id}")
+        schema = StructType([*keyed.schema, *StructType.fromDDL("run bigint")])
+        hot = _landed(spark, f"{path}/hot", schema).where(c("run") < batch_id)
+        dates = keyed.select("trade_date").union(hot.where(c("run") == hot.agg(F.max("run")).scalar()).select("trade_date"))
+        newest = dates.agg(F.max("trade_date")).first()[0]
+        current = read_signals(spark, path, upto=batch_id).where(c("trade_date") == F.lit(newest))
+        store.latest(current, hot_rows).write.mode("overwrite").parquet(f"{path}/hot/run={batch_id}")
+        if (batch_id + 1) % compact_every == 0:
+            _versions(spark, path, batch_id).repartition("trade_date").write.mode("overwrite").partitionBy("trade_date").parquet(f"{path}/base/upto={batch_id}")
 
     return _start(signals.writeStream.foreachBatch(write), path, available_now)
 
 
-def read_signals(spark: SparkSession, path: str) -> DataFrame:
-    return store.current(spark.read.parquet(f"{path}/log").drop("run"))
+def _versions(spark: SparkSession, path: str, upto: int | None = None) -> DataFrame:
+    """The newest version of each key, with the batch (``run``) that wrote it."""
+    log = spark.read.option("basePath", f"{path}/log").parquet(f"{path}/log")
+    if upto is not None:
+        log = log.where(c("run") <= upto)
+    base = _landed(spark, f"{path}/base", StructType([*log.schema, *StructType.fromDDL("upto bigint")]))
+    if upto is not None:
+        base = base.where(c("upto") < upto)
+    start = base.agg(F.max("upto")).first()[0]
+    if start is not None:
+        log = log.where(c("run") > start).unionByName(base.where(c("upto") == start).drop("upto"))
+    order = F.struct("run", *[x for x in ("batch_id",) if x in log.columns])
+    return store.current(log, order)
+
+
+def read_signals(spark: SparkSession, path: str, upto: int | None = None) -> DataFrame:
+    """The newest version of each signal: of the newest batch, and in it of the producer's newest."""
+    return _versions(spark, path, upto).drop("run")
+
+
+def read_hot(spark: SparkSession, path: str) -> DataFrame:
+    """The hot view that the newest batch left."""
+    hot = spark.read.parquet(f"{path}/hot")
+    return hot.where(c("run") == hot.agg(F.max("run")).scalar()).drop("run")
 
 
 # --- alerts -----------------------------------------------------------------------------
 
 
-def dedup_alerts(signals: DataFrame, path: str, available_now: bool = True) -> StreamingQuery:
-    """Outbox rows for strong tradable signals, once per ticker and day within the memory."""
-    strong = alerts.select(signals).withColumn("day", c("trade_date").cast("timestamp")).withWatermark("day", alerts.MEMORY)
-    once = strong.dropDuplicatesWithinWatermark(["ticker", "trade_date"])
-    sink = once.writeStream.outputMode("append").format("parquet").option("path", f"{path}/outbox")
-    return _start(sink, path, available_now)
+def dedup_alerts(signals: DataFrame, path: str, memory: str = alerts.MEMORY, available_now: bool = True) -> StreamingQuery:
+    """Outbox rows for strong tradable signals, once per ticker and day within ``memory`` of sending.
+
+    What was sent is in the outbox itself; a signal is sent whatever its date. A replayed
+    batch overwrites its own folder.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        strong = alerts.select(batch)
+        schema = StructType([*strong.schema, *StructType.fromDDL("sent_at timestamp, run bigint")])
+        sent = _landed(spark, f"{path}/outbox", schema).where(c("run") != batch_id)
+        sent = sent.where(c("sent_at") >= F.current_timestamp() - F.expr(f"INTERVAL {memory}"))
+        fresh = alerts.unsent(strong, sent).withColumn("sent_at", F.current_timestamp())
+        fresh.write.mode("overwrite").parquet(f"{path}/outbox/run={batch_id}")
+
+    return _start(signals.writeStream.foreachBatch(write), path, available_now)
+
+
+def read_outbox(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/outbox").drop("run")
 
 
 # --- outcomes ----------------------------------------------------------------------------
 
+_SIGNAL = ["ticker", "trade_date", "seq", "side", "entry", "stop_loss", "tp1"]
+_BAR = ["ticker", "seq", "date", "high", "low", "close"]
+
 
-def resolve_signals(
-    signals: DataFrame, bars: DataFrame, path: str, sessions: int = outcomes.RESOLVE_SESSIONS, max_wait: str = "120 days", available_now: bool = True
-) -> StreamingQuery:
-    """Pair each signal with its next bars as they arrive.
+def resolve_signals(signals: DataFrame, bars: DataFrame, path: str, sessions: int = outcomes.RESOLVE_SESSIONS, available_now: bool = True) -> StreamingQuery:
+    """Pair each signal with its next bars as they arrive, in any order.
 
-    A signal waits for bar numbers seq+1 … seq+sessions of its ticker, so the
-    join is by (ticker, bar number) and no key is hot. ``max_wait`` bounds the
-    state: it is the longest time those bars may take to appear.
+    Both sides are kept as tables keyed by batch: a batch joins its signals with all bars
+    and its bars with the earlier signals. A signal waits for bar numbers seq+1 …
+    seq+sessions of its ticker, so the join is by (ticker, bar number) and no key is
+    hot. There is no watermark: a signal or a bar may be as late as it likes.
     """
-    waiting = signals.withColumn("signal_ts", c("trade_date").cast("timestamp")).withWatermark("signal_ts", "1 day")
-    waiting = waiting.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(sessions)))).withColumn("want", c("seq") + c("k"))
-    arriving = bars.select(
-        c("ticker").alias("bar_ticker"), c("seq").alias("bar_seq"), c("date").cast("timestamp").alias("bar_ts"), "high", "low", "close"
-    ).withWatermark("bar_ts", "1 day")
-    pairs = waiting.join(
-        arriving,
-        (c("ticker") == c("bar_ticker"))
-        & (c("want") == c("bar_seq"))
-        & (c("bar_ts") > c("signal_ts"))
-        & (c("bar_ts") <= c("signal_ts") + F.expr(f"INTERVAL {max_wait}")),
-    )
-    slim = pairs.select("ticker", "trade_date", "side", "entry", "stop_loss", "tp1", "k", "high", "low", "close")
-    return _start(slim.writeStream.outputMode("append").format("parquet").option("path", f"{path}/pairs"), path, available_now)
+    signal, bar = signals.select(*_SIGNAL), bars.select(*_BAR)
+    none = lambda df: F.lit(None).cast(StructType(df.schema.fields))
+    both = signal.select(F.struct(*_SIGNAL).alias("signal"), none(bar).alias("bar")).unionByName(bar.select(none(signal).alias("signal"), F.struct(*_BAR).alias("bar")))
+    shapes = {"signals": signal.schema, "bars": bar.schema}
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        batch.where("signal is not null").select("signal.*").write.mode("overwrite").parquet(f"{path}/signals/run={batch_id}")
+        batch.where("bar is not null").select("bar.*").write.mode("overwrite").parquet(f"{path}/bars/run={batch_id}")
+        kept = {k: _landed(spark, f"{path}/{k}", StructType([*s, *StructType.fromDDL("run bigint")])).where(c("run") <= batch_id) for k, s in shapes.items()}
+        waiting = kept["signals"].withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(sessions)))).withColumn("want", c("seq") + c("k")).withColumnRenamed("run", "of_signal").drop("seq")
+        arrived = kept["bars"].select("ticker", c("seq").alias("want"), "date", "high", "low", "close", c("run").alias("of_bar"))
+        mine = lambda name: c(name) == batch_id
+        pairs = waiting.where(mine("of_signal")).join(arrived, ["ticker", "want"])
+        pairs = pairs.unionByName(waiting.where(~mine("of_signal")).join(arrived.where(mine("of_bar")), ["ticker", "want"]))
+        slim = pairs.where(c("date") > c("trade_date")).select("ticker", "trade_date", "side", "entry", "stop_loss", "tp1", "k", "high", "low", "close")
+        slim.write.mode("overwrite").parquet(f"{path}/pairs/run={batch_id}")
+
+    return _start(both.writeStream.foreachBatch(write), path, available_now)
 
 
 def read_outcomes(spark: SparkSession, path: str) -> DataFrame:
     """Outcomes from the paired bars (a handful per signal)."""
     bar = F.struct("k", "high", "low", "close")
     seen = spark.read.parquet(f"{path}/pairs").groupBy("ticker", "trade_date", "side", "entry", "stop_loss", "tp1").agg(
-        F.array_sort(F.collect_list(bar)).alias("_path")
+        F.array_sort(F.collect_set(bar)).alias("_path")
     )
     return outcomes.with_outcome(seen)
 

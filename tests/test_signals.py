@@ -91,8 +91,8 @@ def test_filters_and_store(spark):
     ]
     schema = "ticker string, trade_date string, signal string, side string, confidence_pct double, conviction_pct double, trading_allowed boolean, atr_pct double"
     df = spark.createDataFrame(rows, schema).withColumn("trade_date", F.to_date("trade_date"))
-    assert {r["ticker"] for r in screener.apply_filters(df, max_atr_pct=1.5).collect()} == {"A", "a", ""}
-    assert screener.apply_filters(df, side="short", only_tradable=True).count() == 0
+    assert {r["ticker"] for r in screener.matching(df, max_atr_pct=1.5).collect()} == {"A", "a", ""}
+    assert screener.matching(df, side="short", only_tradable=True).count() == 0
     log = store.to_log(df.where("signal <> 'BUY' or ticker = 'C'"), 1).unionByName(store.to_log(df.where("signal = 'BUY'"), 2))
     now = store.current(log)
     assert now.count() == 3  # the later BUY replaced A, the row without ticker is gone
@@ -100,3 +100,37 @@ def test_filters_and_store(spark):
     assert store.current(log.unionByName(log)).count() == 3
     assert [r["ticker"] for r in store.latest(now, side="buy", signals=["buy"]).collect()] == ["A"]
     assert store.latest(now, min_confidence=52).first()["ticker"] == "B"
+
+
+def test_gauge_rows_without_a_close_say_nothing(spark):
+    import datetime as dt
+
+    from barweave.operators import regime
+
+    days = [dt.date(2026, 1, d) for d in (1, 2, 3)]
+    vix = spark.createDataFrame(list(zip(days, [15.0, None, 18.0])), "date date, close double")
+    bars = spark.createDataFrame([("A", d) for d in days], "ticker string, date date")
+    got = {r["date"]: r["vix_level"] for r in regime.join_vix_asof(bars, vix).collect()}
+    assert got == dict(zip(days, [15.0, 15.0, 18.0]))
+
+
+def test_ties_in_the_log_do_not_depend_on_the_plan(spark):
+    from barweave.operators import store
+
+    rows = [("A", "2026-01-02", 1, float(i)) for i in range(20)]
+    df = spark.createDataFrame(rows, "ticker string, trade_date string, batch_id int, conviction_pct double")
+    picks = {store.current(df.repartition(n)).first()["conviction_pct"] for n in (1, 2, 7)}
+    assert len(picks) == 1
+
+
+def test_surrogate_pressure_is_the_probability_of_the_model(spark):
+    import math
+
+    from barweave.operators import explain, models
+
+    rows = [("A", i, float(i % 7), float((i * 5) % 11), int((i % 7) + (i * 5) % 11 > 11 or i % 9 == 0)) for i in range(200)]
+    df = spark.createDataFrame(rows, "ticker string, date int, x double, y double, target int")
+    coef, mean, base = models.surrogate(df, ["x", "y"])
+    got = explain.pressure(explain.contributions(df, coef, mean), base).collect()
+    want = {r["date"]: base + sum(coef[k] * (r[k] - mean[k]) for k in ("x", "y")) for r in df.collect()}
+    assert base != 0 and all(math.isclose(r["prob_up"], 1 / (1 + math.exp(-want[r["date"]])), rel_tol=1e-9) for r in got)
