@@ -183,25 +183,47 @@ def _shared(spans: DataFrame) -> DataFrame:
     return spans.groupBy("span").applyInArrow(run, "token bigint, key bigint")
 
 
-def _texts(docs: DataFrame, members: DataFrame, wanted: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """(head, tokens) of the wanted classes: the shingles of the whole text of one document each."""
+def _bitmap(ids: DataFrame, bits: int):
+    """A bitmap of ``bits`` bits of the hashes of ``ids`` (a column ``_id``), one byte string; combined on the way."""
+    bit = F.pmod(F.xxhash64("_id"), F.lit(bits))
+    parts = ids.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number(F.col("bit") + 1).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("bit") + 1)).alias("map"))
+    out = bytearray(bits // 8)
+    for r in parts.collect():  # bits / 32768 rows at most
+        out[(r.bucket - 1) * 4096 : r.bucket * 4096] = r.map
+    return bytes(out)
+
+
+def _texts(docs: DataFrame, members: DataFrame, wanted: DataFrame, size: int, id_col: str, text_col: str, count: int) -> DataFrame:
+    """(head, tokens) of the wanted classes: the shingles of the whole text of one document each.
+
+    A bitmap of bounded size tells which documents may be wanted, so that hardly any other
+    is prepared and shuffled; the join then takes exactly the wanted ones.
+    """
+    bits = 1 << 15
+    while bits < min(16 * count, 1 << 27):
+        bits *= 2
+    heads = members.where("key = head").join(wanted, "head", "left_semi").select("head", "same", F.col("doc_id").alias("_id"))
+    marks = _bitmap(heads, bits)
 
     def run(batches):
         import hashlib
 
+        import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         from llm.common import utf8_bytes
 
-        hashed = Words()
+        hashed, map_ = Words(), np.frombuffer(marks, dtype=np.uint8)
         for batch in batches:
-            sets = [shingles(t.lower().split(), size, hashed).tobytes() for t in utf8_bytes(batch.column(0))]
+            bit = batch.column(1).to_numpy()
+            chosen = (map_[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1
+            texts = batch.column(0).filter(pc.cast(pa.array(chosen), pa.bool_()))
+            sets = [shingles(t.lower().split(), size, hashed).tobytes() for t in utf8_bytes(texts)]
             yield pa.RecordBatch.from_arrays([pa.array([hashlib.md5(s).digest() for s in sets], pa.binary()), pa.array(sets, pa.binary())], names=["same", "tokens"])
 
-    heads = members.where("key = head").join(wanted, "head", "left_semi").select("head", "same", F.col("doc_id").alias("_id"))
-    ids = heads.select("_id").distinct()
-    texts = docs.join(ids, docs[id_col].eqNullSafe(ids["_id"]), "left_semi").select(text_col)
-    sets = texts.mapInArrow(run, "same binary, tokens binary").dropDuplicates(["same"])
+    texts = docs.select(F.col(text_col).alias("text"), F.pmod(F.xxhash64(docs[id_col]), F.lit(bits)).alias("bit"))
+    sets = texts.mapInArrow(run, "same binary, tokens binary").join(heads.select("same"), "same", "left_semi").dropDuplicates(["same"])
     return heads.select("head", "same").join(sets, "same").select("head", "tokens")
 
 
@@ -322,7 +344,7 @@ def similar_sets(docs: DataFrame, size: int = 4, percent: int = 85, id_col: str
     pairs = cut(single.union(star).distinct(), "pairs")
 
     wanted = pairs.select(F.col("a").alias("head")).union(pairs.select("b")).union(led.select("head")).distinct()
-    sets = cut(_texts(docs, members, wanted, size, id_col, text_col), "sets")
+    sets = cut(_texts(docs, members, wanted, size, id_col, text_col, count), "sets")
     links = cut(_linked(pairs, sets, percent), "links")
     labels = components(links)
 
