@@ -91,28 +91,28 @@ def upsert_signals(signals: DataFrame, path: str, hot_rows: int = 50, compact_ev
     """Append scanned signals to the log, keyed by batch; refresh the hot view of the newest date.
 
     A replayed batch overwrites its own folders, so nothing is written twice. The log is
-    partitioned by date, so a batch reads the newest date only; every ``compact_every``
+    partitioned by month, so a batch reads the newest month only; every ``compact_every``
     batches the current rows become a new base that readers start from.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         keyed = store.keyed(batch)
-        keyed.write.mode("overwrite").partitionBy("trade_date").parquet(f"{path}/log/run={batch_id}")
+        keyed.withColumn("month", F.date_format("trade_date", "yyyyMM").cast("int")).write.mode("overwrite").partitionBy("month").parquet(f"{path}/log/run={batch_id}")
         schema = StructType([*keyed.schema, *StructType.fromDDL("run bigint")])
         hot = _landed(spark, f"{path}/hot", schema).where(c("run") < batch_id)
         dates = keyed.select("trade_date").union(hot.where(c("run") == hot.agg(F.max("run")).scalar()).select("trade_date"))
         newest = dates.agg(F.max("trade_date")).first()[0]
-        current = read_signals(spark, path, upto=batch_id).where(c("trade_date") == F.lit(newest))
+        current = read_signals(spark, path, upto=batch_id, date=newest)
         store.latest(current, hot_rows).write.mode("overwrite").parquet(f"{path}/hot/run={batch_id}")
         if (batch_id + 1) % compact_every == 0:
-            _versions(spark, path, batch_id).repartition("trade_date").write.mode("overwrite").partitionBy("trade_date").parquet(f"{path}/base/upto={batch_id}")
+            _versions(spark, path, batch_id).repartition("month").write.mode("overwrite").partitionBy("month").parquet(f"{path}/base/upto={batch_id}")
 
     return _start(signals.writeStream.foreachBatch(write), path, available_now)
 
 
-def _versions(spark: SparkSession, path: str, upto: int | None = None) -> DataFrame:
-    """The newest version of each key, with the batch (``run``) that wrote it."""
+def _versions(spark: SparkSession, path: str, upto: int | None = None, date=None) -> DataFrame:
+    """The newest version of each key (of one date), with the batch (``run``) that wrote it."""
     log = spark.read.option("basePath", f"{path}/log").parquet(f"{path}/log")
     if upto is not None:
         log = log.where(c("run") <= upto)
@@ -122,13 +122,15 @@ def _versions(spark: SparkSession, path: str, upto: int | None = None) -> DataFr
     start = base.agg(F.max("upto")).first()[0]
     if start is not None:
         log = log.where(c("run") > start).unionByName(base.where(c("upto") == start).drop("upto"))
+    if date is not None:
+        log = log.where((c("month") == date.year * 100 + date.month) & (c("trade_date") == F.lit(date)))
     order = F.struct("run", *[x for x in ("batch_id",) if x in log.columns])
     return store.current(log, order)
 
 
-def read_signals(spark: SparkSession, path: str, upto: int | None = None) -> DataFrame:
-    """The newest version of each signal: of the newest batch, and in it of the producer's newest."""
-    return _versions(spark, path, upto).drop("run")
+def read_signals(spark: SparkSession, path: str, upto: int | None = None, date=None) -> DataFrame:
+    """The newest version of each signal (of one date): of the newest batch, and in it of the producer's newest."""
+    return _versions(spark, path, upto, date).drop("run", "month")
 
 
 def read_hot(spark: SparkSession, path: str) -> DataFrame:
