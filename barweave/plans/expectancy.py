@@ -258,23 +258,35 @@ def ex_sweep(t):
 
 @query(
     "ex_per_year",
-    ctes(*_BASE, **_MAIN, y="SELECT *, CAST(year(date) AS INTEGER) AS year FROM main", **metrics_sql("y", "year")) + f"SELECT {cols('year n_trades', MEASURES)} FROM me",
+    ctes(*_BASE, **_FINAL, y="SELECT *, CAST(year(date) AS INTEGER) AS year FROM cand", **limited_sql("y", "year"), **metrics_sql("limited", "year"))
+    + f"SELECT {cols('year n_trades', MEASURES)} FROM me",
 )
 def ex_per_year(t):
-    return ex.metrics(_main(t).withColumn("year", F.year("date")), ["year"])
+    """Each year on its own, under the portfolio limits."""
+    rows = _final(t).drop("scenario").withColumn("year", F.year("date"))
+    return ex.metrics(ex.max_concurrent(rows, ["year"], limit=3), ["year"])
+
+
+def _sector(t, rows):
+    """Rows with the sector of their ticker."""
+    labelled = rows.join(t.universe.select("ticker", "sector"), "ticker", "left")
+    return labelled.withColumn("sector", F.coalesce("sector", F.lit("Unknown")))
+
+
+_SECTOR_SQL = "SELECT m.*, coalesce(sector, 'Unknown') AS sector FROM {} m LEFT JOIN universe USING (ticker)"
 
 
 @query(
     "ex_per_sector",
-    ctes(*_BASE, "universe", **_MAIN, y="SELECT m.*, coalesce(sector, 'Unknown') AS sector FROM main m LEFT JOIN universe USING (ticker)", **metrics_sql("y", "sector"),
-         tk="SELECT sector, count(DISTINCT ticker) AS n_tickers FROM y GROUP BY 1")
+    ctes(*_BASE, "universe", **_FINAL, y=_SECTOR_SQL.format("cand"), **limited_sql("y", "sector"), **metrics_sql("limited", "sector"),
+         scored=_SECTOR_SQL.format("oof"), tk="SELECT sector, count(DISTINCT ticker) AS n_tickers FROM scored GROUP BY 1")
     + f"SELECT {cols('sector n_trades n_tickers', MEASURES)} FROM me JOIN tk USING (sector) WHERE n_trades >= 30",
 )
 def ex_per_sector(t):
-    labelled = _main(t).join(t.universe.select("ticker", "sector"), "ticker", "left")
-    labelled = labelled.withColumn("sector", F.coalesce("sector", F.lit("Unknown")))
-    tickers = labelled.select("sector", "ticker").distinct().groupBy("sector").agg(F.count(F.lit(1)).alias("n_tickers"))
-    return ex.metrics(labelled, ["sector"]).where(c("n_trades") >= 30).join(tickers, "sector")
+    """Each sector on its own, under the portfolio limits; tickers are those that were scored."""
+    rows = _sector(t, _final(t).drop("scenario"))
+    tickers = _sector(t, t.oof).select("sector", "ticker").distinct().groupBy("sector").agg(F.count(F.lit(1)).alias("n_tickers"))
+    return ex.metrics(ex.max_concurrent(rows, ["sector"], limit=3), ["sector"]).where(c("n_trades") >= 30).join(tickers, "sector")
 
 
 def _sensitivity(t):
@@ -295,14 +307,13 @@ _SENS_SQL = {
 
 @query(
     "ex_sensitivity",
-    ctes(*_BASE, **_SENS_SQL, o="""SELECT config, count(*) AS n, avg((r > 0)::INT) AS win_rate, avg(r) AS expectancy_r,
-    sum(CASE WHEN r > 0 THEN r ELSE 0 END) / nullif(sum(CASE WHEN r <= 0 THEN -r ELSE 0 END), 0) AS profit_factor FROM sens GROUP BY 1""")
+    ctes(*_BASE, **_SENS_SQL, **limited_sql("sens", "config"), **metrics_sql("limited", "config"), o="SELECT *, n_trades AS n FROM me")
     + f"SELECT {cols('config n', 'win_rate profit_factor expectancy_r')} FROM o",
-)
+)
 def ex_sensitivity(t):
-    return ex.metrics(_sensitivity(t), ["config"]).select(
-        "config", c("n_trades").alias("n"), "win_rate", "profit_factor", "expectancy_r"
-    )
+    """The gate configurations compared, each under the portfolio limits."""
+    limited = ex.max_concurrent(_sensitivity(t), ["config"], limit=3)
+    return ex.metrics(limited, ["config"]).select("config", c("n_trades").alias("n"), "win_rate", "profit_factor", "expectancy_r")
 
 
 @query(
@@ -310,7 +321,7 @@ def ex_sensitivity(t):
     ctes(*_BASE, **_SENS_SQL, **limited_sql("sens", "config"), **metrics_sql("limited", "config")) + f"SELECT {cols('config n_trades', MEASURES)} FROM me",
 )
 def ex_sensitivity_limited(t):
-    """The same configurations under the portfolio limits."""
+    """The same configurations with all measures."""
     return ex.metrics(ex.max_concurrent(_sensitivity(t), ["config"], limit=3), ["config"])
 
 
@@ -330,25 +341,29 @@ def ex_benchmark(t):
 
 _STUDY = {
     **_FINAL,
-    "grouped": """SELECT c.*, CASE WHEN sector = '0' THEN 'control' ELSE 'universe' END AS grp FROM cand c JOIN universe USING (ticker)""",
-    "sliced": "SELECT *, 'all' AS slice FROM grouped UNION ALL SELECT *, CAST(year(date) AS VARCHAR) FROM grouped",
+    "grouped": """SELECT c.*, sector, CASE WHEN sector = '0' THEN 'control' ELSE 'universe' END AS grp FROM cand c JOIN universe USING (ticker)""",
+    "sliced": """SELECT *, 'all' AS slice FROM grouped UNION ALL SELECT *, CAST(year(date) AS VARCHAR) FROM grouped
+    UNION ALL SELECT *, 'sector ' || sector FROM grouped WHERE grp = 'universe'""",
 }
 
 
 @query(
     "ex_study",
     ctes(*_BASE, "universe", **_STUDY, **limited_sql("sliced", "grp, slice"), **metrics_sql("limited", "grp, slice"))
-    + f"SELECT {cols('grp slice n_trades', MEASURES)} FROM me",
+    + f"SELECT {cols('grp slice n_trades', MEASURES)} FROM me WHERE NOT starts_with(slice, 'sector ') OR n_trades >= 30",
 )
 def ex_study(t):
-    """Portfolio-limited results of the universe and of the training tickers, by slice."""
+    """Portfolio-limited results of the universe and of the training tickers: in all, by year, and by sector with enough trades."""
     held = t.universe.where(c("sector") == "0").select("ticker")  # stands for the training tickers
     base = _final(t).drop("scenario")
     outside = base.join(held, "ticker", "left_anti").withColumn("grp", F.lit("universe"))
     control = base.join(held, "ticker", "left_semi").withColumn("grp", F.lit("control"))
-    rows = outside.unionByName(control).withColumn("year", F.year("date").cast("string"))
-    sliced = rows.withColumn("slice", F.explode(F.array(F.lit("all"), c("year"))))
-    return ex.metrics(ex.max_concurrent(sliced, ["grp", "slice"], limit=3), ["grp", "slice"])
+    rows = outside.unionByName(control).join(t.universe.select("ticker", "sector"), "ticker")
+    sector = F.when(c("grp") == "universe", F.concat(F.lit("sector "), c("sector")))
+    slices = F.array_compact(F.array(F.lit("all"), F.year("date").cast("string"), sector))
+    limited = ex.max_concurrent(rows.withColumn("slice", F.explode(slices)), ["grp", "slice"], limit=3)
+    measured = ex.metrics(limited, ["grp", "slice"])
+    return measured.where(~c("slice").startswith("sector ") | (c("n_trades") >= 30))
 
 
 @query(
