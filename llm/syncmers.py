@@ -84,7 +84,7 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - m] + following[:m]
 
 
-def with_neighbours(docs: DataFrame, range_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text", k: int = K, s: int = S, size: int = SIZE) -> DataFrame:
+def with_neighbours(docs: DataFrame, range_rows: int = 4_000, most_ranges: int = 2_000, id_col: str = "doc_id", text_col: str = "text", k: int = K, s: int = S, size: int = SIZE) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
 
     def run(batches):
@@ -132,8 +132,8 @@ def with_neighbours(docs: DataFrame, range_rows: int = 20_000, id_col: str = "do
     count = rows.count()
     if not count:
         return rows.select("doc_id").mapInArrow(lambda batches: iter(()), schema)
-    # the ids that begin ranges, highest first; the number of ranges follows the number of rows
-    ranges = max(1, -(-count // range_rows))
+    # the ids that begin ranges, highest first; a range is streamed, so its size bounds no memory
+    ranges = min(most_ranges, max(1, -(-count // range_rows)))
     quantiles = [i / ranges for i in range(1, ranges)]
     cuts = rows.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, quantiles)), F.lit(10 * ranges + 1000)).alias("q")).first().q if quantiles else None
     begins = sorted(set(cuts or []), reverse=True)
