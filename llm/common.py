@@ -12,7 +12,33 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACES = " \t\n\x0b\x0c\r"
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this repository's packages to the executors, once for each application."""
+    import atexit
+    import tempfile
+    import zipfile
+    from pathlib import Path
+
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = Path(__file__).resolve().parent.parent
+    folder = tempfile.TemporaryDirectory()  # the driver's own; executors fetch the file from the driver
+    atexit.register(folder.cleanup)
+    path = f"{folder.name}/pipeline_packages.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for package in ("llm", "barweave"):
+            for f in sorted((root / package).rglob("*.py")):
+                z.write(f, f.relative_to(root))
+    spark.sparkContext.addPyFile(path)
+    _shipped.add(app)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -22,6 +48,7 @@ def cut(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     The lineage ends at durable files: a lost executor re-reads them.
     """
     spark = df.sparkSession
+    ship(spark)
     path = scratch_path(spark, name)
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
