@@ -17,10 +17,28 @@ from pyspark.sql import functions as F
 from barweave.panel import series
 
 
+#: Exponents beyond this would leave the double range within a window.
+MOST_EXPONENT = 690.0
+#: What is left of a seed after the warm-up, as an exponent: below double precision.
+FORGOTTEN = 37.0
+
+
 def span_alpha(span: int) -> float:
     return 2.0 / (span + 1)
 
 
+def warmup_rows(slowest: float) -> int:
+    """Rows after which an average with this factor, or a faster one, has forgotten its seed."""
+    return math.ceil(FORGOTTEN / -math.log1p(-slowest))
+
+
+def check_window(rows: int, steepest: float) -> None:
+    """Refuse windows of ``rows`` rows in which an average with this factor would overflow."""
+    most = int(MOST_EXPONENT / -math.log1p(-steepest))
+    if rows > most:
+        raise ValueError(f"a window of {rows} rows is too long for a decay factor of {steepest:.4g}: at most {most}; choose fewer rows a segment")
+
+
 def decayed_mean(x: Column, alpha: float, start: Column, seed: Column | None = None, keys=("ticker",)) -> Column:
     """Exponential mean of ``x`` over the rows with ``seq >= start``.
 

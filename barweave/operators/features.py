@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from barweave import panel
 from barweave.functions.exprs import div
-from barweave.functions.recurrence import ema, wilder
+from barweave.functions.recurrence import check_window, ema, span_alpha, warmup_rows, wilder
 from barweave.panel import full, last_rows, series
 
 c = F.col
@@ -345,11 +345,20 @@ BASIC_FEATURES = [
 ]
 
 
-def compute(bars: DataFrame, indicators: list, rows: int = panel.SEGMENT_ROWS) -> DataFrame:
-    """Add the columns of ``indicators`` to sequenced bars."""
+def compute(
+    bars: DataFrame, indicators: list, rows: int = panel.SEGMENT_ROWS, slowest: float = 1 / 14, steepest: float = span_alpha(9)
+) -> DataFrame:
+    """Add the columns of ``indicators`` to sequenced bars.
+
+    ``slowest`` and ``steepest`` are the decay factors among the indicators: the one sets
+    how many rows are replayed before a segment, the other how long a segment may be.
+    The defaults are those of the built-in ones; an own, slower one must name its factor.
+    """
+    back = max(panel.WARMUP_ROWS, warmup_rows(slowest))
+    check_window(rows + back, steepest)
     if obv_ratio in indicators:
         bars = with_obv(bars, rows)
-    return panel.windowed(bars, [layered(*indicators)], back=panel.WARMUP_ROWS, rows=rows)
+    return panel.windowed(bars, [layered(*indicators)], back=back, rows=rows)
 
 
 def compute_all(

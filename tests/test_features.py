@@ -2,6 +2,7 @@ import numpy as np
 import pandas as pd
 import pytest
 from conftest import walk
+from pyspark.sql import functions as F
 
 from barweave import panel
 from barweave.operators import features as f
@@ -89,3 +90,21 @@ def test_one_shuffle_serves_all_windows(small):
     assert "Python" not in plan
     one = f.compute(small.bars, [f.returns, f.volatility, f.sma, f.macd, f.adx])._jdf.queryExecution().executedPlan().toString()
     assert one.count("Exchange hashpartitioning(ticker") == 1
+
+
+def test_slow_averages_need_their_warm_up_and_long_segments_are_refused(make_bars):
+    from barweave.functions.recurrence import ema, span_alpha, warmup_rows
+
+    frame = walk(n=6000)
+    bars = make_bars(frame)
+
+    def slow():
+        yield {"slow": ema(F.col("close"), 60)}
+
+    with pytest.raises(ValueError):
+        f.compute(bars, [slow], rows=4096)
+    assert warmup_rows(1 / 14) <= 512
+    alpha = span_alpha(60)
+    got = f.compute(bars, [slow], rows=2048, slowest=alpha, steepest=alpha).select("seq", "slow").orderBy("seq").toPandas()
+    want = frame["close"].ewm(span=60, adjust=False).mean()
+    assert ((got["slow"] - pd.Series(want.values)) / want.values).abs().max() < 1e-12
