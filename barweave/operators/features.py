@@ -324,7 +324,7 @@ ALL = [
     volume, momentum, lag_returns, range20, median20, candle, calendar,
 ]
 
-# Scale-free inputs of the ensemble and of the small model.
+# The scale-free inputs of the ensemble and of the small model.
 MODEL_FEATURES = [
     "ret_1d", "ret_3d", "ret_5d", "ret_10d", "ret_20d",
     "vol_5d", "vol_10d", "vol_20d", "vol_60d",

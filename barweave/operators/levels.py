@@ -49,8 +49,10 @@ def pivots(bars: DataFrame, left: int = 5, right: int = 5, rows: int = panel.SEG
 def zones(pivoted: DataFrame, tolerance: float = ZONE_GAP) -> DataFrame:
     """Merge pivot prices into zones; a new zone starts after a gap over ``tolerance``.
 
-    Equal prices are counted first, so the ordered pass sees each quoted price
-    once per ticker and kind.
+    Equal prices are counted first. The distinct prices of a ticker are cut by the
+    logarithm of the price, so no task sorts them all: gaps are measured inside a
+    step and against the top of the step before, and zones are numbered by a running
+    sum over the steps (a few thousand at most, as prices span few magnitudes).
     """
     prices = pivoted.select(
         "ticker",
@@ -64,10 +66,16 @@ def zones(pivoted: DataFrame, tolerance: float = ZONE_GAP) -> DataFrame:
         ).alias("p"),
     ).select("ticker", "p.*")
     distinct = prices.groupBy("ticker", "kind", "price").agg(F.count(F.lit(1)).alias("k"))
-    w = Window.partitionBy("ticker", "kind").orderBy("price")
-    prev = F.lag("price").over(w)
+    keys = ["ticker", "kind"]
+    step = F.when(c("price") > 0, F.floor(F.log("price") / 0.01)).otherwise(F.lit(-(1 << 40)))
+    stepped = distinct.withColumn("_step", step)
+    tops = stepped.groupBy(*keys, "_step").agg(F.max("price").alias("_top"))
+    below = tops.select(*keys, "_step", F.lag("_top").over(Window.partitionBy(*keys).orderBy("_step")).alias("_below"))
+    inside = F.lag("price").over(Window.partitionBy(*keys, "_step").orderBy("price"))
+    gaps = stepped.withColumn("_prev", inside).join(below, [*keys, "_step"])
+    prev = F.coalesce("_prev", "_below")
     starts = F.when(F.abs(c("price") - prev) / prev <= tolerance, 0).otherwise(1)
-    marked = distinct.withColumn("_new", starts).withColumn("zone", F.sum("_new").over(w))
+    marked = panel.running(gaps.withColumn("_new", starts), keys, ["price"], "_step", zone=("sum", "_new"))
     return marked.groupBy("ticker", "kind", "zone").agg(
         (F.sum(c("price") * c("k")) / F.sum("k")).alias("level"), F.sum("k").alias("n_pivots")
     )

@@ -8,15 +8,23 @@ from pyspark.sql import functions as F
 c = F.col
 
 # Symbol lists.
-LIQUID = """AAPL MSFT GOOGL AMZN NVDA META TSLA AVGO BRK.B LLY JPM V UNH XOM MA COST HD PG WMT JNJ
-ORCL MRK ADBE CRM NFLX AMD KO PEP BAC TMO LIN CSCO ACN MCD ABT WFC DIS INTC QCOM TXN
-CAT GE VZ IBM NOW AMGN DHR NEE PM UNP SPGI LOW RTX HON UPS BA SBUX GS MS BLK""".split()
-NDX100 = """AAPL ADBE ADI ADP AMAT AMD AMGN AMZN ARM ASML AVGO BKNG CDNS CEG CHTR CMCSA COST CSCO CSX CTAS
-CTSH DASH DDOG EXC FTNT GILD GOOG GOOGL HON INTC INTU ISRG KDP LULU MDB MELI META MNST MRNA MSFT MU NFLX NVDA ODFL
-PANW PDD PEP PYPL QCOM REGN ROST SBUX SMCI SNPS TEAM TSLA TXN VRTX XEL ZS""".split()
-FX_MAJOR = "EURUSD=X GBPUSD=X USDJPY=X USDCHF=X AUDUSD=X USDCAD=X NZDUSD=X EURGBP=X EURJPY=X GBPJPY=X".split()
-CRYPTO20 = """BTC-USD ETH-USD SOL-USD ADA-USD XRP-USD DOGE-USD AVAX-USD DOT-USD MATIC-USD LINK-USD
-LTC-USD BCH-USD UNI-USD ATOM-USD XLM-USD NEAR-USD APT-USD ARB-USD OP-USD FIL-USD""".split()
+LIQUID = [
+    "AAPL", "MSFT", "GOOGL", "AMZN", "NVDA", "META", "TSLA", "AVGO", "BRK.B", "LLY", "JPM", "V", "UNH", "XOM", "MA", "COST", "HD", "PG", "WMT", "JNJ",
+    "ORCL", "MRK", "ADBE", "CRM", "NFLX", "AMD", "KO", "PEP", "BAC", "TMO", "LIN", "CSCO", "ACN", "MCD", "ABT", "WFC", "DIS", "INTC", "QCOM", "TXN",
+    "CAT", "GE", "VZ", "IBM", "NOW", "AMGN", "DHR", "NEE", "PM", "UNP", "SPGI", "LOW", "RTX", "HON", "UPS", "BA", "SBUX", "GS", "MS", "BLK",
+]
+NDX100 = [
+    "AAPL", "ADBE", "ADI", "ADP", "AMAT", "AMD", "AMGN", "AMZN", "ARM", "ASML", "AVGO", "BKNG", "CDNS", "CEG", "CHTR", "CMCSA", "COST", "CSCO", "CSX", "CTAS",
+    "CTSH", "DASH", "DDOG", "EXC", "FTNT", "GILD", "GOOG", "GOOGL", "HON", "INTC", "INTU", "ISRG", "KDP", "LULU", "MDB", "MELI", "META", "MNST", "MRNA", "MSFT", "MU", "NFLX", "NVDA", "ODFL",
+    "PANW", "PDD", "PEP", "PYPL", "QCOM", "REGN", "ROST", "SBUX", "SMCI", "SNPS", "TEAM", "TSLA", "TXN", "VRTX", "XEL", "ZS",
+]
+FX_MAJOR = [
+    "EURUSD=X", "GBPUSD=X", "USDJPY=X", "USDCHF=X", "AUDUSD=X", "USDCAD=X", "NZDUSD=X", "EURGBP=X", "EURJPY=X", "GBPJPY=X",
+]
+CRYPTO20 = [
+    "BTC-USD", "ETH-USD", "SOL-USD", "ADA-USD", "XRP-USD", "DOGE-USD", "AVAX-USD", "DOT-USD", "MATIC-USD", "LINK-USD",
+    "LTC-USD", "BCH-USD", "UNI-USD", "ATOM-USD", "XLM-USD", "NEAR-USD", "APT-USD", "ARB-USD", "OP-USD", "FIL-USD",
+]
 FALLBACK = "mega"
 UNKNOWN = "Unknown"
 
