@@ -59,7 +59,12 @@ def add_blocks(rows: DataFrame, segment_rows: int = panel.SEGMENT_ROWS) -> DataF
         back=1,
         rows=segment_rows,
     ).withColumn("_back", F.coalesce("_back", F.lit(0)))
-    return panel.running(flagged, [], ["seq"], "seg", block=("sum", "_back")).drop("_back", "seq", "seg")
+    # segments are carried inside groups of 1,024, and these groups once more
+    grouped = flagged.withColumn("_group", F.floor(c("seg") / 1024))
+    inside = panel.running(grouped, ["_group"], ["seq"], "seg", block=("sum", "_back"))
+    earlier = Window.orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)  # a row for about two million
+    before = grouped.groupBy("_group").agg(F.sum("_back").alias("_n")).select("_group", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    return inside.join(before, "_group").withColumn("block", c("block") + c("_before")).drop("_back", "seq", "seg", "_group", "_before")
 
 
 def block_checks(blocks: DataFrame) -> DataFrame:
