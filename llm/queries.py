@@ -22,7 +22,7 @@ def tokenizer_path() -> str:
 
 @query("op1_lm_score")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = lm_score.score(table(spark, sf_dir, "documents"), train=remainder("doc_id", 10) != 0)
+    scored = lm_score.byte_score(table(spark, sf_dir, "documents"), train=remainder("doc_id", 10) != 0)
     return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
