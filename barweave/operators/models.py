@@ -147,19 +147,21 @@ def random_draws(n: int, seed: int = SEED) -> list[dict]:
             "stepSize": round(10 ** rng.uniform(-2, -0.523), 4),
             "subsamplingRate": round(rng.uniform(0.6, 1.0), 2),
             "minInstancesPerNode": rng.randint(1, 7),
+            "maxIter": rng.randint(100, 500),
         }
         for _ in range(n)
     ]
 
 
-def tune(df: DataFrame, features: list[str], draws: list[dict], trees: int, geometry: splits.Geometry) -> DataFrame:
+def tune(df: DataFrame, features: list[str], draws: list[dict], trees: int | None = None, geometry: splits.Geometry = splits.Geometry()) -> DataFrame:
     """Mean of the purged folds' accuracies of each draw; one row per draw, best first.
 
-    A draw with a fold that cannot be evaluated counts 0.5.
+    A draw with a fold that cannot be evaluated counts 0.5. ``trees``, if given, is used instead of the draws' own.
     """
     results = []
+    draws = [{**d, "maxIter": trees} for d in draws] if trees else draws
     for i, draw in enumerate(draws):
-        make = lambda d=draw: {"boosted_a": GBTClassifier(maxIter=trees, seed=SEED, labelCol="label", weightCol="weight", **d)}
+        make = lambda d=draw: {"boosted_a": GBTClassifier(seed=SEED, labelCol="label", weightCol="weight", **d)}
         try:
             oof = out_of_fold(df, features, make, geometry)
             hit = ((c("prob_up") >= 0.5).cast("int") == c("target")).cast("double")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barweave import panel
-from barweave.operators import explain, models, splits, targets
+from barweave.operators import explain, models, targets
 from barweave.operators import features as f
 from barweave.operators import scoring as sc
 from barweave.operators.calibration import Calibrator
@@ -18,10 +18,9 @@ c = F.col
 
 # --- training (engine-dependent results: row checks) ------------------------------
 
-# Small ensembles over all rows keep a round trip short; defaults are larger.
-_TREES, _DEPTH = 5, 3
-_GEOMETRY = splits.Geometry(n_splits=3)
-_FEATURES = f.BASIC_FEATURES
+# The operators' defaults (trees, depth, folds) on all rows; the small model has its own features.
+_FEATURES, _BASIC = f.MODEL_FEATURES, f.BASIC_FEATURES
+_TRIALS = 50
 
 
 def _labelled(t):
@@ -33,18 +32,14 @@ def _training(t):
     return t.store("training", lambda: _labelled(t).drop("prob_up"))
 
 
-def _small():
-    return models.member_estimators(_TREES, _DEPTH)
-
-
 def _oof(t):
-    return t.store("oof_scored", lambda: models.out_of_fold(_training(t), _FEATURES, _small, _GEOMETRY))
+    return t.store("oof_scored", lambda: models.out_of_fold(_training(t), _FEATURES, models.member_estimators))
 
 
 @query("ml_ensemble")
 def ml_ensemble(t):
     names = targets.drop_constant(_training(t), f.MODEL_FEATURES)
-    scored = models.Ensemble(names, _small()).fit(_training(t)).transform(_training(t))
+    scored = models.Ensemble(names).fit(_training(t)).transform(_training(t))
     return scored.select("ticker", "date", "target", "prob_up", *[f"prob_{m}" for m in models.MEMBERS])
 
 
@@ -60,27 +55,27 @@ def ml_oof_member_scores(t):
 
 @query("ml_tune")
 def ml_tune(t):
-    return models.tune(_training(t), _FEATURES, models.random_draws(2), 3, splits.Geometry(n_splits=2))
+    return models.tune(_training(t), _FEATURES, models.random_draws(_TRIALS))
 
 
 @query("ml_final_fit")
 def ml_final_fit(t):
     path = scratch_path(t.spark, "model")
-    fitted = models.Ensemble(_FEATURES, _small()).fit(_training(t))
+    fitted = models.Ensemble(_FEATURES).fit(_training(t))
     fitted.save(path, {"rows": _training(t).count()})
     return models.Ensemble.load(path).transform(_training(t)).select("ticker", "date", "prob_up")
 
 
 def _basic(t):
     split = targets.split_temporal(_training(t))
-    train = models.training_rows(split.where(c("role") == "train"), _FEATURES)
-    return models.basic_forest(trees=20).fit(train), split.where(c("role") == "test")
+    train = models.training_rows(split.where(c("role") == "train"), _BASIC)
+    return models.basic_forest().fit(train), split.where(c("role") == "test")
 
 
 @query("ml_basic")
 def ml_basic(t):
     model, test = _basic(t)
-    rows = models.training_rows(test, _FEATURES)
+    rows = models.training_rows(test, _BASIC)
     scored = model.transform(rows).withColumn("prediction", c("prediction").cast("int"))
     return sc.binary_metrics(scored)
 
@@ -88,12 +83,12 @@ def ml_basic(t):
 @query("ml_importance")
 def ml_importance(t):
     model, _ = _basic(t)
-    return models.importances(model, _FEATURES, 5)
+    return models.importances(model, _BASIC, 5)
 
 
 @query("sc_batch")
 def sc_batch(t):
-    model = models.Ensemble(_FEATURES, _small()).fit(_training(t))
+    model = models.Ensemble(_FEATURES).fit(_training(t))
     newest = latest(t.features).dropna(how="any", subset=_FEATURES)
     cal = Calibrator("isotonic").fit(_oof(t))
     return cal.transform(model.transform(newest)).select("ticker", "date", "prob_up", "prob_cal")
@@ -101,7 +96,7 @@ def sc_batch(t):
 
 @query("sc_panel")
 def sc_panel(t):
-    model = models.Ensemble(_FEATURES, _small()).fit(_training(t))
+    model = models.Ensemble(_FEATURES).fit(_training(t))
     return model.transform(models.scorable(t.features, _FEATURES)).select("ticker", "date", "prob_up")
 
 
