@@ -6,8 +6,13 @@ first column (the source) may have any number of values and stays distributed: o
 value, with its cells. The others must be few in combination, which is checked; their
 factors are small lists, and a round is one job that returns one number a combination.
 
-A document is taken with a probability in proportion to its cell's factor; the largest
-factor gets probability 1, so the expected margins are the targets exactly. The draw is a
+A document is taken with a probability in proportion to its cell's factor. With a budget (a
+share of all tokens) the probability is min(1, a * factor), and a is solved over all cells so that
+the expected tokens are the budget; a rare value then can't shrink all others. Cells of
+probability 1 stay below their targets unless rows may be repeated: then a row is taken
+a * factor times on average, and the expected margins are the targets. Without a budget the largest
+factor gets probability 1, so the expected margins are the targets exactly, and the smallest
+cell decides how much is kept. The draw is a
 hash of the document and the seed: the same in a repeated task, and independent of
 the plan. Documents are read twice and never shuffled.
 
@@ -120,13 +125,29 @@ def _product(factors: list[dict], combination: tuple) -> float:
     return out
 
 
+def scale_to(factors: DataFrame, tokens: float, repeat: bool = False) -> float:
+    """The number a for which ``tokens`` are expected of cells (n, factor) taken min(1, a * factor) times, or a * factor times with ``repeat``.
+
+    If all cells together have fewer tokens, all that have a factor are taken.
+    """
+    a, before = 0.0, -1
+    while True:
+        # cells taken whole; each step of Newton's method adds some, up to the root
+        whole = F.col("factor") * F.lit(a) >= 1 if not repeat else F.lit(False)
+        r = factors.where("factor > 0").agg(F.count(F.when(whole, 1)).alias("k"), F.sum(F.when(whole, F.col("n"))).alias("n"), F.sum(F.when(~whole, F.col("n") * F.col("factor"))).alias("rest")).first()
+        if r.k == before or not r.rest:
+            return a
+        a, before = (tokens - (r.n or 0)) / r.rest, r.k
+
+
 def sampled(
     docs: DataFrame, columns: dict[str, Column], targets: dict[str, dict] | None = None, temper: float = 0.7, seed: int = 11,
-    id_col: str = "doc_id", text_col: str = "text",
+    id_col: str = "doc_id", text_col: str = "text", budget: float | None = None, repeat: bool = False,
 ) -> DataFrame:
-    """Every row of ``docs`` inside ``row``, its value of each of ``columns``, tokens, factor, probability, selected.
+    """Every row of ``docs`` inside ``row``, its value of each of ``columns``, tokens, factor, probability, selected, copies.
 
-    The first of ``columns`` may have any number of values.
+    The first of ``columns`` may have any number of values. ``budget`` is the share of all tokens to take;
+    ``copies`` is how often to take the row, more than once only with ``repeat``.
     """
     names = list(columns)
     text = F.coalesce(docs[text_col], F.lit(""))
@@ -138,7 +159,13 @@ def sampled(
     )
     cells = cut(rows.groupBy(*names).agg(F.sum("tokens").alias("n")), "cells")
     factors = cut(raked(cells, names[0], names[1:], targets, temper), "factors")
-    most = factors.agg(F.max("factor")).first()[0] or 1.0
+    if budget is None:
+        scale = 1.0 / (factors.agg(F.max("factor")).first()[0] or 1.0)
+    else:
+        scale = scale_to(factors, budget * (factors.agg(F.sum("n")).first()[0] or 0), repeat)
     joined = rows.join(factors.drop("n"), names)
-    probability = F.col("factor") / F.lit(most)
-    return joined.select("row", *names, "tokens", "factor", probability.alias("probability"), (F.col("_draw") / F.lit(float(16**13)) < probability).alias("selected"))
+    wanted = F.col("factor") * F.lit(scale)
+    if not repeat:
+        wanted = F.least(wanted, F.lit(1.0))
+    copies = (F.floor(wanted) + (F.col("_draw") / F.lit(float(16**13)) < wanted - F.floor(wanted)).cast("long")).alias("copies")
+    return joined.select("row", *names, "tokens", "factor", F.least(wanted, F.lit(1.0)).alias("probability"), (copies > 0).alias("selected"), copies)

@@ -43,10 +43,14 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select(F.col("row.doc_id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
 
 
+#: The token budget of the mixture, as a share of the tokens it is drawn from.
+MIXED_SHARE = 0.5
+
+
 def mixed(docs: DataFrame) -> DataFrame:
-    """Documents with their probabilities for tempered shares of sources, languages and topics."""
+    """Documents with their probabilities for tempered shares of sources, languages and topics, within the token budget."""
     text = F.coalesce(docs["text"], F.lit(""))
-    return mixing.sampled(docs, {"source": docs["source"], "lang": docs["lang"], "topic": mixing.topic(text)})
+    return mixing.sampled(docs, {"source": docs["source"], "lang": docs["lang"], "topic": mixing.topic(text)}, budget=MIXED_SHARE)
 
 
 @query("op3_mixing")
