@@ -4,8 +4,9 @@ Features come from the text alone: densities of a lexicon, how near its words st
 second-person words, capitals, punctuation, and rates of obfuscated spellings. The
 lexicon is mined from training labels: words, and starts of words, which many toxic
 and hardly any clean documents have. At most ``most_rows`` labelled rows, taken by a hash of
-their id, are learnt from (the documented bound of the fit); a part of them is kept from
-the trees and calibrates their scores. All documents are scored where they are read: no
+their id, are learnt from (the documented bound of the fit): half of them of each kind, more
+where the other kind has fewer, weighted to stand for all labels of their kind. A part of them is kept from
+the trees and calibrates their scores, unless the trees would be left with one kind. All documents are scored where they are read: no
 text is shuffled.
 
 Defined results: a null text counts as empty and gets the score of a text without words.
@@ -121,10 +122,10 @@ def _counted(rows: DataFrame, among: frozenset[str] | None) -> DataFrame:
 
 
 def mine_lexicon(sample: DataFrame, least: int = 5, ratio: float = 12.0) -> frozenset[str]:
-    """Terms of at least ``least`` toxic texts that toxic texts have ``ratio`` times as often as clean ones."""
+    """Terms of at least ``least`` toxic texts (half of them where there are few) that toxic texts have ``ratio`` times as often as clean ones."""
     counts = {r.label: r["count"] for r in sample.groupBy("label").count().collect()}
     toxic, clean = counts.get(1, 0), counts.get(0, 0)
-    least = max(least, toxic // 1000)
+    least = max(min(least, max(2, toxic // 2)), toxic // 1000)
     often = {r.term: r.n for r in _counted(sample.where("label = 1"), None).where(F.col("n") >= least).collect()}  # bounded by the sample
     other = {r.term: r.n for r in _counted(sample.where("label = 0"), frozenset(often)).collect()}
     return frozenset(t for t, n in often.items() if (n / (toxic + 1)) / ((other.get(t, 0) + 0.5) / (clean + 1)) >= ratio)
@@ -183,23 +184,31 @@ def fit(
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).where(use)
     known = known.groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("label"))
     place = F.xxhash64("_id", F.lit(seed))
-    known = known.orderBy(place).limit(most_rows)
+    found = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
+    parts = []
+    for kind, other in ((0, 1), (1, 0)):
+        most = max(most_rows // 2, most_rows - found.get(other, 0))
+        weight = max(1.0, found.get(kind, 0) / most)
+        parts.append(known.where(F.col("label") == kind).orderBy(place).limit(most).withColumn("weight", F.lit(weight)))
+    known = parts[0].unionByName(parts[1])
     texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sample = cut(texts.join(F.broadcast(known), "_id"), "labelled")  # at most most_rows ids
     sides = {r.label: r["count"] for r in sample.groupBy("label").count().collect()}
-    if min(sides.get(0, 0), sides.get(1, 0)) < 8:
+    if not sides.get(0) or not sides.get(1):
         total = sum(sides.values())
         return Model(frozenset(), constant=sides.get(1, 0) / total if total else 0.0)
 
     fold = F.pmod(F.xxhash64("_id", F.lit(seed + 1)), F.lit(4))
+    if sample.where(fold != 0).select("label").distinct().count() < 2:
+        fold = F.lit(1)
     model = Model(mine_lexicon(sample.where(fold != 0)))
     rows = cut(featured(sample, model.lexicon, "text").withColumn("fold", fold).withColumn("_label", F.col("label").cast("double")), "features")
     learn = rows.where("fold <> 0").withColumn("_v", array_to_vector("features")).orderBy("_id").coalesce(4)
-    trees = GBTClassifier(featuresCol="_v", labelCol="_label", predictionCol="_label_out", maxIter=12, maxDepth=4, stepSize=0.3, subsamplingRate=0.8, seed=seed, minInstancesPerNode=4)
+    trees = GBTClassifier(featuresCol="_v", labelCol="_label", weightCol="weight", predictionCol="_label_out", maxIter=12, maxDepth=4, stepSize=0.3, subsamplingRate=0.8, seed=seed, minInstancesPerNode=4)
     model.trees = trees.fit(learn).setPredictionCol("").setRawPredictionCol("").setProbabilityCol("_p")
     held = rows.where("fold = 0")
     sides = held.groupBy("_label").count().count()
     if sides == 2:
-        calibrate = IsotonicRegression(featuresCol="_margin", labelCol="_label", predictionCol="_score")
+        calibrate = IsotonicRegression(featuresCol="_margin", labelCol="_label", weightCol="weight", predictionCol="_score")
         model.calibration = calibrate.fit(model._scored(held).withColumnRenamed("score", "_margin"))
     return model
