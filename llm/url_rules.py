@@ -52,7 +52,7 @@ def tokens_of(url: Column) -> Column:
     return F.array_distinct(F.concat(mark("h:", words), mark("d:", F.array(host)), mark("p:", segments), mark("q:", keys)))
 
 
-def mine(pages: DataFrame, labels: DataFrame, id_col: str, label: Column, support: int = 20, confidence: float = 0.5, most_tokens: int = 3) -> DataFrame:
+def mine(pages: DataFrame, labels: DataFrame, id_col: str, label: Column, support: int = 20, confidence: float = 0.5) -> DataFrame:
     """Rules (rule, tokens, confidence, lift, pages) from ``pages`` (id, tokens) whose label is known.
 
     ``label`` is true for bad ones. The number of rules is bounded by ``support``: each
@@ -74,14 +74,13 @@ def mine(pages: DataFrame, labels: DataFrame, id_col: str, label: Column, suppor
     baskets = kept.groupBy("page").agg(F.collect_set("t").alias("t"), F.first("bad").alias("bad"))
     baskets = baskets.select(F.when(F.col("bad") == 1, F.concat("t", F.array(F.lit(BAD)))).otherwise(F.col("t")).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min(1.0, support / total), minConfidence=confidence).fit(cut(baskets, "items"))
-    rules = model.associationRules.where(F.array_contains("consequent", BAD)).where(F.size("antecedent") <= most_tokens)
+    rules = model.associationRules.where(F.array_contains("consequent", BAD))
     rules = cut(rules.select(F.sort_array("antecedent").alias("tokens"), "confidence", "lift", F.round(F.col("support") * total).cast("long").alias("pages")), "rules")
     # a longer rule says nothing new where a shorter one fits
-    short = rules.select(F.col("tokens").alias("less"), F.explode("tokens").alias("t"))
-    longer = rules.select(F.col("tokens").alias("more"), F.explode("tokens").alias("t"))
-    implied = longer.join(short, "t").where(F.size("less") < F.size("more")).groupBy("more", "less").agg(F.count("*").alias("n")).where(F.col("n") == F.size("less"))
-    rules = rules.join(implied.select(F.col("more").alias("tokens")).distinct(), "tokens", "left_anti")
-    return rules.select(F.xxhash64("tokens").alias("rule"), "tokens", "confidence", "lift", "pages")
+    rules = rules.withColumn("rule", F.xxhash64("tokens"))
+    implied = matched(rules.select(F.col("rule").alias("more"), "tokens"), rules, "more").where(F.col("more") != F.col("rule"))
+    rules = rules.join(implied.select(F.col("more").alias("rule")).distinct(), "rule", "left_anti")
+    return rules.select("rule", "tokens", "confidence", "lift", "pages")
 
 
 def matched(pages: DataFrame, rules: DataFrame, key: str) -> DataFrame:
