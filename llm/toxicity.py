@@ -204,7 +204,7 @@ def fit(
     model = Model(mine_lexicon(sample.where(fold != 0)))
     rows = cut(featured(sample, model.lexicon, "text").withColumn("fold", fold).withColumn("_label", F.col("label").cast("double")), "features")
     learn = rows.where("fold <> 0").withColumn("_v", array_to_vector("features")).orderBy("_id").coalesce(4)
-    trees = GBTClassifier(featuresCol="_v", labelCol="_label", weightCol="weight", predictionCol="_label_out", maxIter=12, maxDepth=4, stepSize=0.3, subsamplingRate=0.8, seed=seed, minInstancesPerNode=4)
+    trees = GBTClassifier(featuresCol="_v", labelCol="_label", weightCol="weight", predictionCol="_label_out", maxIter=25, maxDepth=4, stepSize=0.2, subsamplingRate=0.8, seed=seed, minInstancesPerNode=4)
     model.trees = trees.fit(learn).setPredictionCol("").setRawPredictionCol("").setProbabilityCol("_p")
     held = rows.where("fold = 0")
     sides = held.groupBy("_label").count().count()
