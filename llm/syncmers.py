@@ -9,6 +9,11 @@ matched by position. Ties count as smallest at an edge.
 digits; ``likeness`` estimates the Jaccard similarity of the syncmers of two texts from the
 smallest hashes of both fingerprints, exactly if both texts have no more than ``size``.
 
+The sketch is of a fixed size, so a passage that two long texts share hardly shows in it. ``passages``
+matches two texts by position instead, with all of their anchors: two neighbouring anchors and
+the difference of their positions are a link, and a link that both texts have covers the same
+bytes in both. The number of links grows with the text, and so does what is found.
+
 ``with_neighbours`` pairs each document with the next one by descending id. Ranges of ids
 are cut at ids that occur, and each range also gets the document that begins the next
 one, so each task streams through sorted ranges and compares neighbours; texts are shuffled once.
@@ -73,6 +78,52 @@ def likeness(a, b, size: int = SIZE) -> float:
     return float(np.isin(both, a, assume_unique=True)[np.isin(both, b, assume_unique=True)].sum()) / len(both)
 
 
+def links(at, whole):
+    """One hash for each anchor but the last: it, the next one and the difference of their positions."""
+    import numpy as np
+
+    mixed = (whole[:-1] ^ np.diff(at).astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+    mixed = (mixed ^ mixed >> np.uint64(31) ^ whole[1:]) * np.uint64(0x94D049BB133111EB)
+    return mixed ^ mixed >> np.uint64(29)
+
+
+def passages(text: bytes, other: bytes, k: int = K, s: int = S, found=None, its=None):
+    """(start in ``text``, start in ``other``, bytes) of what links of both texts cover, by start in ``text``.
+
+    Links that overlap at the same difference of positions are one passage. A link that ``other``
+    has several times counts at its first place. ``found`` and ``its`` are the texts' anchors, if known.
+    """
+    import numpy as np
+
+    if text == other:
+        return np.array([(0, 0, len(text))] if text else [], dtype=np.int64).reshape(-1, 3)
+    (at, whole), (there, theirs) = found or anchors(text, k, s), its or anchors(other, k, s)
+    if len(at) < 2 or len(there) < 2:
+        return np.zeros((0, 3), dtype=np.int64)
+    mine = links(at, whole)
+    known, first = np.unique(links(there, theirs), return_index=True)
+    place = np.minimum(np.searchsorted(known, mine), len(known) - 1)
+    common = np.flatnonzero(known[place] == mine)
+    if not len(common):
+        return np.zeros((0, 3), dtype=np.int64)
+    begin, end, begin_other = at[common], at[common + 1] + k, there[first[place[common]]]
+    joined = (begin[1:] < end[:-1]) & (np.diff(begin) == np.diff(begin_other))
+    starts = np.flatnonzero(np.concatenate([[True], ~joined]))
+    ends = np.append(starts[1:], len(common)) - 1
+    return np.stack([begin[starts], begin_other[starts], end[ends] - begin[starts]], axis=1)
+
+
+def shared_bytes(found) -> int:
+    """How many bytes of the first text its passages cover, each counted once."""
+    import numpy as np
+
+    if not len(found):
+        return 0
+    end = found[:, 0] + found[:, 2]
+    reached = np.concatenate([[0], np.maximum.accumulate(end)[:-1]])
+    return int(np.maximum(end - np.maximum(found[:, 0], reached), 0).sum())
+
+
 def text_of(found) -> str:
     """A fingerprint as hexadecimal digits, eight for each hash."""
     return found.astype(">u4").tobytes().hex()
@@ -85,26 +136,31 @@ def edited(text: str, following: str) -> str:
 
 
 def with_neighbours(docs: DataFrame, range_rows: int = 4_000, most_ranges: int = 2_000, id_col: str = "doc_id", text_col: str = "text", k: int = K, s: int = S, size: int = SIZE) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, shared_edited, shared_next.
+
+    The last two are bytes of the document in passages that the edited text, or the next document, has too.
+    """
 
     def run(batches):
         import hashlib
 
         import pyarrow as pa
 
-        names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+        names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "shared_edited", "shared_next"]
         out = {name: [] for name in names}
         held = None
 
         def emit(row, text, mark, following, its):
             other = edited(text, following)
             changed = fingerprint(other.encode(), k, s, size)
-            values = (row, len(text), hashlib.sha256(other.encode()).hexdigest(), text_of(mark), text_of(changed), likeness(mark, changed, size), likeness(mark, its, size))
+            whole, own = text.encode(), anchors(text.encode(), k, s)
+            shared = [shared_bytes(passages(whole, x.encode(), k, s, own)) for x in (other, following)]
+            values = (row, len(text), hashlib.sha256(other.encode()).hexdigest(), text_of(mark), text_of(changed), likeness(mark, changed, size), likeness(mark, its, size), *shared)
             for name, value in zip(names, values, strict=True):
                 out[name].append(value)
 
         def flush(kind):
-            types = [kind, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+            types = [kind, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
             batch = pa.RecordBatch.from_arrays([pa.array(out[n], t) for n, t in zip(names, types, strict=True)], names=names)
             for values in out.values():
                 values.clear()
@@ -127,7 +183,7 @@ def with_neighbours(docs: DataFrame, range_rows: int = 4_000, most_ranges: int =
             yield flush(kind)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"doc_id {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    schema = f"doc_id {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, shared_edited bigint, shared_next bigint"
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     count = rows.count()
     if not count:
