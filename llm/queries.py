@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barweave.session import scratch_path
-from llm import exact_dedup, lm_score, mixing, ngram_join, packing, syncmers, token_files, toxicity, url_rules, warc
+from llm import conversation_repair, exact_dedup, lm_score, mixing, ngram_join, packing, spelling, suffix_match, syncmers, token_files, toxicity, twins, url_rules, warc
 from llm.common import remainder, table
 from llm.registry import query
 
@@ -115,3 +115,26 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-files")
     token_files.write(table(spark, sf_dir, "documents"), path, tokenizer_path(), end_id=2)
     return token_files.read(spark, path, {"ids_crc32": F.crc32("ids")})
+
+
+@query("op11_spelling", twins.SPELLING)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spelling.variants(spelling.counted(table(spark, sf_dir, "documents")).where("n >= 2"), times=10)
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+@query("op12_suffix_match", twins.SUFFIX_MATCH)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_match.matched(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), window=10)
+    hit, items = suffix_match.hit_words(F.col("spans")), F.array_join("matches.item_id", ",")
+    return found.select(
+        F.col("row.doc_id").alias("doc_id"), "n_words", hit.alias("n_hit"), F.size("matches").cast("long").alias("n_items"),
+        F.sha2(items.cast("binary"), 256).alias("items_sha256"), (hit > 0).alias("contaminated"),
+    )
+
+
+@query("op13_conversation_repair", twins.CONVERSATION_REPAIR)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = lambda name: F.coalesce(F.col(name).cast("string"), F.lit(" "))
+    hashed = F.crc32(F.concat(one("conv_id"), F.lit(":"), one("turn")).cast("binary"))
+    return conversation_repair.repaired(table(spark, sf_dir, "conversations"), lambda c: conversation_repair.damaged(c, hashed))
