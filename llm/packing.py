@@ -20,22 +20,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from llm.common import cut
-from llm.token_rows import tokenised
 
 PIECES = "doc_id {id}, piece int, start bigint, length int, ids_crc32 bigint"
 
 
-def pieces(tokens: DataFrame, size: int) -> DataFrame:
-    """The pieces of documents of ``tokenised``: doc_id, piece, start, length, ids_crc32."""
+def pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The pieces of documents: doc_id, piece, start, length, ids_crc32; cut in the worker that tokenises."""
 
     def run(batches):
         import zlib
 
         import pyarrow as pa
 
-        for batch in batches:
+        from llm.token_rows import encoded, ended
+
+        for doc_ids, flat, bounds in encoded(batches, tokenizer):
             at, piece, start, length, crc = [], [], [], [], []
-            for i, ids in enumerate(batch.column(1).to_pylist()):
+            for i, ids in enumerate(ended(flat, bounds, end_id)):
                 for k, begin in enumerate(range(0, len(ids) // 4, size)):
                     part = ids[4 * begin : 4 * (begin + size)]
                     at.append(i)
@@ -43,10 +44,11 @@ def pieces(tokens: DataFrame, size: int) -> DataFrame:
                     start.append(begin)
                     length.append(len(part) // 4)
                     crc.append(zlib.crc32(part))
-            columns = [batch.column(0).take(pa.array(at, pa.int32())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int32()), pa.array(crc, pa.int64())]
+            columns = [doc_ids.take(pa.array(at, pa.int32())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int32()), pa.array(crc, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return tokens.mapInArrow(run, PIECES.format(id=tokens.schema["doc_id"].dataType.simpleString()))
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECES.format(id=kind))
 
 
 def sums_of_squares(lengths, size: int, fill: float):
@@ -108,7 +110,7 @@ def pack(rows: DataFrame, size: int, most_in_group: int = 200_000) -> DataFrame:
 
 def packed_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, size: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of all documents with their places."""
-    rows = cut(pieces(tokenised(docs, tokenizer, end_id, id_col, text_col), size), "pieces")
+    rows = cut(pieces(docs, tokenizer, end_id, size, id_col, text_col), "pieces")
     return pack(rows, size)
 
 
