@@ -34,6 +34,17 @@ class Generations:
         return lacking - kept
 
 
+def strings(words) -> list[str]:
+    """An Arrow array of texts without line feeds as a list; faster than item by item."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    if not len(words):
+        return []
+    whole = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
+    return pc.binary_join(whole, pa.scalar("\n", words.type))[0].as_py().split("\n")
+
+
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes; ``most_words`` bounds the memory."""
 
@@ -78,7 +89,7 @@ class Encoder:
         core = pc.utf8_rtrim(words, characters=string.punctuation)
         simple = pc.and_not(pc.utf8_is_alpha(core), own).to_numpy(zero_copy_only=False)
         tailed = pc.not_equal(pc.binary_length(core), pc.binary_length(words)).to_numpy(zero_copy_only=False)
-        texts, cores = words.to_pylist(), pc.utf8_lower(core).to_pylist()
+        texts, cores = strings(words), strings(pc.utf8_lower(core))
         # the pre-tokens of each word: a core of letters and perhaps marks after it, or what the pattern says
         tails = {i: texts[i][len(cores[i]) :] for i in np.flatnonzero(simple & tailed).tolist()}
         whole = np.flatnonzero(own.to_numpy(zero_copy_only=False)).tolist()
