@@ -18,45 +18,43 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from llm.common import cut
-from llm.token_rows import tokenised
 
 
-def _narrow(tokens: DataFrame) -> DataFrame:
-    """The ids in 16 bits where they all fit; the first byte tells."""
+def _counted(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
+    """Token ids in 16 bits where they all fit (the first byte tells), and after them one row a task with its counts of ids.
+
+    Columns: doc_id, n, ids; seen and times, only in the rows of counts, whose n is null.
+    """
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
-            out, length = [], []
-            for ids in batch.column(1).to_pylist():
-                a = np.frombuffer(ids, "<u4")
-                length.append(len(a))
-                out.append(b"\2" + a.astype("<u2").tobytes() if not len(a) or a.max() < 1 << 16 else b"\4" + ids)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(length, pa.int32()), pa.array(out, pa.binary())], names=["doc_id", "n", "ids"])
+        from llm.token_rows import encoded, ended
 
-    return tokens.mapInArrow(run, f"doc_id {tokens.schema['doc_id'].dataType.simpleString()}, n int, ids binary")
+        total, kind = np.zeros(end_id + 1, dtype=np.int64), None
 
+        def rows(doc_ids, n, ids, seen, times):
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (seen, times)]
+            return pa.RecordBatch.from_arrays([doc_ids, pa.array(n, pa.int32()), pa.array(ids, pa.binary()), *lists], names=["doc_id", "n", "ids", "seen", "times"])
 
-def _counted(tokens: DataFrame) -> DataFrame:
-    """How often each id occurs: partial counts by task, then sums."""
-
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        total = np.zeros(0, dtype=np.int64)
-        for batch in batches:
-            for ids in batch.column(0).to_pylist():
-                c = np.bincount(np.frombuffer(ids, f"<u{ids[0]}", offset=1))
-                if len(c) > len(total):
-                    total = np.concatenate([total, np.zeros(len(c) - len(total), dtype=np.int64)])
-                total[: len(c)] += c
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["id", "n"])
+        for doc_ids, ids, bounds in encoded(batches, tokenizer):
+            kind, count = doc_ids.type, len(bounds) - 1
+            seen = np.bincount(ids, minlength=len(total))
+            seen[: len(total)] += total
+            seen[end_id] += count
+            total = seen
+            narrow = end_id < 1 << 16 and (not len(ids) or int(ids.max()) < 1 << 16)
+            tag, width = (b"\2", "<u2") if narrow else (b"\4", "<u4")
+            none = [None] * count
+            yield rows(doc_ids, np.diff(bounds) + 1, [tag + x for x in ended(ids, bounds, end_id, width)], none, none)
+        if kind is not None:
+            some = np.flatnonzero(total)
+            yield rows(pa.nulls(1, kind), [None], [None], [some], [total[some]])
 
-    return tokens.select("ids").mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    schema = f"doc_id {kind}, n int, ids binary, seen array<bigint>, times array<bigint>"
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
 def write(
@@ -64,8 +62,10 @@ def write(
 ) -> None:
     """Tokenise ``docs`` and write the files below ``path``."""
     spark = docs.sparkSession
-    tokens = cut(_narrow(tokenised(docs, tokenizer, end_id, id_col, text_col)), "ids")
-    _counted(tokens).write.parquet(f"{path}/table")
+    counted = cut(_counted(docs, tokenizer, end_id, id_col, text_col), "ids")
+    each = counted.where("seen is not null").select(F.explode(F.arrays_zip("seen", "times")).alias("c"))
+    each.groupBy(F.col("c.seen").alias("id")).agg(F.sum("c.times").alias("n")).write.parquet(f"{path}/table")
+    tokens = counted.where("n is not null").select("doc_id", "n", "ids")
     freq = _table(spark, path)
     total = tokens.agg(F.sum("n")).first()[0] or 0
 
