@@ -10,6 +10,8 @@ double limit of e^709.
 from __future__ import annotations
 
 import math
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
@@ -32,18 +34,38 @@ def warmup_rows(slowest: float) -> int:
     return math.ceil(FORGOTTEN / -math.log1p(-slowest))
 
 
+def longest_window(steepest: float) -> int:
+    """Rows of the longest window in which an average with this factor doesn't overflow."""
+    return int(MOST_EXPONENT / -math.log1p(-steepest))
+
+
 def check_window(rows: int, steepest: float) -> None:
     """Refuse windows of ``rows`` rows in which an average with this factor would overflow."""
-    most = int(MOST_EXPONENT / -math.log1p(-steepest))
+    most = longest_window(steepest)
     if rows > most:
         raise ValueError(f"a window of {rows} rows is too long for a decay factor of {steepest:.4g}: at most {most}; choose fewer rows a segment")
 
 
+_seen: ContextVar[set[float] | None] = ContextVar("factors", default=None)
+
+
+@contextmanager
+def factors():
+    """The decay factors of all averages that are written down in here."""
+    token = _seen.set(found := set())
+    try:
+        yield found
+    finally:
+        _seen.reset(token)
+
+
 def decayed_mean(x: Column, alpha: float, start: Column, seed: Column | None = None, keys=("ticker",)) -> Column:
     """Exponential mean of ``x`` over the rows with ``seq >= start``.
 
     The first value is ``seed`` (default: ``x``) at ``seq == start``.
     """
+    if (seen := _seen.get()) is not None:
+        seen.add(alpha)
     log_q = math.log(1.0 - alpha)
     i = (F.col("seq") - start).cast("double")
     seed = x if seed is None else seed

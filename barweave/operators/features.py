@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from barweave import panel
 from barweave.functions.exprs import div
-from barweave.functions.recurrence import check_window, ema, span_alpha, warmup_rows, wilder
+from barweave.functions.recurrence import check_window, ema, factors, longest_window, warmup_rows, wilder
 from barweave.panel import full, last_rows, series
 
 c = F.col
@@ -339,23 +339,35 @@ MODEL_FEATURES = [
     "market_ret_1d", "market_ret_5d", "market_dist_sma_20", "market_vol_20d", "market_corr_20d",
     "vix_level", "vix_zscore", "vix_change_5d",
 ]
+PANELS = ["rsi", "macd", "macd_signal"]
 BASIC_FEATURES = [
     "ret_1d", "ret_5d", "ret_20d", "vol_5d", "vol_20d", "dist_sma_10", "dist_sma_20",
     "rsi", "volume_ratio", "day_of_week", "month",
 ]
 
 
-def compute(
-    bars: DataFrame, indicators: list, rows: int = panel.SEGMENT_ROWS, slowest: float = 1 / 14, steepest: float = span_alpha(9)
-) -> DataFrame:
+def decay_factors(indicators: list) -> set[float]:
+    """The decay factors of the exponential averages in these indicators, own ones included."""
+    with factors() as found:
+        for indicator in indicators:
+            for _ in indicator():
+                pass
+    return found
+
+
+def compute(bars: DataFrame, indicators: list, rows: int = panel.SEGMENT_ROWS, slowest: float | None = None, steepest: float | None = None) -> DataFrame:
     """Add the columns of ``indicators`` to sequenced bars.
 
-    ``slowest`` and ``steepest`` are the decay factors among the indicators: the one sets
-    how many rows are replayed before a segment, the other how long a segment may be.
-    The defaults are those of the built-in ones; an own, slower one must name its factor.
+    The slowest decay factor sets how many rows are replayed before a segment, the steepest
+    one how long a segment may be: ``rows`` at most, fewer where an average would overflow. The factors are those
+    that the indicators use; ``slowest`` and ``steepest`` can only widen them.
     """
-    back = max(panel.WARMUP_ROWS, warmup_rows(slowest))
-    check_window(rows + back, steepest)
+    used = [x for x in (slowest, steepest, *decay_factors(indicators)) if x is not None]
+    back = panel.WARMUP_ROWS
+    if used:
+        back = max(back, warmup_rows(min(used)))
+        rows = max(back, min(rows, longest_window(max(used)) - back))
+        check_window(rows + back, max(used))
     if obv_ratio in indicators:
         bars = with_obv(bars, rows)
     return panel.windowed(bars, [layered(*indicators)], back=back, rows=rows)
@@ -372,11 +384,12 @@ def compute_all(
     return compute(join_context(bars, market, vix), indicators, rows)
 
 
-def chart_overlays(bars: DataFrame, days: int = 260) -> DataFrame:
-    """Moving averages and bands over the last ``days`` bars of each ticker.
+def chart_overlays(bars: DataFrame, features: DataFrame | None = None, days: int = 260) -> DataFrame:
+    """Moving averages and bands over the last ``days`` bars of each ticker, and the panels below them.
 
     The overlays start at the first charted bar, and are only drawn when more
-    than 210 bars are charted. ``days`` bounds the rows per ticker.
+    than 210 bars are charted. ``days`` bounds the rows per ticker. The panels (rsi, macd, macd_signal) come from
+    ``features``, so they know the whole history; without it there are none.
     """
     if days > panel.SEGMENT_ROWS:
         raise ValueError("chart at most one segment of bars")
@@ -386,9 +399,10 @@ def chart_overlays(bars: DataFrame, days: int = 260) -> DataFrame:
     tail = tail.withColumns({"_first": first, "seg": F.lit(0)})
     enough = F.least(c("_n"), F.lit(days)) > 210
     sma, dev = mean(20, "close"), std(20, "close")
-    return tail.select(
+    drawn = tail.select(
         "ticker", "date", "open", "high", "low", "close", "volume",
         *[F.when(enough, ema(c("close"), n)).alias(f"ema{n}") for n in (20, 50, 200)],
         F.when(enough, sma + 2 * dev).alias("bb_upper"),
         F.when(enough, sma - 2 * dev).alias("bb_lower"),
     )
+    return drawn if features is None else drawn.join(features.select("ticker", "date", *PANELS), ["ticker", "date"], "left")

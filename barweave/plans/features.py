@@ -202,6 +202,8 @@ def joined_sql(names: list[str]) -> str:
 
 
 _ALL = [n for n in QUERIES if n.startswith("f_")]
+# rows that hold all model features
+_COMPLETE = f"SELECT * FROM ({joined_sql(_ALL)}) WHERE {' AND '.join(f'{x} IS NOT NULL' for x in f.MODEL_FEATURES)}"
 
 
 @query("f_all", joined_sql(_ALL))
@@ -218,10 +220,11 @@ def f_all(t):
          fin="SELECT ticker, date, open, high, low, close, volume, CASE WHEN m > 210 THEN e20 END AS ema20, CASE WHEN m > 210 THEN e50 END AS ema50, "
              "CASE WHEN m > 210 THEN e200 END AS ema200, CASE WHEN m > 210 THEN mid + 2 * sd END AS bb_upper, "
              "CASE WHEN m > 210 THEN mid - 2 * sd END AS bb_lower FROM out")
-    + f"SELECT {cols('ticker date', 'open high low close volume ema20 ema50 ema200 bb_upper bb_lower')} FROM fin",
+    + f"SELECT {cols('ticker date', 'open high low close volume ema20 ema50 ema200 bb_upper bb_lower rsi macd macd_signal')} FROM fin"
+    + "".join(f" LEFT JOIN (SELECT ticker, date, {names} FROM ({QUERIES[q].sql})) USING (ticker, date)" for q, names in (("f_rsi", "rsi"), ("f_macd", "macd, macd_signal"))),
 )
 def f_chart_overlays(t):
-    return f.chart_overlays(t.bars)
+    return f.chart_overlays(t.bars, t.features)
 
 
 # --- scalar helpers ---------------------------------------------------------
@@ -289,35 +292,33 @@ def t_return_5(t):
     )
 
 
-_PREP = ["ret_20d", "vol_60d", "dist_sma_50", "volume_ratio"]
+# Rows that hold all model features, in both languages.
+_PREP = f.MODEL_FEATURES
+_WHOLE = ["day_of_week", "month", "quarter", "day_of_month", "is_month_end", "is_month_start"]
 
 
 def _prepared(t):
-    df = f.compute(t.bars, [f.returns, f.volatility, f.dist_sma, f.volume])
-    return targets.drop_incomplete(panel.windowed(df, [targets.add_direction()], ahead=1), _PREP)
+    return targets.drop_incomplete(panel.windowed(t.features, [targets.add_direction()], ahead=1), _PREP)
 
 
 _PREP_SQL = {
-    "feat": f"""SELECT *, close / lag(close, 20) OVER ({W}) - 1 AS ret_20d, {full(60, 'stddev_samp(ret_1d)', 'ret_1d')} AS vol_60d,
-    {full(50, 'avg(close)', 'close')} AS sma_50, {full(20, 'avg(volume)', 'volume')} AS v20,
-    coalesce(CAST(lead(close) OVER ({W}) > close AS INTEGER), 0) AS target FROM rets""",
-    "prep": """SELECT *, (close - sma_50) / sma_50 AS dist_sma_50, volume / v20 AS volume_ratio FROM feat
-    WHERE ret_20d IS NOT NULL AND vol_60d IS NOT NULL AND sma_50 IS NOT NULL AND v20 IS NOT NULL""",
+    "aimed": f"SELECT ticker, date, coalesce(CAST(lead(close) OVER ({W}) > close AS INTEGER), 0) AS target FROM bars",
+    "prep": f"SELECT * FROM ({_COMPLETE}) JOIN aimed USING (ticker, date)",
 }
 
 
-@query("prep_mask", ctes("rets", **_PREP_SQL) + f"SELECT {cols('ticker date target', ' '.join(_PREP))} FROM prep")
+@query("prep_mask", ctes("bars", **_PREP_SQL) + f"SELECT {cols(' '.join(['ticker date target', *_WHOLE]), ' '.join(x for x in _PREP if x not in _WHOLE))} FROM prep")
 def prep_mask(t):
     return _prepared(t).select("ticker", "date", "target", *_PREP)
 
 
+_NAMED = [*((p, p) for p in _PREP), ("always_one", "1"), ("never", "NULL::DOUBLE")]
+
+
 @query(
     "prep_drop_constant",
-    ctes("rets", **_PREP_SQL)
-    + " UNION ALL ".join(
-        f"SELECT '{x}' AS feature, coalesce(count(DISTINCT {e}) > 1, false) AS keep FROM prep"
-        for x, e in [*((p, p) for p in _PREP), ("always_one", "1"), ("never", "NULL")]
-    ),
+    ctes("bars", **_PREP_SQL)
+    + f"SELECT unnest([{', '.join(repr(x) for x, _ in _NAMED)}]) AS feature, unnest([{', '.join(f'coalesce(min({e}) < max({e}), false)' for _, e in _NAMED)}]) AS keep FROM prep",
 )
 def prep_drop_constant(t):
     df = _prepared(t).withColumns({"always_one": F.lit(1.0), "never": F.lit(None).cast("double")})
@@ -326,7 +327,7 @@ def prep_drop_constant(t):
 
 @query(
     "prep_ticker_counts",
-    ctes("rets", **_PREP_SQL)
+    ctes("bars", **_PREP_SQL)
     + "SELECT ticker, count(*) AS n, CAST(sum(target) AS BIGINT) AS n_up, CAST(sum(1 - target) AS BIGINT) AS n_down FROM prep GROUP BY 1",
 )
 def prep_ticker_counts(t):
@@ -335,7 +336,7 @@ def prep_ticker_counts(t):
 
 @query(
     "prep_class_weight",
-    ctes("rets", **_PREP_SQL, k="SELECT target, count(*) AS n FROM prep GROUP BY 1",
+    ctes("bars", **_PREP_SQL, k="SELECT target, count(*) AS n FROM prep GROUP BY 1",
          out="SELECT target, n, (SELECT sum(n) FROM k) / (2.0::DOUBLE * n) AS weight, "
              "(SELECT max(n) FROM k WHERE target = 0) / (SELECT max(n) FROM k WHERE target = 1)::DOUBLE AS positive_weight FROM k")
     + f"SELECT {cols('target n', 'weight positive_weight')} FROM out",

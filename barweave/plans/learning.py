@@ -10,15 +10,18 @@ from barweave.operators import features as f
 from barweave.operators import scoring as sc
 from barweave.operators.calibration import Calibrator
 from barweave.operators.signals import latest
+from barweave.plans.features import _BOUNDS, _COMPLETE, _FOLDS, _PREP_SQL
 from barweave.plans.registry import query
 from barweave.plans.sqlparts import W, cols, ctes
 from barweave.session import scratch_path
 
 c = F.col
 
-# --- training (engine-dependent results: row checks) ------------------------------
-
-# The operators' defaults (trees, depth, folds) on all rows; the small model has its own features.
+# --- training ------------------------------------------------------------------------
+#
+# The operators' defaults (trees, depth, folds) on all rows; the small model has its own features. Probabilities
+# differ between engines, so a query returns its rows with what must hold for them in any engine, and
+# the SQL twin says which rows these are. Equal training rows and settings are fitted once (models.Registry).
 _FEATURES, _BASIC = f.MODEL_FEATURES, f.BASIC_FEATURES
 _TRIALS = 50
 
@@ -32,38 +35,81 @@ def _training(t):
     return t.store("training", lambda: _labelled(t).drop("prob_up"))
 
 
+def _fitted(t, features):
+    return models.Registry(t.spark).fit(_training(t), features)
+
+
 def _oof(t):
     return t.store("oof_scored", lambda: models.out_of_fold(_training(t), _FEATURES, models.member_estimators))
 
 
-@query("ml_ensemble")
+def _valid(members=models.MEMBERS):
+    """All members' probabilities are probabilities, and their mean is the ensemble's."""
+    each = [c(f"prob_{m}") for m in members]
+    inside = F.array(*each, c("prob_up"))
+    return (F.forall(inside, lambda p: p.between(0.0, 1.0)) & (F.abs(sum(each[1:], each[0]) / len(each) - c("prob_up")) < 1e-9)).alias("valid")
+
+
+_TEST = {
+    **_PREP_SQL,
+    "d": "SELECT date, row_number() OVER (ORDER BY date) AS rank, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM prep)",
+    "b": _BOUNDS.format(src="(SELECT max(n) AS n FROM d)"),
+    "folds": _FOLDS,
+    "tests": "SELECT ticker, date, CAST(fold AS INTEGER) AS fold, target FROM folds JOIN d ON rank > test_start AND rank <= test_end JOIN prep USING (date)",
+}
+
+
+@query("ml_ensemble", ctes("bars", **_PREP_SQL) + "SELECT ticker, date, target, true AS valid FROM prep")
 def ml_ensemble(t):
-    names = targets.drop_constant(_training(t), f.MODEL_FEATURES)
-    scored = models.Ensemble(names).fit(_training(t)).transform(_training(t))
-    return scored.select("ticker", "date", "target", "prob_up", *[f"prob_{m}" for m in models.MEMBERS])
+    scored = _fitted(t, targets.drop_constant(_training(t), f.MODEL_FEATURES)).transform(_training(t))
+    return scored.select("ticker", "date", "target", _valid())
 
 
-@query("ml_oof")
+@query("ml_oof", ctes("bars", **_TEST) + "SELECT ticker, date, fold, target, true AS valid FROM tests")
 def ml_oof(t):
-    return _oof(t)
+    return _oof(t).select("ticker", "date", "fold", "target", _valid())
+
 
+_MEMBERS = ", ".join(f"'{m}'" for m in models.MEMBERS)
 
-@query("ml_oof_member_scores")
+
+@query(
+    "ml_oof_member_scores",
+    ctes("bars", **_TEST, up="SELECT fold, avg(target) AS share FROM tests GROUP BY 1")
+    + f"SELECT unnest([{_MEMBERS}]) AS model, (SELECT count(*) FROM up) AS n_folds, true AS better_than_the_rarer_class",
+)
 def ml_oof_member_scores(t):
-    return sc.member_scores(models.member_predictions(_oof(t)))
+    scores = sc.member_scores(models.member_predictions(_oof(t)))
+    rarer = _oof(t).groupBy("fold").agg(F.least(F.avg("target"), 1 - F.avg("target")).alias("r")).agg(F.avg("r")).scalar()
+    return scores.select("model", "n_folds", (c("accuracy") >= rarer - 0.05).alias("better_than_the_rarer_class"))
+
+
+def _draws_sql() -> str:
+    rows = [(m, i, d["maxDepth"], d["maxIter"], d.get("maxLeaves", "NULL")) for m in _TUNED for i, d in enumerate(models.random_draws(_TRIALS, member=m))]
+    values = ", ".join(f"('{m}', {', '.join(map(str, rest))})" for m, *rest in rows)
+    kinds = "member, CAST(draw AS INTEGER) AS draw, CAST(depth AS DOUBLE) AS max_depth, CAST(trees AS DOUBLE) AS trees, CAST(leaves AS DOUBLE) AS max_leaves"
+    return f"SELECT {kinds}, true AS valid FROM (VALUES {values}) v(member, draw, depth, trees, leaves), (SELECT count(*) AS n FROM bars) WHERE n > 0"
+
+
+_TUNED = ("boosted_a", "boosted_b")
 
 
-@query("ml_tune")
+@query("ml_tune", ctes("bars") + _draws_sql())
 def ml_tune(t):
-    return models.tune(_training(t), _FEATURES, models.random_draws(_TRIALS))
+    training = _training(t)
+    parts = [models.tune(training, _FEATURES, models.random_draws(_TRIALS, member=m)).withColumn("member", F.lit(m)) for m in _TUNED]
+    found = parts[0].unionByName(parts[1], allowMissingColumns=True)
+    return found.select("member", "draw", c("maxDepth").alias("max_depth"), c("maxIter").alias("trees"), c("maxLeaves").alias("max_leaves"), c("accuracy").between(0.0, 1.0).alias("valid"))
 
 
-@query("ml_final_fit")
+@query("ml_final_fit", ctes("bars", **_PREP_SQL) + "SELECT ticker, date, true AS same_when_loaded FROM prep")
 def ml_final_fit(t):
     path = scratch_path(t.spark, "model")
-    fitted = models.Ensemble(_FEATURES).fit(_training(t))
+    fitted = _fitted(t, _FEATURES)
     fitted.save(path, {"rows": _training(t).count()})
-    return models.Ensemble.load(path).transform(_training(t)).select("ticker", "date", "prob_up")
+    now = fitted.transform(_training(t)).withColumnRenamed("prob_up", "_now")
+    both = models.Ensemble.load(path).transform(now.drop(*[f"prob_{m}" for m in models.MEMBERS]))
+    return both.select("ticker", "date", (F.abs(c("prob_up") - c("_now")) < 1e-9).alias("same_when_loaded"))
 
 
 def _basic(t):
@@ -86,18 +132,26 @@ def ml_importance(t):
     return models.importances(model, _BASIC, 5)
 
 
-@query("sc_batch")
+_SCORED = {
+    "complete": _COMPLETE,
+    "newest": "SELECT ticker, max(date) AS date FROM bars WHERE date <= (SELECT max(date) FROM vix) GROUP BY 1",
+}
+
+
+@query("sc_batch", ctes("bars", "vix", **_SCORED) + "SELECT ticker, date, true AS valid FROM complete SEMI JOIN newest USING (ticker, date)")
 def sc_batch(t):
-    model = models.Ensemble(_FEATURES).fit(_training(t))
-    newest = latest(t.features).dropna(how="any", subset=_FEATURES)
-    cal = Calibrator("isotonic").fit(_oof(t))
-    return cal.transform(model.transform(newest)).select("ticker", "date", "prob_up", "prob_cal")
+    model = _fitted(t, _FEATURES)
+    newest = latest(t.features.where(c("date") <= t.vix.agg(F.max("date")).scalar())).dropna(how="any", subset=_FEATURES)
+    scored = Calibrator("isotonic").fit(_oof(t)).transform(model.transform(newest))
+    return scored.select("ticker", "date", (c("prob_up").between(0.0, 1.0) & c("prob_cal").between(0.01, 0.99)).alias("valid"))
 
 
-@query("sc_panel")
+@query(
+    "sc_panel",
+    ctes("bars", **_SCORED, k="SELECT ticker, count(*) AS n FROM complete GROUP BY 1") + "SELECT ticker, date, true AS valid FROM complete JOIN k USING (ticker) WHERE n >= 60",
+)
 def sc_panel(t):
-    model = models.Ensemble(_FEATURES).fit(_training(t))
-    return model.transform(models.scorable(t.features, _FEATURES)).select("ticker", "date", "prob_up")
+    return _fitted(t, _FEATURES).transform(models.scorable(t.features, _FEATURES)).select("ticker", "date", _valid())
 
 
 @query("xp_contributions")

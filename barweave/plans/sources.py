@@ -288,7 +288,7 @@ def _prepared(t):
     return prepared(t).select("ticker", "date", "close", "target", "ret_20d", "vol_60d")
 
 
-_SINK = ctes("rets", **_PREP_SQL) + f"SELECT {cols('ticker date target', 'close ret_20d vol_60d')} FROM prep"
+_SINK = ctes("bars", **_PREP_SQL) + f"SELECT {cols('ticker date target', 'close ret_20d vol_60d')} FROM prep"
 
 
 @query("sink_processed", _SINK)

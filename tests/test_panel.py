@@ -121,3 +121,14 @@ def test_max_concurrent_is_exact_for_any_width(spark, width):
     df = spark.createDataFrame(pd.DataFrame(rows)).withColumn("held", F.col("held").cast("int")).withColumn("date", F.to_date("date"))
     got = expectancy.max_concurrent(df, ["s"], limit=3, width=width)
     assert sorted((r.ticker, r.pos_t) for r in got.collect()) == _limited(rows, 3)
+
+
+def test_an_own_slow_indicator_needs_no_word(make_bars):
+    def slow():
+        yield {"slow": features.ema(F.col("close"), 101)}
+
+    bars = make_bars(walk("A", 4000))
+    got = _sorted(features.compute(bars, [slow], rows=1000), "date")
+    want = got.close.ewm(alpha=2 / 102, adjust=False).mean()
+    assert np.allclose(got.slow, want, rtol=1e-12)
+    assert features.decay_factors([slow, features.atr]) == {2 / 102, 1 / 14}
