@@ -244,14 +244,75 @@ def _occupy(busy: Column, x: Column) -> Column:
     return F.when(busy < x["pos_t"], x["pos_t"] + x["held"]).otherwise(busy)
 
 
+#: Segments whose exit tables are composed in one row, at each level.
+FAN_OUT = 1024
+
+
+def _after(table: Column, over: Column) -> Column:
+    return F.element_at(table, (over + 1).cast("int"))
+
+
+def _composed(items: Column) -> Column:
+    """The exit table of consecutive pieces of a series, each (first, last, exits), as one piece.
+
+    Where a segment between two pieces has no decision, no trade reaches over it.
+    """
+
+    def then(acc: Column, x: Column) -> Column:
+        meets = acc["last"] == x["first"] - 1
+        exits = F.transform(acc["exits"], lambda o: _after(x["exits"], F.when(meets, o).otherwise(F.lit(0).cast("long"))))
+        return F.struct(acc["first"].alias("first"), x["last"].alias("last"), exits.alias("exits"))
+
+    return F.aggregate(F.slice(items, 2, FAN_OUT), F.element_at(items, 1), then)
+
+
+def _overhangs(items: Column, over: Column) -> Column:
+    """(first, over) of consecutive pieces: what reaches into each, when ``over`` reaches into the first."""
+    head = F.element_at(items, 1)
+    start = F.array(F.struct(head["first"].alias("first"), over.alias("over"), head["last"].alias("last"), _after(head["exits"], over).alias("out")))
+
+    def follow(acc: Column, x: Column) -> Column:
+        before = F.element_at(acc, -1)
+        over = F.when(before["last"] == x["first"] - 1, before["out"]).otherwise(F.lit(0).cast("long"))
+        return F.array_append(acc, F.struct(x["first"].alias("first"), over.alias("over"), x["last"].alias("last"), _after(x["exits"], over).alias("out")))
+
+    return F.transform(F.aggregate(F.slice(items, 2, FAN_OUT), start, follow), lambda x: F.struct(x["first"].alias("first"), x["over"].alias("over")))
+
+
+def overhangs(exits: DataFrame, keys: list[str], levels: int = 3) -> DataFrame:
+    """What reaches into each segment: (*keys, seg, _over). ``exits``: (*keys, seg, _exits), a table of exits by overhang.
+
+    The tables are finite maps, and maps compose in any grouping: up a tree of ``FAN_OUT`` pieces a
+    row they become one map for each group, and down the tree the overhang at the start of
+    each group gives those inside. No row holds more than ``FAN_OUT`` tables, whatever a series' length
+    (three levels reach a thousand million segments).
+    """
+    seg = c("seg").cast("long")
+    pieces = exits.select(*keys, seg.alias("_at"), F.struct(seg.alias("first"), seg.alias("last"), c("_exits").alias("exits")).alias("_piece"))
+    tree = []
+    for _ in range(levels):
+        groups = pieces.groupBy(*keys, F.floor(c("_at") / FAN_OUT).alias("_at")).agg(F.array_sort(F.collect_list("_piece")).alias("_items"))
+        tree.append(groups)
+        pieces = groups.select(*keys, "_at", _composed(c("_items")).alias("_piece"))
+    # nothing reaches into the first group of the highest level: with all levels that is the whole series
+    found = tree[-1].withColumn("_over", F.lit(0).cast("long"))
+    for level in range(levels - 1, -1, -1):
+        each = found.select(*keys, F.explode(_overhangs(c("_items"), c("_over"))).alias("_s")).select(*keys, c("_s.first").alias("_first"), c("_s.over").alias("_over"))
+        if not level:
+            return each.select(*keys, c("_first").cast("int").alias("seg"), "_over")
+        # a group begins at its first segment with decisions
+        below = tree[level - 1].withColumn("_first", F.element_at("_items", 1)["first"])
+        found = below.join(each, [*keys, "_first"])
+
+
 def one_position(df: DataFrame, keys: list[str], max_hold: int = MAX_HOLD, rows: int = panel.SEGMENT_ROWS) -> DataFrame:
     """Greedy per ticker: skip decisions made while the last accepted trade is open.
 
     The history is cut into segments of ``rows`` sessions. A trade reaches at
     most ``max_hold`` sessions into the next segment, so each segment is first
-    folded for every possible overhang at its start; chaining these small
-    tables gives the true overhang, and one more fold accepts the decisions. No
-    task ever holds more than one segment of a ticker.
+    folded for every possible overhang at its start; composing these small
+    tables (``overhangs``) gives the true overhang, and one more fold accepts the decisions. No
+    task or row ever holds more than one segment of a ticker, or a bounded number of tables.
     """
     if max_hold >= rows:
         raise ValueError("a segment must be longer than the longest trade")
@@ -259,23 +320,9 @@ def one_position(df: DataFrame, keys: list[str], max_hold: int = MAX_HOLD, rows:
     placed = df.withColumn("seg", panel.segment_of(c("pos_t"), rows))
     packed = placed.groupBy(*on).agg(F.array_sort(F.collect_list(F.struct("pos_t", "held"))).alias("_items"))
     base = c("seg").cast("long") * rows
-    overhangs = F.sequence(F.lit(0).cast("long"), F.lit(max_hold).cast("long"))
-    exits = F.transform(overhangs, lambda o: F.greatest(F.lit(0), F.aggregate("_items", base + o, _occupy) - base - rows))
-
-    # overhang at the start of each segment: follow the exits from the first one
-    chain = packed.select(*on, exits.alias("_exits")).groupBy(*keys, "ticker").agg(
-        F.array_sort(F.collect_list(F.struct("seg", "_exits"))).alias("_segs")
-    )
-    entry = F.struct(F.lit(-1).alias("seg"), F.lit(0).cast("long").alias("over"), F.lit(0).cast("long").alias("out"))
-
-    def follow(acc, x):
-        last = F.element_at(acc, -1)
-        over = F.when(last["seg"] == x["seg"] - 1, last["out"]).otherwise(F.lit(0).cast("long"))
-        out = F.element_at(x["_exits"], (over + 1).cast("int"))
-        return F.array_append(acc, F.struct(x["seg"].alias("seg"), over.alias("over"), out.alias("out")))
-
-    starts = chain.select(*keys, "ticker", F.explode(F.aggregate("_segs", F.array(entry), follow)).alias("_s"))
-    starts = starts.select(*keys, "ticker", c("_s.seg").alias("seg"), c("_s.over").alias("_over"))
+    entering = F.sequence(F.lit(0).cast("long"), F.lit(max_hold).cast("long"))
+    exits = F.transform(entering, lambda o: F.greatest(F.lit(0), F.aggregate("_items", base + o, _occupy) - base - rows))
+    starts = overhangs(packed.select(*on, exits.alias("_exits")), [*keys, "ticker"])
 
     fresh = F.struct((base + c("_over")).alias("busy"), F.array().cast("array<bigint>").alias("taken"))
 

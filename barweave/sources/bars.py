@@ -50,7 +50,7 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
 def write_csv(bars: DataFrame, path: str) -> None:
     """One folder per ticker with a zoned timestamp column."""
     stamp = F.concat(c("date").cast("string"), F.lit(" 05:00:00+00:00")).alias("ts")
-    bars.select(stamp, *OHLCV, "ticker").write.partitionBy("ticker").csv(path, header=True)
+    balanced(bars.select(stamp, *OHLCV, "ticker"), "ticker").write.partitionBy("ticker").csv(path, header=True)
 
 
 def prepare(bars: DataFrame) -> DataFrame:
@@ -169,9 +169,14 @@ def from_ticks(ticks: DataFrame, window: str = "1 hour") -> DataFrame:
 # --- sinks ------------------------------------------------------------------------
 
 
-def write_processed(df: DataFrame, path: str) -> None:
-    """Processed rows, one folder per ticker."""
-    df.write.partitionBy("ticker").parquet(path)
+def balanced(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows of a key together, so that it gets few files; adaptive execution splits hot keys and joins small partitions."""
+    return df.hint("rebalance", *[c(k) for k in keys])
+
+
+def write_processed(df: DataFrame, path: str, rows_a_file: int = 5_000_000) -> None:
+    """Processed rows, one folder per ticker: a small ticker has one file, a large one as many as it needs."""
+    balanced(df, "ticker").write.option("maxRecordsPerFile", rows_a_file).partitionBy("ticker").parquet(path)
 
 
 def write_unified(df: DataFrame, path: str, day: str) -> None:

@@ -7,6 +7,10 @@ exact. With ``available_now`` a job handles what has landed and stops.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+from datetime import timedelta
+from functools import reduce
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -142,62 +146,158 @@ def read_hot(spark: SparkSession, path: str) -> DataFrame:
 # --- alerts -----------------------------------------------------------------------------
 
 
+def _sent_days(spark: SparkSession, path: str, memory: str) -> dict:
+    """Folders of the outbox, by the day of sending, that ``memory`` can reach."""
+    first, today = spark.sql(f"SELECT date(current_timestamp() - INTERVAL {memory}), date(current_timestamp())").first()
+    days = [first + timedelta(days=k) for k in range((today - first).days + 1)]
+    return {day: f"{path}/outbox/sent_day={day}" for day in days}
+
+
 def dedup_alerts(signals: DataFrame, path: str, memory: str = alerts.MEMORY, available_now: bool = True) -> StreamingQuery:
     """Outbox rows for strong tradable signals, once per ticker and day within ``memory`` of sending.
 
-    What was sent is in the outbox itself; a signal is sent whatever its date. A replayed
-    batch overwrites its own folder.
+    What was sent is in the outbox itself, in a folder for each day of sending, and a batch opens only the
+    days that ``memory`` reaches, however old the outbox is. A signal is sent whatever its date. A replayed
+    batch overwrites its own folder, also that of a day before.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         strong = alerts.select(batch)
         schema = StructType([*strong.schema, *StructType.fromDDL("sent_at timestamp, run bigint")])
-        sent = _landed(spark, f"{path}/outbox", schema).where(c("run") != batch_id)
-        sent = sent.where(c("sent_at") >= F.current_timestamp() - F.expr(f"INTERVAL {memory}"))
+        folders = _sent_days(spark, path, memory)
+        logs = [_landed(spark, folder, schema) for folder in folders.values()]
+        sent, target = reduce(DataFrame.unionByName, logs), list(folders.values())[-1]
+        for folder, log in zip(folders.values(), logs, strict=True):
+            if not log.where(c("run") == batch_id).isEmpty():
+                target = folder
+        sent = sent.where((c("run") != batch_id) & (c("sent_at") >= F.current_timestamp() - F.expr(f"INTERVAL {memory}")))
         fresh = alerts.unsent(strong, sent).withColumn("sent_at", F.current_timestamp())
-        fresh.write.mode("overwrite").parquet(f"{path}/outbox/run={batch_id}")
+        fresh.write.mode("overwrite").parquet(f"{target}/run={batch_id}")
 
     return _start(signals.writeStream.foreachBatch(write), path, available_now)
 
 
 def read_outbox(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/outbox").drop("run")
+    return spark.read.parquet(f"{path}/outbox").drop("run", "sent_day")
 
 
 # --- outcomes ----------------------------------------------------------------------------
 
 _SIGNAL = ["ticker", "trade_date", "seq", "side", "entry", "stop_loss", "tp1"]
 _BAR = ["ticker", "seq", "date", "high", "low", "close"]
+_PAIR = "ticker string, trade_date date, side string, entry double, stop_loss double, tp1 double, k int, high double, low double, close double"
+#: Bar numbers of one ticker whose state is one key: a hot ticker has many keys, and a key's state is bounded.
+BLOCK = 64
+
+
+def _pairing(sessions: int, block: int):
+    """The state of a (ticker, block of bar numbers): its bars, and the signals that still wait for some of them."""
+    from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+
+    class Pairing(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.bars = handle.getListState("bars", "seq bigint, date date, high double, low double, close double")
+            self.waiting = handle.getListState("waiting", "seq bigint, trade_date date, side string, entry double, stop_loss double, tp1 double, left int")
+
+        def handleInputRows(self, key, rows, timerValues):
+            import pandas as pd
+
+            known, waiting = list(self.bars.get()), list(self.waiting.get())
+            bars, signals = [], []
+            for pdf in rows:
+                for r in pdf.astype(object).where(pdf.notna(), None).itertuples(index=False):
+                    if r.is_signal:
+                        signals.append((int(r.seq), r.date, r.side, r.entry, r.stop_loss, r.tp1))
+                    else:
+                        bars.append((int(r.seq), r.date, r.high, r.low, r.close))
+            out = []
+
+            def paired(signal, by_seq) -> int:
+                """Write the signal's bars among these; how many of its bar numbers they settle."""
+                settled = 0
+                for k in range(1, sessions + 1):
+                    for _, date, high, low, close in by_seq.get(signal[0] + k, ()):
+                        if date is not None and signal[1] is not None and date > signal[1]:
+                            out.append((key[0], *signal[1:6], k, high, low, close))
+                    settled += signal[0] + k in by_seq
+                return settled
+
+            def numbered(some):
+                by_seq = {}
+                for bar in some:
+                    by_seq.setdefault(int(bar[0]), []).append(tuple(bar))
+                return by_seq
+
+            fresh, every, still = numbered(bars), numbered([*known, *bars]), []
+            for w in waiting:
+                left = w[6] - paired(tuple(w)[:6], fresh)
+                if left > 0:
+                    still.append((*tuple(w)[:6], left))
+            for signal in signals:
+                here = sum((signal[0] + k) // block == key[1] for k in range(1, sessions + 1))
+                left = here - paired(signal, every)
+                if left > 0:
+                    still.append((*signal, left))
+            if bars:
+                self.bars.appendList(bars)
+            if still != [tuple(w) for w in waiting]:
+                self.waiting.put(still) if still else self.waiting.clear()
+            names = ["ticker", "trade_date", "side", "entry", "stop_loss", "tp1", "k", "high", "low", "close"]
+            yield pd.DataFrame(out, columns=names).astype({"k": "int32", **{x: "float64" for x in ("entry", "stop_loss", "tp1", "high", "low", "close")}})
+
+        def close(self) -> None:
+            pass
+
+    return Pairing()
+
+
+@contextmanager
+def _on_disk(spark: SparkSession):
+    """Streams that start in here keep their state in RocksDB, and write what changed in it with each batch."""
+    want = {
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    }
+    before = {k: spark.conf.get(k, None) for k in want}
+    for k, v in want.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def resolve_signals(signals: DataFrame, bars: DataFrame, path: str, sessions: int = outcomes.RESOLVE_SESSIONS, available_now: bool = True) -> StreamingQuery:
+def resolve_signals(signals: DataFrame, bars: DataFrame, path: str, sessions: int = outcomes.RESOLVE_SESSIONS, block: int = BLOCK, available_now: bool = True) -> StreamingQuery:
     """Pair each signal with its next bars as they arrive, in any order.
 
-    Both sides are kept as tables keyed by batch: a batch joins its signals with all bars
-    and its bars with the earlier signals. A signal waits for bar numbers seq+1 …
-    seq+sessions of its ticker, so the join is by (ticker, bar number) and no key is
-    hot. There is no watermark: a signal or a bar may be as late as it likes.
+    A signal waits for the bars seq+1 … seq+sessions of its ticker. Both sides are dealt by
+    (ticker, block of bar numbers) into keyed state: a block's bars, and the signals waiting for some of them,
+    which leave when the last has come. A signal whose bars lie in two blocks waits in both. So a batch
+    reads and writes the state of the blocks it touches and nothing of the history, and no key is hot.
+    There is no watermark: a signal or a bar may be as late as it likes, so bars stay, on disk, in the state of their block.
     """
-    signal, bar = signals.select(*_SIGNAL), bars.select(*_BAR)
-    none = lambda df: F.lit(None).cast(StructType(df.schema.fields))
-    both = signal.select(F.struct(*_SIGNAL).alias("signal"), none(bar).alias("bar")).unionByName(bar.select(none(signal).alias("signal"), F.struct(*_BAR).alias("bar")))
-    shapes = {"signals": signal.schema, "bars": bar.schema}
+    if sessions > block:
+        raise ValueError("a signal's bars must fit into two blocks")
+    cast = {"trade_date": "date", "seq": "bigint", "entry": "double", "stop_loss": "double", "tp1": "double", "date": "date", "high": "double", "low": "double", "close": "double"}
+    of = lambda n: F.floor((c("seq") + n) / block).cast("long")
+    none = lambda names, kind: [F.lit(None).cast(kind).alias(n) for n in names]
+    own = lambda names: [c(n).cast(cast[n]) for n in names]
+    signal = signals.select(*_SIGNAL).where("ticker is not null and seq is not null").select(
+        "ticker", F.explode(F.array_distinct(F.array(of(1), of(sessions)))).alias("block"), F.lit(True).alias("is_signal"), *own(["seq"]),
+        c("trade_date").cast("date").alias("date"), "side", *own(["entry", "stop_loss", "tp1"]), *none(["high", "low", "close"], "double"),
+    )
+    bar = bars.select(*_BAR).where("ticker is not null and seq is not null").select(
+        "ticker", of(0).alias("block"), F.lit(False).alias("is_signal"), *own(["seq", "date"]), *none(["side"], "string"), *none(["entry", "stop_loss", "tp1"], "double"), *own(["high", "low", "close"]),
+    )
+    pairs = signal.unionByName(bar).groupBy("ticker", "block").transformWithStateInPandas(_pairing(sessions, block), _PAIR, "append", "none")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        batch.where("signal is not null").select("signal.*").write.mode("overwrite").parquet(f"{path}/signals/run={batch_id}")
-        batch.where("bar is not null").select("bar.*").write.mode("overwrite").parquet(f"{path}/bars/run={batch_id}")
-        kept = {k: _landed(spark, f"{path}/{k}", StructType([*s, *StructType.fromDDL("run bigint")])).where(c("run") <= batch_id) for k, s in shapes.items()}
-        waiting = kept["signals"].withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(sessions)))).withColumn("want", c("seq") + c("k")).withColumnRenamed("run", "of_signal").drop("seq")
-        arrived = kept["bars"].select("ticker", c("seq").alias("want"), "date", "high", "low", "close", c("run").alias("of_bar"))
-        mine = lambda name: c(name) == batch_id
-        pairs = waiting.where(mine("of_signal")).join(arrived, ["ticker", "want"])
-        pairs = pairs.unionByName(waiting.where(~mine("of_signal")).join(arrived.where(mine("of_bar")), ["ticker", "want"]))
-        slim = pairs.where(c("date") > c("trade_date")).select("ticker", "trade_date", "side", "entry", "stop_loss", "tp1", "k", "high", "low", "close")
-        slim.write.mode("overwrite").parquet(f"{path}/pairs/run={batch_id}")
-
-    return _start(both.writeStream.foreachBatch(write), path, available_now)
+        batch.write.mode("overwrite").parquet(f"{path}/pairs/run={batch_id}")
+
+    with _on_disk(signals.sparkSession):
+        return _start(pairs.writeStream.outputMode("append").foreachBatch(write), path, available_now)
 
 
 def read_outcomes(spark: SparkSession, path: str) -> DataFrame:
