@@ -8,6 +8,7 @@ from operator import and_
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from barweave.operators.features import MODEL_FEATURES
 from barweave.operators.signals import latest
 
 c = F.col
@@ -24,9 +25,15 @@ PUBLIC_COLUMNS = [
 ]
 
 
-def scan(signals: DataFrame) -> DataFrame:
-    """Latest complete signal per ticker."""
-    return latest(signals).where(c("entry").isNotNull() & c("volume_ratio").isNotNull())
+def scan(signals: DataFrame, features: DataFrame, names: list[str] = MODEL_FEATURES) -> DataFrame:
+    """The signal of each ticker's newest bar, with its rsi, if it has levels and all features ``names`` of that bar are there.
+
+    A ticker without them could not be scored, so it has no row.
+    """
+    newest = latest(signals).where(c("entry").isNotNull()).drop("rsi")
+    # the newest bars' features only: the rest never reaches the join
+    complete = features.select("ticker", "date", *names).join(newest.select("ticker", "date"), ["ticker", "date"], "left_semi").dropna(how="any", subset=names)
+    return newest.join(complete.select("ticker", "date", *(["rsi"] if "rsi" in names else [])), ["ticker", "date"])
 
 
 def ranked(df: DataFrame) -> DataFrame:

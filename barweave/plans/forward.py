@@ -101,13 +101,19 @@ def pt_list(t):
 @query(
     "import_legacy",
     ctes("signals", **_RES)
-    + f"SELECT {cols('ticker trade_date direction_correct hit_tp1 hit_sl', 'next_close next_ret_pct')} FROM outc WHERE trade_date < DATE '{_CUT}'",
+    + f"""SELECT s.ticker, s.date AS trade_date, s.signal, s.side, o.direction_correct, o.hit_tp1, o.hit_sl, {", ".join(f"floor(o.{x} * 1e6 + 0.5) / 1e6 AS {x}" for x in ("next_close", "next_ret_pct"))},
+    false AS imported_again FROM signals s LEFT JOIN outc o ON o.ticker = s.ticker AND o.trade_date = s.date AND o.trade_date < DATE '{_CUT}'""",
 )
 def import_legacy(t):
     done = _known(t).select(*outcomes.OUTCOME_COLUMNS, F.lit("done").alias("resolved_at"))
-    legacy = _recorded(t).join(done, outcomes.KEY, "left")
-    _, rows = outcomes.split_legacy(legacy)
-    return outcomes.import_if_empty(rows.limit(0), rows)
+    signals, results = outcomes.split_legacy(_recorded(t).join(done, outcomes.KEY, "left"))
+    stored, known = (outcomes.import_if_empty(rows.limit(0), rows) for rows in (signals, results))
+    # a table that holds rows takes no others
+    again = outcomes.import_if_empty(signals, signals).select(*outcomes.KEY, F.lit(True).alias("_again"))
+    both = stored.join(known.select(*outcomes.OUTCOME_COLUMNS), outcomes.KEY, "left").join(again, outcomes.KEY, "left")
+    return both.select(
+        "ticker", "trade_date", "signal", "side", "direction_correct", "hit_tp1", "hit_sl", "next_close", "next_ret_pct", F.coalesce("_again", F.lit(False)).alias("imported_again")
+    )
 
 
 # --- explanation ------------------------------------------------------------------

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from barweave import panel
 from barweave.operators import levels, regime, screener, signals, store
 from barweave.operators.features import layered
+from barweave.plans.features import _COMPLETE
 from barweave.plans.registry import query
 from barweave.plans.sqlparts import W, cols, ctes
 
@@ -270,47 +271,52 @@ def sg_levels_invalid(t):
 # --- screener -----------------------------------------------------------------
 
 _LATEST = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS k FROM signals) WHERE k = 1"
-_SCAN_COLS = ("ticker date signal side regime trading_allowed", "confidence_pct conviction_pct prob_up price atr_pct entry stop_loss tp1 tp2 position_size_pct volume_ratio")
+_SCAN_COLS = ("ticker date signal side regime trading_allowed", "confidence_pct conviction_pct prob_up price atr_pct entry stop_loss tp1 tp2 position_size_pct volume_ratio rsi")
+# the test tables' gauge ends before their bars: the scan is of the day it ends
+_SCANNED = {
+    "latest": _LATEST.replace("FROM signals", "FROM signals WHERE date <= (SELECT max(date) FROM vix)"),
+    "complete": _COMPLETE,
+    "s": "SELECT l.*, f.rsi FROM latest l JOIN complete f ON f.ticker = l.ticker AND f.date = l.date WHERE l.entry IS NOT NULL",
+}
 
 
 def _scan(t):
-    return screener.scan(t.signals)
+    return screener.scan(t.signals.where(c("date") <= t.vix.agg(F.max("date")).scalar()), t.features)
 
 
-@query("scr_scan", ctes("signals", s=_LATEST) + f"SELECT {cols(*_SCAN_COLS)} FROM s WHERE entry IS NOT NULL AND volume_ratio IS NOT NULL")
+@query("scr_scan", ctes("signals", "vix", **_SCANNED) + f"SELECT {cols(*_SCAN_COLS)} FROM s")
 def scr_scan(t):
     return _scan(t).select(*_SCAN_COLS[0].split(), *_SCAN_COLS[1].split())
 
 
 @query(
     "scr_filters",
-    ctes("signals", "universe", s=_LATEST)
+    ctes("signals", "universe", "vix", **_SCANNED)
     + f"""SELECT {cols('ticker date signal', 'confidence_pct conviction_pct atr_pct volume_ratio')} FROM s
-    WHERE entry IS NOT NULL AND volume_ratio IS NOT NULL AND side = 'long' AND confidence_pct >= 52 AND conviction_pct >= 5 AND atr_pct <= 4 AND volume_ratio >= 0.8 AND trading_allowed
+    WHERE side = 'long' AND confidence_pct >= 52 AND conviction_pct >= 5 AND atr_pct <= 4 AND volume_ratio >= 0.8 AND trading_allowed
     AND ticker IN (SELECT ticker FROM universe WHERE sector = '2' OR sector = '3') AND upper(ticker) IN ('BRAND#2', 'BRAND#3', 'BRAND#12', 'BRAND#13', 'BRAND#4')""",
 )
 def scr_filters(t):
     wanted = t.universe.where(c("sector").isin("2", "3"))
     return screener.matching(
-        screener.scan(t.signals), side="long", min_confidence=52, min_conviction=5, max_atr_pct=4, min_volume_ratio=0.8, members=wanted,
+        _scan(t), side="long", min_confidence=52, min_conviction=5, max_atr_pct=4, min_volume_ratio=0.8, members=wanted,
         watchlist=["Brand#2", "Brand#3", "Brand#12", "Brand#13", "Brand#4"], only_tradable=True,
     ).select("ticker", "date", "signal", "confidence_pct", "conviction_pct", "atr_pct", "volume_ratio")
 
 
 @query(
     "scr_counts",
-    ctes("signals", s=_LATEST)
+    ctes("signals", "vix", **_SCANNED)
     + """SELECT count(*) AS total, count(*) FILTER (WHERE side = 'long') AS buy_count, count(*) FILTER (WHERE side = 'short') AS sell_count,
-    count(*) FILTER (WHERE NOT trading_allowed) AS suspended_count FROM s WHERE entry IS NOT NULL AND volume_ratio IS NOT NULL""",
+    count(*) FILTER (WHERE NOT trading_allowed) AS suspended_count FROM s""",
 )
 def scr_counts(t):
-    return screener.counts(screener.scan(t.signals))
+    return screener.counts(_scan(t))
 
 
 @query(
     "scr_top",
-    ctes("signals", s=_LATEST)
-    + f"SELECT {cols('ticker signal', 'conviction_pct')} FROM s WHERE trading_allowed AND entry IS NOT NULL AND volume_ratio IS NOT NULL ORDER BY conviction_pct DESC, ticker LIMIT 10",
+    ctes("signals", "vix", **_SCANNED) + f"SELECT {cols('ticker signal', 'conviction_pct')} FROM s WHERE trading_allowed ORDER BY conviction_pct DESC, ticker LIMIT 10",
 )
 def scr_top(t):
     return screener.top(_scan(t), 10).select("ticker", "signal", "conviction_pct")
