@@ -9,7 +9,6 @@ from barweave import panel
 from barweave.functions.exprs import clip, div
 from barweave.operators.features import calendar_full, full, last_rows, true_range
 from barweave.panel import series
-from barweave.session import scratch_path
 
 c = F.col
 
@@ -338,50 +337,56 @@ def one_position(df: DataFrame, keys: list[str], max_hold: int = MAX_HOLD, rows:
 def max_concurrent(df: DataFrame, keys: list[str], limit: int, one_per_ticker: bool = True, width: int = 16) -> DataFrame:
     """Greedy by (date, ticker): skip while ``limit`` accepted trades are open.
 
-    Order matters across tickers, so each scenario is one ordered fold. It only
-    needs the first few decisions of each date: at most ``limit`` can be taken.
-    ``width`` decisions per date are offered; if busy tickers use them all up on
-    some date while a slot stays free, the fold is repeated with more, so the
-    result is exact. A fold sees at most width rows per calendar day.
+    Order matters across tickers, so each scenario is one ordered pass. Its decisions come in order
+    of (date, ticker) through Spark's external sort and stream by; what a pass carries from date to date is
+    the calendar exits of the open trades, ``limit`` at most, and until when each ticker that was taken is busy. Of a
+    date it looks at decisions, ``width`` at a time, until no slot is free and steps over the rest, so a date with any
+    number of decisions costs no more than one with a few. Nothing is collected, cut off or repeated.
     """
-    spark = df.sparkSession
     slim = df.select(*keys, "date", "ticker", "pos_t", "held")
-    rank = F.row_number().over(Window.partitionBy(*keys, "date").orderBy("ticker"))
-    key_types = [f"{f.name} {f.dataType.simpleString()}" for f in slim.schema.fields if f.name in keys]
-    schema = ", ".join([*key_types, "ticker string", "pos_t bigint", "short boolean"])
-
-    def fold(group):
-        import pandas as pd
-
-        group = group.sort_values(["date", "ticker"])
-        taken, opened, busy = [], [], {}
-        for date, day in group.groupby("date", sort=True):
-            entry = pd.Timestamp(date).toordinal() + 1
-            opened = [end for end in opened if end >= entry]
-            for row in day.itertuples(index=False):
-                if len(opened) >= limit:
-                    break
-                if one_per_ticker and busy.get(row.ticker, -1) >= row.pos_t:
-                    continue
-                busy[row.ticker] = row.pos_t + row.held
-                opened.append(entry + max(1, int(row.held * CALENDAR_DAYS_PER_SESSION)))
-                taken.append((row.ticker, row.pos_t, False))
-            else:
-                if len(day) == width:
-                    taken.append((None, -1, True))  # slots left but decisions cut off
-        out = pd.DataFrame(taken, columns=["ticker", "pos_t", "short"])
-        for k in reversed(keys):
-            out.insert(0, k, group[k].iloc[0])
-        return out
-
-    while True:
-        offered = slim.withColumn("_rank", rank).where(c("_rank") <= width).drop("_rank")
-        path = scratch_path(spark, "accepted")
-        offered.groupBy(*keys).applyInPandas(fold, schema).write.parquet(path)
-        accepted = spark.read.parquet(path)
-        if accepted.where("short").isEmpty():
-            return df.join(accepted.select(*keys, "ticker", "pos_t"), [*keys, "ticker", "pos_t"], "left_semi")
-        width *= 4
+    n, per_session = len(keys), CALENDAR_DAYS_PER_SESSION
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        scenario, day, opened, busy = None, None, [], {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            days = batch.column(n).cast(pa.int32()).to_numpy(zero_copy_only=False)
+            names = list(zip(*[batch.column(k).to_pylist() for k in range(n)], strict=True)) if n else None
+            new = np.ones(batch.num_rows, dtype=bool)
+            new[1:] = days[1:] != days[:-1]
+            if names:
+                new[1:] |= np.fromiter((x != y for x, y in zip(names[1:], names[:-1], strict=True)), dtype=bool, count=batch.num_rows - 1)
+            starts, taken = np.flatnonzero(new).tolist(), []
+            for a, b in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+                here = names[a] if names else ()
+                if here != scenario:
+                    scenario, day, opened, busy = here, None, [], {}
+                entry = int(days[a]) + 1
+                if day != entry:
+                    day, opened = entry, [end for end in opened if end >= entry]
+                for at in range(a, b, width):
+                    if len(opened) >= limit:
+                        break
+                    some = [batch.column(n + k).slice(at, min(width, b - at)).to_pylist() for k in (1, 2, 3)]
+                    for i, (ticker, pos, hold) in enumerate(zip(*some, strict=True), at):
+                        if len(opened) >= limit:
+                            break
+                        if one_per_ticker and busy.get(ticker, -1) >= pos:
+                            continue
+                        busy[ticker] = pos + hold
+                        opened.append(entry + max(1, int(hold * per_session)))
+                        taken.append(i)
+            out = batch.take(pa.array(taken, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*[out.column(k) for k in range(n)], out.column(n + 1), out.column(n + 2)], names=[*keys, "ticker", "pos_t"])
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in slim.select(*keys, "ticker", "pos_t").schema.fields)
+    dealt = slim.repartition(*keys) if keys else slim.coalesce(1)
+    accepted = dealt.sortWithinPartitions(*keys, "date", "ticker", "pos_t").mapInArrow(run, kinds)
+    return df.join(accepted, [*keys, "ticker", "pos_t"], "left_semi")
 
 
 # --- measures ----------------------------------------------------------------------------------

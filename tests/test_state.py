@@ -126,3 +126,36 @@ def test_isotonic_fit_of_distinct_scores_is_a_plain_loop(spark, monkeypatch, poo
         s, w = next((s, w) for a, b, s, w in blocks if a <= r.prob_up <= b)
         assert r.prob_cal == pytest.approx(min(0.99, max(0.01, s / w)), abs=1e-9)
     assert calibration.pooled(calibration.merged(df)).count() <= len(blocks) + 30 * (3000 // pool_rows + 1)
+
+
+def plain_portfolio(rows, limit):
+    """(ticker, position) that a loop over dates and tickers takes."""
+    taken, opened, busy = set(), [], {}
+    for day, ticker, pos, held in sorted(rows):
+        entry = day + 1
+        opened = [end for end in opened if end >= entry]
+        if len(opened) < limit and busy.get(ticker, -1) < pos:
+            busy[ticker] = pos + held
+            opened.append(entry + max(1, int(held * 1.45)))
+            taken.add((ticker, pos))
+    return taken
+
+
+@pytest.mark.parametrize("limit", [1, 3, 7])
+def test_portfolio_limit_is_a_plain_loop(spark, limit):
+    """Many tickers a date, of which the first are busy; dates and scenarios over several batches."""
+    rng = random.Random(limit)
+    rows = []
+    for name in ("x", "y", None):
+        for d in range(120):
+            for t in rng.sample(range(60), rng.choice([1, 5, 50])):
+                rows.append((name, _at(d), f"T{t:02}", d, rng.randint(1, 30 if t < 20 else 3)))
+    df = spark.createDataFrame(rows, "scenario string, date date, ticker string, pos_t bigint, held int").withColumn("r", F.lit(1.0))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        got = {(r.scenario, r.ticker, r.pos_t) for r in ex.max_concurrent(df.repartition(5), ["scenario"], limit).collect()}
+        alone = {(r.ticker, r.pos_t) for r in ex.max_concurrent(df.where("scenario = 'x'").drop("scenario"), [], limit).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    plain = lambda name: plain_portfolio([(d.toordinal(), t, p, h) for s, d, t, p, h in rows if s == name], limit)
+    assert got == {(s, *x) for s in ("x", "y") for x in plain(s)} and alone == plain("x")
