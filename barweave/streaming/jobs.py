@@ -18,7 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from barweave.operators import accounts, alerts, outcomes, store
-from barweave.sources.bars import from_ticks
+from barweave.sources.bars import balanced, from_ticks
 
 c = F.col
 
@@ -41,6 +41,43 @@ def finish(query: StreamingQuery) -> None:
     query.awaitTermination()
 
 
+def _retire(spark: SparkSession, path: str, upto: int) -> None:
+    """Delete the folders ``<name>=N`` below ``path`` with N up to ``upto``."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(folder):
+        for status in fs.listStatus(folder):
+            number = status.getPath().getName().rpartition("=")[2]
+            if number.isdigit() and int(number) <= upto:
+                fs.delete(status.getPath(), True)
+
+
+def _compacted(spark: SparkSession, path: str, log: str, batch_id: int, rows: DataFrame, *parts: str) -> None:
+    """Write a new base, then retire what the base before it has already replaced.
+
+    The base before and the batches since then stay until the next one, for readers that began with them;
+    so a reader lists two bases and two rounds of batches at most, however many batches there were.
+    """
+    before = _newest_base(spark, path, batch_id - 1)
+    writer = balanced(rows, *parts).write.mode("overwrite")
+    (writer.partitionBy(*parts) if parts else writer).parquet(f"{path}/base/upto={batch_id}")
+    if before is not None:
+        _retire(spark, f"{path}/{log}", before)
+        _retire(spark, f"{path}/base", before - 1)
+
+
+def _newest_base(spark: SparkSession, path: str, upto: int | None = None) -> int | None:
+    """The batch of the newest whole base (up to a batch), by the names of folders."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/base")
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = []
+    for status in fs.listStatus(folder) if fs.exists(folder) else []:
+        number = status.getPath().getName().rpartition("=")[2]
+        if number.isdigit() and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
+            found.append(int(number))
+    return max((n for n in found if upto is None or n <= upto), default=None)
+
+
 # --- bars --------------------------------------------------------------------------
 
 
@@ -50,15 +87,20 @@ def bars(ticks: DataFrame, path: str, window: str = "1 hour", lateness: str = "1
     return _start(rolled.writeStream.outputMode("append").format("parquet").option("path", f"{path}/bars"), path, available_now)
 
 
-def live_bars(ticks: DataFrame, path: str, window: str = "1 hour", lateness: str = "1 day", available_now: bool = True) -> StreamingQuery:
+def live_bars(ticks: DataFrame, path: str, window: str = "1 hour", lateness: str = "1 day", compact_every: int = 50, available_now: bool = True) -> StreamingQuery:
     """Write each changed bar, open windows included, as a revision keyed by the batch.
 
     A window takes ticks until the newest tick is ``lateness`` past its end, and then
-    leaves the state; later ticks are counted by ``dropped_late``.
+    leaves the state; later ticks are counted by ``dropped_late``. Every ``compact_every`` batches the newest
+    revisions become a base, and what it replaces is retired.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
         batch.write.mode("overwrite").parquet(f"{path}/revisions/batch={batch_id}")
+        if (batch_id + 1) % compact_every == 0:
+            day = F.date_format("start", "yyyyMMdd").cast("int")
+            _compacted(spark, path, "revisions", batch_id, _revisions(spark, path, batch_id).withColumn("day", day), "day")
 
     rolled = from_ticks(ticks.withWatermark("ts", lateness), window)
     return _start(rolled.writeStream.outputMode("update").foreachBatch(write), path, available_now)
@@ -72,12 +114,22 @@ def dropped_late(query: StreamingQuery) -> int:
     return sum(op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators)
 
 
-def read_live_bars(spark: SparkSession, path: str) -> DataFrame:
-    """The newest revision of every bar."""
+def _revisions(spark: SparkSession, path: str, upto: int | None = None) -> DataFrame:
+    """The newest revision of every bar, with its batch."""
     rows = spark.read.parquet(f"{path}/revisions")
+    if upto is not None:
+        rows = rows.where(c("batch") <= upto)
+    base = _newest_base(spark, path, None if upto is None else upto - 1)
+    if base is not None:
+        kept = spark.read.parquet(f"{path}/base/upto={base}").select(*rows.columns)
+        rows = rows.where(c("batch") > base).unionByName(kept)
     rest = [x for x in rows.columns if x not in ("ticker", "start")]
-    newest = rows.groupBy("ticker", "start").agg(F.max_by(F.struct(*rest), "batch").alias("_r"))
-    return newest.select("ticker", "start", "_r.*").drop("batch")
+    return rows.groupBy("ticker", "start").agg(F.max_by(F.struct(*rest), "batch").alias("_r")).select("ticker", "start", "_r.*")
+
+
+def read_live_bars(spark: SparkSession, path: str) -> DataFrame:
+    """The newest revision of every bar."""
+    return _revisions(spark, path).drop("batch")
 
 
 # --- scan results ---------------------------------------------------------------------
@@ -96,7 +148,7 @@ def upsert_signals(signals: DataFrame, path: str, hot_rows: int = 50, compact_ev
 
     A replayed batch overwrites its own folders, so nothing is written twice. The log is
     partitioned by month, so a batch reads the newest month only; every ``compact_every``
-    batches the current rows become a new base that readers start from.
+    batches the current rows become a new base that readers start from, and what it replaces is retired.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -109,8 +161,9 @@ def upsert_signals(signals: DataFrame, path: str, hot_rows: int = 50, compact_ev
         newest = dates.agg(F.max("trade_date")).first()[0]
         current = read_signals(spark, path, upto=batch_id, date=newest)
         store.latest(current, hot_rows).write.mode("overwrite").parquet(f"{path}/hot/run={batch_id}")
+        _retire(spark, f"{path}/hot", batch_id - 2)
         if (batch_id + 1) % compact_every == 0:
-            _versions(spark, path, batch_id).repartition("month").write.mode("overwrite").partitionBy("month").parquet(f"{path}/base/upto={batch_id}")
+            _compacted(spark, path, "log", batch_id, _versions(spark, path, batch_id), "month")
 
     return _start(signals.writeStream.foreachBatch(write), path, available_now)
 
@@ -120,12 +173,9 @@ def _versions(spark: SparkSession, path: str, upto: int | None = None, date=None
     log = spark.read.option("basePath", f"{path}/log").parquet(f"{path}/log")
     if upto is not None:
         log = log.where(c("run") <= upto)
-    base = _landed(spark, f"{path}/base", StructType([*log.schema, *StructType.fromDDL("upto bigint")]))
-    if upto is not None:
-        base = base.where(c("upto") < upto)
-    start = base.agg(F.max("upto")).first()[0]
+    start = _newest_base(spark, path, None if upto is None else upto - 1)
     if start is not None:
-        log = log.where(c("run") > start).unionByName(base.where(c("upto") == start).drop("upto"))
+        log = log.where(c("run") > start).unionByName(spark.read.schema(log.schema).parquet(f"{path}/base/upto={start}"))
     if date is not None:
         log = log.where((c("month") == date.year * 100 + date.month) & (c("trade_date") == F.lit(date)))
     order = F.struct("run", *[x for x in ("batch_id",) if x in log.columns])

@@ -159,3 +159,27 @@ def test_portfolio_limit_is_a_plain_loop(spark, limit):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     plain = lambda name: plain_portfolio([(d.toordinal(), t, p, h) for s, d, t, p, h in rows if s == name], limit)
     assert got == {(s, *x) for s in ("x", "y") for x in plain(s)} and alone == plain("x")
+
+
+def test_compaction_retires_what_it_replaced(spark, tmp_path):
+    """Many batches of bars and signals: folders stay few, and readers see every newest version."""
+    ticks, signals = str(tmp_path / "ticks"), str(tmp_path / "signals")
+    tick = "ticker string, ts timestamp, price double, size double"
+    signal = "batch_id int, ticker string, trade_date date, signal string, side string, conviction_pct double, confidence_pct double, trading_allowed boolean"
+    n = 9
+    for k in range(n):
+        at = dt.datetime(2024, 1, 2, 9 + k // 4, k % 4, tzinfo=dt.timezone.utc)
+        spark.createDataFrame([("A", at, float(k), 1.0)], tick).coalesce(1).write.parquet(f"{ticks}/{k:02}")
+        rows = [(k, t, dt.date(2026, 1 + k % 3, 5), "BUY", "long", float(k), 55.0, True) for t in "AB"]
+        spark.createDataFrame(rows, signal).coalesce(1).write.parquet(f"{signals}/{k:02}")
+    stream = lambda path, schema: jobs.files(spark, f"{path}/*", schema, per_trigger=1)
+    bars_at, signals_at = str(tmp_path / "b"), str(tmp_path / "s")
+    jobs.finish(jobs.live_bars(stream(ticks, tick), bars_at, compact_every=2))
+    jobs.finish(jobs.upsert_signals(stream(signals, signal), signals_at, compact_every=2))
+    bars = {r.start.hour: (r.open, r.close, r.n_ticks) for r in jobs.read_live_bars(spark, bars_at).collect()}
+    assert sorted(bars.values()) == [(0.0, 3.0, 4), (4.0, 7.0, 4), (8.0, 8.0, 1)]
+    got = {(r.ticker, r.trade_date.month): r.conviction_pct for r in jobs.read_signals(spark, signals_at).collect()}
+    assert got == {(t, m): float(max(k for k in range(n) if 1 + k % 3 == m)) for t in "AB" for m in (1, 2, 3)}
+    for log in (f"{bars_at}/revisions", f"{signals_at}/log", f"{bars_at}/base", f"{signals_at}/base", f"{signals_at}/hot"):
+        assert len(glob.glob(f"{log}/*=*")) <= 2 * 2 + 1, log
+    assert len(glob.glob(f"{signals_at}/base/*")) == 2
