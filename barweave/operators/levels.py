@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add, and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,25 +22,24 @@ RISK_BUDGET = 0.01
 
 
 def add_pivots(left: int = 5, right: int = 5):
-    """Flag local extremes: equal to the window's extreme with enough bars strictly beyond."""
+    """Flag local extremes: none of the bars around is beyond, and enough of them are strictly inside.
+
+    Each neighbour is one comparison over the same sort; no row carries its neighbours' values along.
+    """
 
     def step(df: DataFrame) -> DataFrame:
-        w = series().rowsBetween(-left, right)
-        whole = F.count("high").over(w) == left + right + 1
-        df = df.withColumns(
-            {
-                "_highs": F.collect_list("high").over(w), "_lows": F.collect_list("low").over(w),
-                "_max": F.max("high").over(w), "_min": F.min("low").over(w), "_whole": whole,
-            }
-        )
-        below = F.size(F.filter("_highs", lambda x: x < c("high")))
-        above = F.size(F.filter("_lows", lambda x: x > c("low")))
-        return df.withColumns(
-            {
-                "pivot_high": c("_whole") & (c("high") == c("_max")) & (below >= left),
-                "pivot_low": c("_whole") & (c("low") == c("_min")) & (above >= left),
-            }
-        ).drop("_highs", "_lows", "_max", "_min", "_whole")
+        w = series()
+        around = lambda name: [*(F.lag(name, k).over(w) for k in range(1, left + 1)), *(F.lead(name, k).over(w) for k in range(1, right + 1))]
+        beyond = {"high": lambda x: x <= c("high"), "low": lambda x: x >= c("low")}
+        inside = {"high": lambda x: x < c("high"), "low": lambda x: x > c("low")}
+        flags = {}
+        for name in ("high", "low"):
+            others = around(name)
+            # a missing neighbour makes the first comparison null: a bar at the end of its series is no extreme
+            extreme = reduce(and_, [beyond[name](x) for x in others])
+            enough = reduce(add, [inside[name](x).cast("int") for x in others]) >= left
+            flags[f"pivot_{name}"] = F.coalesce(extreme & enough, F.lit(False))
+        return df.withColumns(flags)
 
     return step
 

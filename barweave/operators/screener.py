@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barweave.operators.features import MODEL_FEATURES
-from barweave.operators.signals import latest
+from barweave.operators.signals import build, latest
 
 c = F.col
 
@@ -36,6 +36,28 @@ def scan(signals: DataFrame, features: DataFrame, names: list[str] = MODEL_FEATU
     return newest.join(complete.select("ticker", "date", *(["rsi"] if "rsi" in names else [])), ["ticker", "date"])
 
 
+#: What a cycle keeps of a signal.
+CYCLE = [
+    "ticker", "date", "signal", "side", "prob_up", "confidence_pct", "conviction_pct", "price", "atr_pct", "entry", "stop_loss", "tp1", "tp2", "risk_reward",
+    "position_size_pct", "regime", "trading_allowed", "notes",
+]
+
+
+def cycle(bars: DataFrame, features: DataFrame, vix: DataFrame, model, calibrator=None, names: list[str] = MODEL_FEATURES) -> DataFrame:
+    """The signals of each ticker's newest bar, scored now: model, calibration, regime, grade, levels, size.
+
+    A ticker whose newest bar lacks one of the features ``names`` can't be scored and has no row.
+    """
+    complete = latest(features).dropna(how="any", subset=names)
+    scored = model.transform(complete.select("ticker", "date", *names))
+    if calibrator is not None:
+        scored = calibrator.transform(scored).withColumn("prob_up", c("prob_cal"))
+    scored = scored.select("ticker", "date", "prob_up")
+    graded = build(bars.drop("prob_up").join(scored, ["ticker", "date"], "left"), vix).where(c("prob_up").isNotNull())
+    named = {"tp1": c("tp1_level"), "tp2": F.element_at("take_profits.price", -1), "regime": c("status")}
+    return graded.withColumns(named).select(*CYCLE).join(complete.select("ticker", "date", "volume_ratio", "rsi"), ["ticker", "date"])
+
+
 def ranked(df: DataFrame) -> DataFrame:
     return df.orderBy(c("conviction_pct").desc(), "ticker")
 

@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
+from barweave.operators import features as f
+from barweave.operators import models
+from barweave.operators.calibration import Calibrator
+from barweave.plans import learning
+from barweave.plans.features import _COMPLETE
 from barweave.plans.forward import _BILL, _RES, billing_events
 from barweave.plans.registry import QUERIES, query
 from barweave.plans.signals import _BATCH, _log
@@ -87,3 +94,28 @@ def ss_account(t):
     return jobs.read_accounts(t.spark, path).select(
         "user_id", "status", "customer_id", "subscription_id", c("period_end").cast("date").alias("period_end"), "n_events", "tier"
     )
+
+
+_NEWEST = {
+    "asked": "SELECT (SELECT max(date) FROM vix) - unnest([0, 40]) AS as_of",
+    "complete": _COMPLETE,
+    "newest": "SELECT ticker, as_of, max(date) AS date FROM bars JOIN asked ON date <= as_of GROUP BY 1, 2",
+}
+
+
+@query("ss_scan_cycle", ctes("bars", "vix", **_NEWEST) + "SELECT DISTINCT upper(ticker) AS ticker, date AS trade_date, true AS valid FROM complete SEMI JOIN newest USING (ticker, date)")
+def ss_scan_cycle(t):
+    """Two requests, scored by the registered ensemble; each is one batch, and a second run adds nothing."""
+    model = models.Registry(t.spark).fit(learning._training(t), f.MODEL_FEATURES)
+    calibrator = Calibrator("isotonic").fit(t.oof)
+    last = t.vix.agg(F.max("date")).first()[0]
+    path, asked = scratch_path(t.spark, "ss-cycle"), scratch_path(t.spark, "requests")
+    for k, days in enumerate((40, 0)):
+        t.spark.createDataFrame([(last - timedelta(days=days),)], "as_of date").coalesce(1).write.parquet(f"{asked}/{k}")
+    upto = lambda df, day: df.where(c("date") <= F.lit(day))
+    for _ in range(2):
+        requests = jobs.files(t.spark, f"{asked}/*", "as_of date", per_trigger=1)
+        jobs.finish(jobs.scan_cycles(requests, path, lambda day: (upto(t.bars, day), upto(t.features, day), upto(t.vix, day)), model, calibrator))
+    found = jobs.read_signals(t.spark, path)
+    inside = c("prob_up").between(0.01, 0.99) & c("confidence_pct").between(0, 100) & c("signal").isNotNull() & c("regime").isNotNull()
+    return found.select("ticker", "trade_date", inside.alias("valid"))

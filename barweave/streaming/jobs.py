@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from barweave.operators import accounts, alerts, outcomes, store
+from barweave.operators import accounts, alerts, outcomes, screener, store
 from barweave.sources.bars import balanced, from_ticks
 
 c = F.col
@@ -151,6 +151,12 @@ def upsert_signals(signals: DataFrame, path: str, hot_rows: int = 50, compact_ev
     batches the current rows become a new base that readers start from, and what it replaces is retired.
     """
 
+    return _start(signals.writeStream.foreachBatch(_storing(path, hot_rows, compact_every)), path, available_now)
+
+
+def _storing(path: str, hot_rows: int, compact_every: int):
+    """What a batch of signals does to the store below ``path``."""
+
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         keyed = store.keyed(batch)
@@ -165,7 +171,7 @@ def upsert_signals(signals: DataFrame, path: str, hot_rows: int = 50, compact_ev
         if (batch_id + 1) % compact_every == 0:
             _compacted(spark, path, "log", batch_id, _versions(spark, path, batch_id), "month")
 
-    return _start(signals.writeStream.foreachBatch(write), path, available_now)
+    return write
 
 
 def _versions(spark: SparkSession, path: str, upto: int | None = None, date=None) -> DataFrame:
@@ -210,6 +216,11 @@ def dedup_alerts(signals: DataFrame, path: str, memory: str = alerts.MEMORY, ava
     days that ``memory`` reaches, however old the outbox is. A signal is sent whatever its date. A replayed
     batch overwrites its own folder, also that of a day before.
     """
+    return _start(signals.writeStream.foreachBatch(_sending(path, memory)), path, available_now)
+
+
+def _sending(path: str, memory: str):
+    """What a batch of signals adds to the outbox below ``path``."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -225,13 +236,41 @@ def dedup_alerts(signals: DataFrame, path: str, memory: str = alerts.MEMORY, ava
         fresh = alerts.unsent(strong, sent).withColumn("sent_at", F.current_timestamp())
         fresh.write.mode("overwrite").parquet(f"{target}/run={batch_id}")
 
-    return _start(signals.writeStream.foreachBatch(write), path, available_now)
+    return write
 
 
 def read_outbox(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/outbox").drop("run", "sent_day")
 
 
+# --- the scan as one flow ----------------------------------------------------------------
+
+
+def scan_cycles(requests: DataFrame, path: str, panel_of, model, calibrator=None, hot_rows: int = 50, compact_every: int = 50, memory: str = alerts.MEMORY, available_now: bool = True) -> StreamingQuery:
+    """Score, calibrate, grade, store and announce the newest bars, once for each request (``as_of`` date) that lands.
+
+    ``panel_of(as_of)`` gives (bars, features, vix) up to a date; ``model`` and ``calibrator`` are fitted. The signals of
+    a batch are written once and feed the store (``read_signals``, ``read_hot``) and the outbox (``read_outbox``) below ``path``.
+    A replayed batch overwrites what it wrote, so a second run adds nothing.
+    """
+    keep, send = _storing(path, hot_rows, compact_every), _sending(path, memory)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        days = [r[0] for r in batch.select("as_of").distinct().orderBy("as_of").collect()]  # a request is a date
+        if not days:
+            return
+        found = [screener.cycle(*panel_of(day), model, calibrator).withColumn("as_of", F.lit(day)) for day in days]
+        every = reduce(DataFrame.unionByName, found).withColumnRenamed("date", "trade_date")
+        every.write.mode("overwrite").parquet(f"{path}/scanned/run={batch_id}")
+        scanned = spark.read.parquet(f"{path}/scanned/run={batch_id}").withColumn("batch_id", F.datediff("as_of", F.lit("1970-01-01").cast("date")))
+        keep(scanned, batch_id)
+        send(scanned, batch_id)
+        _retire(spark, f"{path}/scanned", batch_id - 2)
+
+    return _start(requests.writeStream.foreachBatch(write), path, available_now)
+
+
 # --- outcomes ----------------------------------------------------------------------------
 
 _SIGNAL = ["ticker", "trade_date", "seq", "side", "entry", "stop_loss", "tp1"]

@@ -120,7 +120,7 @@ def test_tuning_ranks_the_draws(spark, panel_rows):
     assert one.accuracy == 0.5
 
 
-LEARNT = ["ml_ensemble", "ml_oof", "ml_oof_member_scores", "ml_tune", "ml_final_fit", "ml_basic", "ml_importance", "sc_batch", "sc_panel", "xp_contributions"]
+LEARNT = ["ml_ensemble", "ml_oof", "ml_oof_member_scores", "ml_tune", "ml_final_fit", "ml_basic", "ml_importance", "sc_batch", "sc_panel", "ss_scan_cycle", "xp_contributions"]
 
 
 @pytest.mark.parametrize("name", LEARNT)
@@ -133,7 +133,7 @@ def test_learning_queries_run(spark, small_learning, name):
     q = load_all()[name]
     df = q(spark, SF)
     rows = [tuple(r) for r in df.select(*sorted(df.columns)).collect()]
-    assert rows or name.startswith(("sc_", "xp_"))
+    assert rows or name.startswith(("sc_", "ss_", "xp_"))
     if q.sql is not None:
         con = duckdb.connect()
         for t in ("lineitem", "part", "orders"):
