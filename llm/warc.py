@@ -11,8 +11,8 @@ record as a WARC file has them; files are concatenations of these, and ``parsed`
 them back.
 
 Defined results: a null block counts as empty and gives a record with empty text; a block
-without an HTTP head is all payload; a payload that isn't UTF-8 is read as Latin-1; null header
-fields are left out. Equal responses give equal records. An empty table gives an empty result.
+without a whole HTTP head is all payload; a payload is read in its head's charset, else as UTF-8, else as Latin-1; chunked and
+compressed payloads are undone for the text, and kept as they are if that fails; null header fields are left out. Equal responses give equal records. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,23 +23,82 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RECORDS = "record_type string, record_id string, refers_to string, headers map<string,string>, block binary"
-_DROPPED = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
-_BREAK = re.compile(r"<\s*/?\s*(?:p|div|br|hr|li|ul|ol|dl|dt|dd|table|tr|h[1-6]|section|article|header|footer|nav|aside|main|title|blockquote|pre|form|body|head|html)\b[^>]*>", re.I)
-_CELL = re.compile(r"<\s*/?\s*(?:td|th|option)\b[^>]*>", re.I)
-_TAG = re.compile(r"<[a-z/!?][^>]*>", re.I)
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title", re.S | re.I)
-_LINK = re.compile(r"<(a|link|img|script|iframe)\b[^>]*?\b(?:href|src)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+#: Elements whose content isn't text, elements that begin a line, and cells.
+_DROPPED = frozenset("script style noscript template svg".split())
+_BREAKS = frozenset("p div br hr li ul ol dl dt dd table tr h1 h2 h3 h4 h5 h6 section article header footer nav aside main title blockquote pre form body head html".split())
+_CELLS = frozenset("td th option".split())
+_LINKED = frozenset("a link img script iframe".split())
+_NAME = re.compile(r"<\s*(/?)\s*([a-z][a-z0-9-]*)", re.I)
+_TARGET = re.compile(r"\b(?:href|src)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+_ENDS = {name: re.compile(rf"</{name}\s*>", re.I) for name in _DROPPED}
+_TITLE_END = re.compile(r"</title", re.I)
 _BLANKS = re.compile(r"[^\S\n]+")
 _LINES = re.compile(r" *\n[ \n]*")
 
 
+def pieces(html: str):
+    """The texts and tags of a page in order, by one scan: ("text", text), or (name, raw tag, whether it opens, where it ends).
+
+    Comments and the content of scripts and the like are left out. A tag ends at the next ``>``; a ``<`` that no name, ``/``, ``!`` or ``?`` follows,
+    or no ``>`` at all, is text. Each character is looked at a bounded number of times, whatever the page.
+    """
+    at = since = 0
+    last = html.rfind(">")
+    while (at := html.find("<", at)) >= 0 and at < last:
+        if html.startswith("<!--", at):
+            yield "text", html[since:at]
+            yield "text", " "
+            end = html.find("-->", at + 4)
+            at = since = len(html) if end < 0 else end + 3
+            continue
+        named = _NAME.match(html, at)
+        name = named[2].lower() if named else ""
+        tight = html[at + 1 : at + 2]
+        if not (name in _BREAKS or name in _CELLS or tight.isascii() and tight.isalpha() or tight in ("/", "!", "?")):
+            at += 1
+            continue
+        end = html.find(">", at) + 1
+        yield "text", html[since:at]
+        opens = named is not None and not named[1]
+        yield name, html[at:end], opens, end
+        at = since = end
+        if opens and name in _DROPPED and tight not in ("", " "):
+            yield "text", " "
+            closed = _ENDS[name].search(html, end)
+            at = since = closed.end() if closed else len(html)
+    yield "text", html[since:]
+
+
 def page_text(html: str) -> str:
     """The readable text of a page, a line for each block."""
     from html import unescape
 
-    text = _DROPPED.sub(" ", html)
-    text = _TAG.sub("", _CELL.sub(" ", _BREAK.sub("\n", text.replace("\r", " ").replace("\n", " "))))
-    return _LINES.sub("\n", _BLANKS.sub(" ", unescape(text))).strip()
+    out = []
+    for kind, piece, *_ in pieces(html):
+        if kind == "text":
+            out.append(piece.replace("\r", " ").replace("\n", " "))
+        else:
+            out.append("\n" if kind in _BREAKS else " " if kind in _CELLS else "")
+    return _LINES.sub("\n", _BLANKS.sub(" ", unescape("".join(out)))).strip()
+
+
+def page_title(html: str) -> str | None:
+    for kind, _, *more in pieces(html):
+        if kind == "title" and more[0]:
+            end = _TITLE_END.search(html, more[1])
+            return page_text(html[more[1] : end.start()]) if end else None
+    return None
+
+
+def page_links(html: str) -> list[dict[str, str]]:
+    """Tag and URL of every link, in order."""
+    from html import unescape
+
+    out = []
+    for kind, raw, *more in pieces(html):
+        if kind in _LINKED and more[0] and (found := _TARGET.search(raw)):
+            out.append({"tag": kind, "url": unescape(found[1].strip("\"'"))})
+    return out
 
 
 def digest(data: bytes) -> str:
@@ -49,35 +108,72 @@ def digest(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
+_HEAD_END = re.compile(rb"\r?\n\r?\n")
+
+
 def split_http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
-    """Status line, header fields and payload of an HTTP response."""
-    if not block.startswith(b"HTTP/"):
+    """Status line, header fields and payload of an HTTP response; lines may end in LF only. Without a whole head all is payload."""
+    end = _HEAD_END.search(block) if block.startswith(b"HTTP/") else None
+    if end is None:
         return "", [], block
-    head, _, payload = block.partition(b"\r\n\r\n")
-    lines = head.decode("latin-1").split("\r\n")
-    return lines[0], [tuple(x.strip() for x in line.split(":", 1)) for line in lines[1:] if ":" in line], payload
+    lines = re.split(r"\r?\n", block[: end.start()].decode("latin-1"))
+    return lines[0], [tuple(x.strip() for x in line.split(":", 1)) for line in lines[1:] if ":" in line], block[end.end() :]
+
+
+def unchunked(data: bytes) -> bytes:
+    """The body in chunked data; what isn't chunked as said stays as it is."""
+    out, at = [], 0
+    while True:
+        end = data.find(b"\n", at, at + 1_000)
+        size = data[at:end].split(b";")[0].strip() if end >= 0 else b""
+        if not re.fullmatch(rb"[0-9A-Fa-f]{1,15}", size):
+            return data
+        n, at = int(size, 16), end + 1
+        if not n:
+            return b"".join(out)
+        if at + n > len(data):
+            return data
+        out.append(data[at : at + n])
+        at += n
+        at += 2 if data.startswith(b"\r\n", at) else 1
+
+
+def page_of(fields: list[tuple[str, str]], payload: bytes) -> str:
+    """The page in a payload: chunks joined, gzip or deflate undone, read in the charset that the head names, else UTF-8, else Latin-1."""
+    import zlib
+
+    named = {k.lower(): v for k, v in fields}
+    if "chunked" in named.get("transfer-encoding", "").lower():
+        payload = unchunked(payload)
+    if named.get("content-encoding", "").lower() in ("gzip", "x-gzip", "deflate"):
+        try:
+            payload = zlib.decompress(payload, 47)  # either header
+        except zlib.error:
+            pass
+    charset = re.search(r"charset\s*=\s*[\"']?([\w.:-]+)", named.get("content-type", ""), re.I)
+    for name in (charset[1] if charset else "utf-8", "utf-8"):
+        try:
+            return payload.decode(name)
+        except (UnicodeDecodeError, LookupError):
+            continue
+    return payload.decode("latin-1")
 
 
 def derived(record_id: str | None, headers: dict[str, str], block: bytes) -> list[tuple[str, str, dict[str, str], bytes]]:
     """(type, id, header fields, block) of the metadata and the conversion record."""
     import json
     import uuid
-    from html import unescape
 
     status, fields, payload = split_http(block)
-    try:
-        html = payload.decode("utf-8")
-    except UnicodeDecodeError:
-        html = payload.decode("latin-1")
-    text = page_text(html).encode()
-    title = _TITLE.search(html)
+    html = page_of(fields, payload)
+    text = page_text(html).encode("utf-8", "replace")
     about = {
-        "Source": headers, "HTTP-Status": status, "HTTP-Headers": fields, "Title": page_text(title[1]) if title else None,
-        "Links": [{"tag": tag.lower(), "url": unescape(at.strip("\"'"))} for tag, at in _LINK.findall(_DROPPED.sub(" ", html))],
+        "Source": headers, "HTTP-Status": status, "HTTP-Headers": fields, "Title": page_title(html),
+        "Links": page_links(html),
         "Payload-Digest": digest(payload), "Payload-Length": len(payload), "Text-Digest": digest(text), "Text-Length": len(text),
     }
     out = []
-    for kind, data, media in (("metadata", json.dumps(about, ensure_ascii=False, sort_keys=True).encode(), "application/json"), ("conversion", text, "text/plain")):
+    for kind, data, media in (("metadata", json.dumps(about, ensure_ascii=False, sort_keys=True).encode("utf-8", "replace"), "application/json"), ("conversion", text, "text/plain")):
         own = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{record_id}#{kind}')}>"
         kept = {k: headers[k] for k in ("WARC-Target-URI", "WARC-Date", "WARC-Warcinfo-ID") if headers.get(k) is not None}
         named = {"WARC-Type": kind, "WARC-Record-ID": own, **kept, "Content-Type": media, "Content-Length": str(len(data)), "WARC-Block-Digest": digest(data)}
@@ -95,9 +191,11 @@ def derivatives(responses: DataFrame, keep: list[str] = ()) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        from llm.tokens import in_batches
+
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
+            for a, b in in_batches(batch.column(2)):
+                part = batch.slice(a, b - a)
                 rows, at = [], []
                 for i, (record_id, headers, block) in enumerate(zip(*(part.column(c).to_pylist() for c in range(3)), strict=True)):
                     for record in derived(record_id, {k: v for k, v in dict(headers or []).items() if v is not None}, block or b""):

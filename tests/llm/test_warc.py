@@ -40,3 +40,73 @@ def test_records_link_to_their_source(spark):
 def test_blocks_without_a_head():
     kinds = {k: (h, b) for k, _, h, b in warc.derived(None, {}, b"\xff\xfeplain")}
     assert kinds["conversion"][1].decode() == "ÿþplain" and "WARC-Refers-To" not in kinds["conversion"][0]
+
+
+def test_heads_with_line_feeds_or_without_an_end():
+    status, fields, payload = warc.split_http(b"HTTP/1.1 200 OK\nContent-Type: text/html\n\n<p>hello</p>\r\n\r\nx")
+    assert (status, fields, payload) == ("HTTP/1.1 200 OK", [("Content-Type", "text/html")], b"<p>hello</p>\r\n\r\nx")
+    whole = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n"
+    assert warc.split_http(whole) == ("", [], whole)
+    assert warc.split_http(b"HTTP/1.0 200\r\n\r\n") == ("HTTP/1.0 200", [], b"")
+
+
+def test_encoded_payloads():
+    import gzip
+    import zlib
+
+    page = "<p>é…</p>".encode()
+    chunks = b"4\r\n" + page[:4] + b"\r\n" + f"{len(page) - 4:x};x=y\r\n".encode() + page[4:] + b"\r\n0\r\n\r\n"
+    assert warc.page_of([("Transfer-Encoding", "chunked")], chunks) == page.decode()
+    assert warc.page_of([("Transfer-Encoding", "chunked")], b"no chunks") == "no chunks"
+    assert warc.page_of([("content-encoding", "gzip")], gzip.compress(page)) == page.decode() == warc.page_of([("Content-Encoding", "deflate")], zlib.compress(page))
+    assert warc.page_of([("content-encoding", "gzip")], page) == page.decode()
+    assert warc.page_of([("Content-Type", 'text/html; charset="ISO-8859-2"')], "ł".encode("iso-8859-2")) == "ł"
+    assert warc.page_of([("Content-Type", "text/html; charset=none-such")], page) == page.decode()
+
+
+def test_long_broken_pages_take_linear_time():
+    import time
+
+    for part in ("<a ", "<a href=", "<", "< ", "<!--", "<p ", "<script", "<script>", "</script ", "<svg><svg>", "<a href='x' ", "<title>", "&lt;", "\n "):
+        began = time.process_time()
+        html = part * (400_000 // len(part))
+        warc.page_text(html), warc.page_links(html), warc.page_title(html)
+        assert time.process_time() - began < 3, part
+
+
+def plain_text(html):
+    """By Python's own parser."""
+    from html.parser import HTMLParser
+
+    class Plain(HTMLParser):
+        out, skip = "", 0
+
+        def handle_starttag(self, tag, attrs):
+            self.skip += tag in ("script", "style")
+            self.out += "\n" if tag in ("p", "div", "br", "h1", "li", "ul", "title", "body", "head", "html") else " " if tag in ("td", "th") else ""
+
+        def handle_endtag(self, tag):
+            self.skip -= tag in ("script", "style")
+            self.out += " " if tag in ("script", "style") else ""
+            self.out += "\n" if tag in ("p", "div", "h1", "li", "ul", "title", "body", "head", "html") else " " if tag in ("td", "th") else ""
+
+        def handle_data(self, data):
+            self.out += "" if self.skip else data.replace("\n", " ")
+
+        def handle_comment(self, data):
+            self.out += " "
+
+    parser = Plain()
+    parser.feed(html)
+    parser.close()
+    return "\n".join(line for line in (" ".join(x.split()) for x in parser.out.split("\n")) if line)
+
+
+def test_text_is_that_of_a_plain_parser():
+    import random
+
+    rng = random.Random(7)
+    blocks = ["<p>", "</p>", "<div class='a'>", "</div>", "<br>", "<b>", "</b>", "<i x=1>", "</i>", "<h1>", "</h1>", "<!-- c > d -->", "<script>if (a<b) {}</script>", "<style>p{}</style>", "<td>", "</td>"]
+    for _ in range(300):
+        html = "".join(rng.choice([*blocks, "one ", "two", " a &amp; b ", "é ", "3 < 4 ", "\n"]) for _ in range(rng.randint(0, 60)))
+        assert "\n".join(" ".join(x.split()) for x in warc.page_text(html).split("\n")) == plain_text(html), html
