@@ -53,10 +53,12 @@ def tokens_of(url: Column) -> Column:
 
 
 def mine(pages: DataFrame, labels: DataFrame, id_col: str, label: Column, support: int = 20, confidence: float = 0.5) -> DataFrame:
-    """Rules (rule, tokens, confidence, lift, pages) from ``pages`` (id, tokens) whose label is known.
+    """Rules (rule, tokens, alike, confidence, lift, pages) from ``pages`` (id, tokens) whose label is known.
 
-    ``label`` is true for bad ones. The number of rules is bounded by ``support``: each
-    takes part in that many pages at least.
+    ``label`` is true for bad ones. Tokens that the same labelled pages have (a host and its labels, the segments of
+    one shared path) are one item, as any combination of them says the same: ``tokens`` names the first of each such group and
+    ``alike`` all of them. So long shared paths don't multiply combinations; those of tokens that
+    differ on some page do, each with ``support`` pages at least.
     """
     from pyspark.ml.fpm import FPGrowth
 
@@ -64,13 +66,16 @@ def mine(pages: DataFrame, labels: DataFrame, id_col: str, label: Column, suppor
     known = labels.where(F.col("label_id").isNotNull()).groupBy("label_id").agg(F.max(label.cast("int")).alias("bad")).where("bad is not null")
     rows = cut(pages.join(known, pages[id_col] == known["label_id"]).select("tokens", "bad"), "baskets")
     total, bad = rows.agg(F.count("*"), F.coalesce(F.sum("bad"), F.lit(0))).first()
-    empty = spark.createDataFrame([], "rule bigint, tokens array<string>, confidence double, lift double, pages bigint")
+    empty = spark.createDataFrame([], "rule bigint, tokens array<string>, alike array<array<string>>, confidence double, lift double, pages bigint")
     if not bad or bad == total:
         return empty
     # a rule has a token of bad pages only if that occurs on enough of them
     often = rows.where("bad = 1").select(F.explode("tokens").alias("t")).groupBy("t").count().where(F.col("count") >= support).select("t")
     of_all = rows.withColumn("page", F.monotonically_increasing_id())
-    kept = of_all.select("page", "bad", F.explode("tokens").alias("t")).join(often, "t", "left_semi")
+    kept = cut(of_all.select("page", "bad", F.explode("tokens").alias("t")).join(often, "t", "left_semi"), "kept")
+    pages_of = kept.groupBy("t").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("page")).alias("x"), F.bit_xor(F.xxhash64("page", F.lit("again"))).alias("y"))
+    groups = cut(pages_of.groupBy("n", "x", "y").agg(F.sort_array(F.collect_list("t")).alias("alike")).select(F.col("alike")[0].alias("t"), "alike"), "groups")
+    kept = kept.join(groups.select("t"), "t", "left_semi")
     baskets = kept.groupBy("page").agg(F.collect_set("t").alias("t"), F.first("bad").alias("bad"))
     baskets = baskets.select(F.when(F.col("bad") == 1, F.concat("t", F.array(F.lit(BAD)))).otherwise(F.col("t")).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min(1.0, support / total), minConfidence=confidence).fit(cut(baskets, "items"))
@@ -80,7 +85,14 @@ def mine(pages: DataFrame, labels: DataFrame, id_col: str, label: Column, suppor
     rules = rules.withColumn("rule", F.xxhash64("tokens"))
     implied = matched(rules.select(F.col("rule").alias("more"), "tokens"), rules, "more").where(F.col("more") != F.col("rule"))
     rules = rules.join(implied.select(F.col("more").alias("rule")).distinct(), "rule", "left_anti")
-    return rules.select("rule", "tokens", "confidence", "lift", "pages")
+    named = rules.select("rule", F.explode("tokens").alias("t")).join(groups, "t").groupBy("rule").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "alike"))), lambda g: g["alike"]).alias("alike"))
+    return rules.join(named, "rule").select("rule", "tokens", "alike", "confidence", "lift", "pages")
+
+
+def renamed(pages: DataFrame, rules: DataFrame, key: str) -> DataFrame:
+    """(key, tokens) with each token that the rules know under the name of its group, and no other."""
+    names = rules.select(F.explode(F.arrays_zip("tokens", "alike")).alias("g")).select(F.col("g.tokens").alias("name"), F.explode("g.alike").alias("t")).distinct()
+    return pages.select(key, F.explode("tokens").alias("t")).join(names, "t").groupBy(key).agg(F.collect_set("name").alias("tokens"))
 
 
 def matched(pages: DataFrame, rules: DataFrame, key: str) -> DataFrame:
@@ -108,7 +120,7 @@ def judged(pages: DataFrame, labels: DataFrame, label: Column, rules: list[tuple
     urls = cut(rows.groupBy("url").agg(F.count("*").alias("rows")).select("url", host_of(url).alias("host"), path_of(url).alias("path"), tokens_of(url).alias("tokens")), "urls")
     known = rows.select("id", tokens_of(F.col("url")).alias("tokens"))
     mined = cut(mine(known, labels.withColumnRenamed(label_id, "label_id"), "id", label, **mining), "mined")
-    fitting = matched(urls.where("url is not null"), mined, "url").groupBy("url").agg(F.count("*").alias("mined"))
+    fitting = matched(cut(renamed(urls.where("url is not null"), mined, "url"), "renamed"), mined, "url").groupBy("url").agg(F.count("*").alias("mined"))
 
     parts = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
