@@ -5,14 +5,14 @@ is that of the first or of the last of them. Whether it is depends on the k-mer
 edit changes only anchors that overlap it, and anchors of two texts can be
 matched by position. Ties count as smallest at an edge.
 
-``fingerprint`` keeps the ``size`` smallest hashes of a text's syncmers as hexadecimal
-digits; ``likeness`` estimates the Jaccard similarity of the syncmers of two texts from the
-smallest hashes of both fingerprints, exactly if both texts have no more than ``size``.
+``fingerprint`` keeps, as hexadecimal digits, every syncmer hash below an eighth of the range, so that a
+fingerprint grows with its text and a passage shows in it whatever the length of the rest; and the ``size``
+smallest hashes at least, which is all that a short text has. ``likeness`` estimates the Jaccard similarity of the
+syncmers of two texts from the hashes that both fingerprints hold completely.
 
-The sketch is of a fixed size, so a passage that two long texts share hardly shows in it. ``passages``
-matches two texts by position instead, with all of their anchors: two neighbouring anchors and
+``passages`` matches two texts by position, with all of their anchors: two neighbouring anchors and
 the difference of their positions are a link, and a link that both texts have covers the same
-bytes in both. The number of links grows with the text, and so does what is found.
+bytes in both.
 
 ``with_neighbours`` pairs each document with the next one by descending id. Ranges of ids
 are cut at ids that occur, and each range also gets the document that begins the next
@@ -31,6 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 K, S, SIZE = 12, 4, 64
+#: Hashes below this are kept, however many there are.
+KEPT = (1 << 32) // 8
 
 
 def anchors(text: bytes, k: int = K, s: int = S):
@@ -62,19 +64,21 @@ def anchors(text: bytes, k: int = K, s: int = S):
 
 
 def fingerprint(text: bytes, k: int = K, s: int = S, size: int = SIZE):
-    """The smallest ``size`` distinct syncmer hashes, 32 bits each, sorted."""
+    """The distinct syncmer hashes, 32 bits each, sorted: all below ``KEPT``, and the smallest ``size`` at least."""
     import numpy as np
 
-    return np.unique((anchors(text, k, s)[1] >> np.uint64(32)).astype(np.uint32))[:size]
+    every = np.unique((anchors(text, k, s)[1] >> np.uint64(32)).astype(np.uint32))
+    return every[: max(size, int(np.searchsorted(every, KEPT)))]
 
 
 def likeness(a, b, size: int = SIZE) -> float:
-    """The share of common hashes among the ``size`` smallest of both fingerprints."""
+    """The share of common hashes among those below ``KEPT``, or among the ``size`` smallest if these reach further."""
     import numpy as np
 
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    both = np.union1d(a, b)[:size]
+    both = np.union1d(a, b)
+    both = both[: max(size, int(np.searchsorted(both, KEPT)))]
     return float(np.isin(both, a, assume_unique=True)[np.isin(both, b, assume_unique=True)].sum()) / len(both)
 
 

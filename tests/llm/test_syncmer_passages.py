@@ -39,3 +39,15 @@ def test_neighbours_have_their_shared_bytes(spark):
     got = {r.doc_id: r for r in syncmers.with_neighbours(df).collect()}
     assert got[3].shared_next > len(passage) - 40 and got[2].shared_next < 50
     assert abs(got[1].shared_edited - got[1].n_chars * 2 / 3) < 60
+
+
+def test_a_passage_shows_in_fingerprints_of_any_length():
+    """Recall of shared passages of 50 words by likeness above that of unrelated texts."""
+    for n in (150, 1_500, 30_000):  # about 1,000, 10,000 and 200,000 bytes
+        caught = 0
+        for seed in range(20):
+            passage, a, b = text(100 + seed, 50), text(200 + seed, n), text(300 + seed, n)
+            one, two = (f"{x[: len(x) // 2]} {passage} {x[len(x) // 2 :]}".encode() for x in (a, b))
+            mine, theirs = syncmers.fingerprint(one), syncmers.fingerprint(two)
+            caught += syncmers.likeness(mine, theirs) > syncmers.likeness(syncmers.fingerprint(a.encode()), syncmers.fingerprint(b.encode()))
+        assert caught >= 19, n
