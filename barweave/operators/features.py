@@ -346,6 +346,10 @@ BASIC_FEATURES = [
 ]
 
 
+#: The steepest decay factor of the built-in averages (span 9).
+STEEPEST = 2 / 10
+
+
 def decay_factors(indicators: list) -> set[float]:
     """The decay factors of the exponential averages in these indicators, own ones included."""
     with factors() as found:
@@ -359,9 +363,10 @@ def compute(bars: DataFrame, indicators: list, rows: int = panel.SEGMENT_ROWS, s
     """Add the columns of ``indicators`` to sequenced bars.
 
     The slowest decay factor sets how many rows are replayed before a segment, the steepest
-    one how long a segment may be: ``rows`` at most, fewer where an average would overflow. The factors are those
-    that the indicators use; ``slowest`` and ``steepest`` can only widen them.
+    one how long a segment may be. The factors are those that the indicators use; ``slowest`` and ``steepest`` can
+    only widen them. More ``rows`` than the steepest one (by default that of the built-in averages) allows are refused.
     """
+    check_window(rows + panel.WARMUP_ROWS, steepest or STEEPEST)
     used = [x for x in (slowest, steepest, *decay_factors(indicators)) if x is not None]
     back = panel.WARMUP_ROWS
     if used:
@@ -379,7 +384,8 @@ def compute_all(
     vix: DataFrame | None = None,
     rows: int = panel.SEGMENT_ROWS,
 ) -> DataFrame:
-    """Every indicator; context columns only when the context is given."""
+    """Every indicator; context columns only when the context is given. Segments have ``rows`` rows at most, and no more than averages allow."""
+    rows = min(rows, longest_window(STEEPEST) - panel.WARMUP_ROWS)
     indicators = ALL if market is None else [*ALL, market_corr]
     return compute(join_context(bars, market, vix), indicators, rows)
 
