@@ -19,8 +19,8 @@ HEADLINE = [
     "al_fanout", "ac_events_fold",
 ]
 
-# streams and training, timed beside the headline and not part of its total
-BESIDE = ["ss_resolve", "ss_alert_dedup", "ss_scan_upsert", "ml_oof"]
+# streams, timed beside the headline and not part of its total
+BESIDE = ["ss_resolve", "ss_alert_dedup", "ss_scan_upsert"]
 
 
 def main() -> None:
