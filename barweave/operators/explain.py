@@ -31,9 +31,17 @@ LABELS = {
 }
 
 
-def contributions(df: DataFrame, coefficients: dict[str, float], means: dict[str, float]) -> DataFrame:
-    """Long table (keys, feature, raw, value) with value = coefficient·(x - mean)."""
+#: The name of a row's base, the log-odds of a row at the means.
+BASE = "(base)"
+
+
+def contributions(df: DataFrame, coefficients: dict[str, float], means: dict[str, float], base: float | None = None) -> DataFrame:
+    """Long table (keys, feature, raw, value) with value = coefficient·(x - mean).
+
+    With ``base`` each row also has that as a value of its own, so that its values add up to its log-odds.
+    """
     names = list(coefficients)
+    own = [] if base is None else [F.struct(F.lit(BASE).alias("feature"), F.lit(None).cast("double").alias("raw"), F.lit(float(base)).alias("value"))]
     items = F.array(
         *[
             F.struct(
@@ -42,7 +50,8 @@ def contributions(df: DataFrame, coefficients: dict[str, float], means: dict[str
                 (F.lit(float(coefficients[n])) * (c(n) - F.lit(float(means[n])))).alias("value"),
             )
             for n in names
-        ]
+        ],
+        *own,
     )
     return df.select("ticker", "date", F.explode(items).alias("x")).select("ticker", "date", "x.*")
 

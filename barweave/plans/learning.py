@@ -156,8 +156,8 @@ def sc_panel(t):
 
 @query("xp_contributions")
 def xp_contributions(t):
-    coef, mean, _ = models.surrogate(_training(t), _FEATURES)
-    return explain.contributions(_training(t), coef, mean)
+    coef, mean, base = models.surrogate(_training(t), _FEATURES)
+    return explain.contributions(_training(t), coef, mean, base)
 
 
 # --- evaluation ------------------------------------------------------------------------

@@ -120,3 +120,14 @@ def test_canonical_fills_missing_columns(spark):
     df = spark.createDataFrame([("A", "2024-01-02", "1.5", None)], "ticker string, Date string, Close string, High string")
     r = src.canonical(df).first()
     assert (r["close"], r["high"], r["volume"], r["open"]) == (1.5, 0.0, 0.0, 0.0)
+
+
+def test_contributions_with_their_base_add_up_to_the_log_odds(spark):
+    from barweave.operators import explain
+
+    df = spark.createDataFrame([("A", "2024-01-02", 3.0, 1.0), ("B", "2024-01-02", -1.0, 4.0)], "ticker string, date string, x double, y double")
+    coef, mean, base = {"x": 0.5, "y": -2.0}, {"x": 1.0, "y": 2.0}, 0.7
+    rows = explain.contributions(df, coef, mean, base).collect()
+    total = {t: sum(r["value"] for r in rows if r["ticker"] == t) for t in "AB"}
+    assert len(rows) == 6 and abs(total["A"] - (0.7 + 0.5 * 2 + 2.0)) < 1e-12 and abs(total["B"] - (0.7 - 1.0 - 4.0)) < 1e-12
+    assert all(r["raw"] is None for r in rows if r["feature"] == explain.BASE)
