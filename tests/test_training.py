@@ -39,6 +39,18 @@ def test_a_large_table_is_fitted_by_distributed_trees(panel_rows, monkeypatch):
     assert ((oof.prob_up >= 0.5) == (oof.target == 1)).mean() > 0.65
 
 
+def test_growing_a_tree_holds_a_feature_at_a_time():
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    bins = rng.integers(0, 32, (20_000, 50)).astype(np.uint8)
+    tracemalloc.start()
+    found = trees.boosted(bins, (bins[:, 0] > 15).astype(float), {"maxIter": 2, "maxDepth": 4, "stepSize": 0.1})
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found[0][0][0] == 0 and peak < 10 * bins.nbytes  # a number of 8 bytes for each value alone is 8 times the bins
+
+
 def test_a_forest_is_a_mean_of_leaf_means():
     rng = np.random.default_rng(1)
     bins, target = rng.integers(0, 32, (500, 3)).astype(np.uint8), rng.integers(0, 2, 500).astype(float)
