@@ -51,6 +51,13 @@ def test_growing_a_tree_holds_a_feature_at_a_time():
     assert found[0][0][0] == 0 and peak < 10 * bins.nbytes  # a number of 8 bytes for each value alone is 8 times the bins
 
 
+def test_rows_to_score_are_dealt_by_number(spark, panel_rows, monkeypatch):
+    monkeypatch.setattr(models, "SCORED_ROWS", 100)
+    dealt = models.spread(panel_rows.coalesce(1))
+    sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 8 and max(sizes) <= 110 and dealt.exceptAll(panel_rows).isEmpty() and sum(sizes) == 800
+
+
 def test_a_forest_is_a_mean_of_leaf_means():
     rng = np.random.default_rng(1)
     bins, target = rng.integers(0, 32, (500, 3)).astype(np.uint8), rng.integers(0, 2, 500).astype(float)
