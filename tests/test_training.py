@@ -39,6 +39,23 @@ def test_a_large_table_is_fitted_by_distributed_trees(panel_rows, monkeypatch):
     assert ((oof.prob_up >= 0.5) == (oof.target == 1)).mean() > 0.65
 
 
+def test_rows_reach_the_tasks_and_not_the_driver(spark, panel_rows, monkeypatch):
+    """Binned rows are shuffled to the task that grows a member; the models are those of the whole table in one array."""
+    rows = models.written_rows(models.training_rows(panel_rows, ["a", "b", "c"]).select("features", "label", "weight"), "rows").repartition(3)
+    rows = rows.localCheckpoint()
+    x, target, weight = trees.matrix(rows, "label", "weight")
+    monkeypatch.setattr(trees, "matrix", lambda *a: pytest.fail("the rows were collected"))
+    estimators = {0: small(), 1: small(seed=2)}
+    found = models.fit_members(spark, {0: rows, 1: rows.limit(500).localCheckpoint()}, estimators, rows.count())
+    assert set(found) == {(key, m) for key in (0, 1) for m in models.MEMBERS}
+    cuts = trees.cuts_of(x)
+    for name, est in estimators[0].items():
+        kind, params, seed = models.tree_spec(est)
+        want = trees.KINDS[kind](trees.binned(x, cuts), target, params, weight, seed)
+        for (f, cut, v), (g, b, w) in zip(found[0, name].trees, want, strict=True):
+            assert (f == g).all() and np.array_equal(v, w) and np.array_equal(cut[f >= 0], cuts[g[f >= 0], b[f >= 0]])
+
+
 def test_growing_a_tree_holds_a_feature_at_a_time():
     import tracemalloc
 
