@@ -32,8 +32,7 @@ _NAME = re.compile(r"<\s*(/?)\s*([a-z][a-z0-9-]*)", re.I)
 _TARGET = re.compile(r"\b(?:href|src)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _ENDS = {name: re.compile(rf"</{name}\s*>", re.I) for name in _DROPPED}
 _TITLE_END = re.compile(r"</title", re.I)
-_BLANKS = re.compile(r"[^\S\n]+")
-_LINES = re.compile(r" *\n[ \n]*")
+_BLANKS = re.compile(r"[^\S\n]{2,}|[^\S \n]")  # a single space stays as it is
 
 
 def pieces(html: str):
@@ -69,35 +68,40 @@ def pieces(html: str):
     yield "text", html[since:]
 
 
-def page_text(html: str) -> str:
-    """The readable text of a page, a line for each block."""
+def page_text(html: str, scanned: list | None = None) -> str:
+    """The readable text of a page, a line for each block. ``scanned``: the page's ``pieces``, if they are known."""
     from html import unescape
 
     out = []
-    for kind, piece, *_ in pieces(html):
+    for part in pieces(html) if scanned is None else scanned:
+        kind = part[0]
         if kind == "text":
-            out.append(piece.replace("\r", " ").replace("\n", " "))
-        else:
-            out.append("\n" if kind in _BREAKS else " " if kind in _CELLS else "")
-    return _LINES.sub("\n", _BLANKS.sub(" ", unescape("".join(out)))).strip()
-
-
-def page_title(html: str) -> str | None:
-    for kind, _, *more in pieces(html):
-        if kind == "title" and more[0]:
-            end = _TITLE_END.search(html, more[1])
-            return page_text(html[more[1] : end.start()]) if end else None
+            piece = part[1]
+            out.append(piece.replace("\r", " ").replace("\n", " ") if "\n" in piece or "\r" in piece else piece)
+        elif kind in _BREAKS:
+            out.append("\n")
+        elif kind in _CELLS:
+            out.append(" ")
+    lines = (line.strip(" ") for line in _BLANKS.sub(" ", unescape("".join(out))).split("\n"))
+    return "\n".join(line for line in lines if line)
+
+
+def page_title(html: str, scanned: list | None = None) -> str | None:
+    for part in pieces(html) if scanned is None else scanned:
+        if part[0] == "title" and part[2]:
+            end = _TITLE_END.search(html, part[3])
+            return page_text(html[part[3] : end.start()]) if end else None
     return None
 
 
-def page_links(html: str) -> list[dict[str, str]]:
+def page_links(html: str, scanned: list | None = None) -> list[dict[str, str]]:
     """Tag and URL of every link, in order."""
     from html import unescape
 
     out = []
-    for kind, raw, *more in pieces(html):
-        if kind in _LINKED and more[0] and (found := _TARGET.search(raw)):
-            out.append({"tag": kind, "url": unescape(found[1].strip("\"'"))})
+    for part in pieces(html) if scanned is None else scanned:
+        if part[0] in _LINKED and part[2] and (found := _TARGET.search(part[1])):
+            out.append({"tag": part[0], "url": unescape(found[1].strip("\"'"))})
     return out
 
 
@@ -166,10 +170,11 @@ def derived(record_id: str | None, headers: dict[str, str], block: bytes) -> lis
 
     status, fields, payload = split_http(block)
     html = page_of(fields, payload)
-    text = page_text(html).encode("utf-8", "replace")
+    scanned = list(pieces(html))  # once for all three
+    text = page_text(html, scanned).encode("utf-8", "replace")
     about = {
-        "Source": headers, "HTTP-Status": status, "HTTP-Headers": fields, "Title": page_title(html),
-        "Links": page_links(html),
+        "Source": headers, "HTTP-Status": status, "HTTP-Headers": fields, "Title": page_title(html, scanned),
+        "Links": page_links(html, scanned),
         "Payload-Digest": digest(payload), "Payload-Length": len(payload), "Text-Digest": digest(text), "Text-Length": len(text),
     }
     out = []

@@ -110,3 +110,11 @@ def test_text_is_that_of_a_plain_parser():
     for _ in range(300):
         html = "".join(rng.choice([*blocks, "one ", "two", " a &amp; b ", "é ", "3 < 4 ", "\n"]) for _ in range(rng.randint(0, 60)))
         assert "\n".join(" ".join(x.split()) for x in warc.page_text(html).split("\n")) == plain_text(html), html
+
+
+def test_a_page_is_scanned_once(monkeypatch):
+    scans, scan = [], warc.pieces
+    monkeypatch.setattr(warc, "pieces", lambda html: scans.append(html) or scan(html))
+    page = "<p>a  b\t</p> \n<p> </p><td>c</td><a href=x>d</a>"
+    (_, _, _, about), (_, _, _, text) = warc.derived("r", {}, page.encode())
+    assert scans == [page] and text == b"a b\nc d" and b'"url": "x"' in about
