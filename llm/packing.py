@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 from llm.common import cut
 
+#: Bytes of text that a worker encodes at once: few, as in a pipeline it starts beside what earlier stages left in memory.
+SLICE_BYTES = 2_000_000
 PIECES = "doc_id {id}, piece int, start bigint, length int, ids_crc32 bigint"
 
 
@@ -34,7 +36,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int, id_col: str
 
         from llm.token_rows import encoded, ended
 
-        for doc_ids, flat, bounds in encoded(batches, tokenizer):
+        for doc_ids, flat, bounds in encoded(batches, tokenizer, SLICE_BYTES):
             at, piece, start, length, crc = [], [], [], [], []
             for i, ids in enumerate(ended(flat, bounds, end_id)):
                 for k, begin in enumerate(range(0, len(ids) // 4, size)):

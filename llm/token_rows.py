@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 8_000_000
 
 
-def encoded(batches, path: str):
+def encoded(batches, path: str, most_bytes: int = SLICE_BYTES):
     """Of Arrow batches (id, text), slice by slice: the ids of documents, their token ids one after the other, and each document's bounds in these.
 
-    Slices are bounded in bytes; what is done with token ids is done here, in the one Python worker
+    Slices are bounded in bytes of text, and a worker's memory grows with them; what is done with token ids is done here, in the one Python worker
     that makes them, and never sent through a second one.
     """
     import pyarrow as pa
@@ -23,7 +23,7 @@ def encoded(batches, path: str):
     known = encoder(path)
     for batch in batches:
         texts = batch.column(1)
-        for a, b in in_batches(texts, SLICE_BYTES):
+        for a, b in in_batches(texts, most_bytes):
             yield batch.column(0).slice(a, b - a), *known.encode(texts.slice(a, b - a))
         pa.default_memory_pool().release_unused()
 

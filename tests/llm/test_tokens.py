@@ -100,6 +100,18 @@ def test_packing(spark, library, odd_docs, odd_texts):
     assert len(sequences) <= -(-total // 256) + 2
 
 
+def test_packing_encodes_few_bytes_at_once(spark, odd_docs, monkeypatch):
+    """A worker's memory follows the bytes that it encodes at once, whatever a batch holds."""
+    from llm import token_rows
+
+    asked, encoded = [], token_rows.encoded
+    monkeypatch.setattr(token_rows, "encoded", lambda *a: asked.append(a[2]) or encoded(*a))
+    batch = pa.RecordBatch.from_pydict({"id": list(range(60)), "text": ["ab cd " * 20_000] * 60})
+    monkeypatch.setattr(type(odd_docs), "mapInArrow", lambda self, run, schema: list(run([batch])))
+    found = packing.pieces(odd_docs, tokenizer_path(), 0, 2048)
+    assert asked == [2_000_000] and len(found) == 4 and sum(b.column("length").to_numpy().sum() for b in found) >= 60 * 40_000
+
+
 def test_sequences_hold_the_ids(spark, odd_docs):
     some = odd_docs.limit(40)
     tokens = tokenised(some, tokenizer_path(), 0)
