@@ -20,9 +20,11 @@ Candidates: rare tokens give pairs, of which those remain that can share m + 1 t
 A combination may be common to any number of documents, so first only its leader is
 paired with the others. Most groups are then one component and done with. Where a
 combination still joins several components, its documents form a cluster, cut into
-blocks by size; pairs of blocks go to tasks, which compare what is not yet in one
-component. No list of all pairs is made, and every pair that could be linked is compared
-or already joined. Candidates are verified on their whole texts' shingles.
+blocks by size. Blocks are compared in themselves first, which joins large groups of near
+copies; of what is open after that, pairs of blocks go to tasks, which compare what is not
+yet in one component. A task returns no more links than join what its links join, fewer
+than the documents it reads. No list of all pairs is made, and every pair that could be
+linked is compared or already joined. Candidates are verified on their whole texts' shingles.
 
 Defined results: without words or text a document has no token and is linked with
 nothing; with fewer words than a shingle the whole sequence is one. Equal rows are
@@ -248,8 +250,32 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
 
 
-def _in_blocks(clusters: DataFrame, sets: DataFrame, percent: int, block: int = 256) -> DataFrame:
-    """Links (a, b) between different components of each cluster. ``clusters``: cluster, head, n, component."""
+def _spanning(x, y):
+    """Places in the links (x, y) of as few as join all nodes that these join."""
+    import numpy as np
+
+    nodes, ends = np.unique(np.concatenate([x, y]), return_inverse=True)
+    label, at, kept = np.arange(len(nodes)), np.arange(len(x)), []
+    x, y = ends[: len(x)], ends[len(x) :]
+    while len(at):
+        # each root that is linked with a smaller one hooks to one of these
+        high, first = np.unique(np.maximum(label[x[at]], label[y[at]]), return_index=True)
+        low = np.minimum(label[x[at]], label[y[at]])[first]
+        high, low, first = high[low < high], low[low < high], first[low < high]
+        kept.append(at[first])
+        label[high] = low
+        while (label[label] != label).any():
+            label = label[label]
+        at = at[label[x[at]] != label[y[at]]]
+    return np.concatenate(kept) if kept else at
+
+
+def _in_blocks(clusters: DataFrame, sets: DataFrame, percent: int, block: int = 256, within: bool = False, spanning: bool = False) -> DataFrame:
+    """Links (a, b) between different components of each cluster. ``clusters``: cluster, head, n, component.
+
+    ``within`` compares each block with itself only. With ``spanning`` a task returns only as many links as join the
+    components that its links join.
+    """
 
     def run(table):
         import numpy as np
@@ -274,18 +300,25 @@ def _in_blocks(clusters: DataFrame, sets: DataFrame, percent: int, block: int =
         union = size[left][:, None] + size[right][None, :] - both
         fits = (100 * both >= percent * union) & (part[left][:, None] != part[right][None, :])
         p, q = np.nonzero(fits)
+        if spanning:
+            some = _spanning(part[left][p], part[right][q])
+            p, q = p[some], q[some]
         return pa.Table.from_pydict({"a": head[left][p], "b": head[right][q]})
 
     # sizes of linked documents are in the same or in neighbouring steps of the threshold
     step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("long")
     rows = clusters.withColumn("step", step)
     counts = rows.groupBy("cluster", "step").agg(F.ceil(F.count("*") / block).alias("blocks"))
-    near = counts.select("cluster", F.col("step").alias("other"), F.col("blocks").alias("others"))
     rows = rows.join(counts, ["cluster", "step"]).withColumn("own", F.pmod(F.xxhash64("head"), F.col("blocks")))
-    rows = rows.join(near, (rows["cluster"] == near["cluster"]) & (near["other"].between(rows["step"] - 1, rows["step"] + 1))).drop(near["cluster"])
-    rows = rows.withColumn("partner", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
-    me, you = F.struct("step", "own"), F.struct(F.col("other").alias("step"), F.col("partner").alias("own"))
-    rows = rows.withColumns({"low": F.least(me, you), "high": F.greatest(me, you), "side": F.when(me == you, 2).when(me < you, 0).otherwise(1)})
+    me = F.struct("step", "own")
+    if within:
+        rows = rows.withColumns({"low": me, "high": me, "side": F.lit(2)})
+    else:
+        near = counts.select("cluster", F.col("step").alias("other"), F.col("blocks").alias("others"))
+        rows = rows.join(near, (rows["cluster"] == near["cluster"]) & (near["other"].between(rows["step"] - 1, rows["step"] + 1))).drop(near["cluster"])
+        rows = rows.withColumn("partner", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
+        you = F.struct(F.col("other").alias("step"), F.col("partner").alias("own"))
+        rows = rows.withColumns({"low": F.least(me, you), "high": F.greatest(me, you), "side": F.when(me == you, 2).when(me < you, 0).otherwise(1)})
     rows = rows.join(sets, "head").select("cluster", "low", "high", "side", "head", "component", "tokens")
     return rows.groupBy("cluster", "low", "high").applyInArrow(run, "a bigint, b bigint")
 
@@ -348,14 +381,18 @@ def similar_sets(docs: DataFrame, size: int = 4, percent: int = 85, id_col: str
     links = cut(_linked(pairs, sets, percent), "links")
     labels = components(links)
 
-    # combinations that still join several components
-    named = led.join(labels.select(F.col("node").alias("head"), "component"), "head", "left").withColumn("component", F.coalesce("component", "head"))
-    open_sigs = named.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("sig")
-    left = cut(named.join(open_sigs, "sig", "left_semi"), "open")
-    if left.limit(1).count():
+    # combinations that still join several components: in blocks, then across them
+    left = led
+    for within in (True, False):
+        named = left.join(labels.select(F.col("node").alias("head"), "component"), "head", "left").withColumn("component", F.coalesce("component", "head"))
+        open_sigs = named.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("sig")
+        named = cut(named.join(open_sigs, "sig", "left_semi"), "open")
+        if not named.limit(1).count():
+            break
+        left = named.drop("component")
         clusters = components(left.where("head <> leader").select(F.col("head").alias("a"), F.col("leader").alias("b")).distinct())
-        rows = left.select("head", "n", "component").distinct().join(clusters.select(F.col("node").alias("head"), F.col("component").alias("cluster")), "head")
-        links = cut(links.union(_in_blocks(rows, sets, percent)), "links")
+        rows = named.select("head", "n", "component").distinct().join(clusters.select(F.col("node").alias("head"), F.col("component").alias("cluster")), "head")
+        links = cut(links.union(_in_blocks(rows, sets, percent, within=within, spanning=True)), "links")
         labels = components(links)
     found = members.join(labels.select(F.col("node").alias("head"), "component"), "head", "left")
     return found.select("key", "doc_id", "n", "head", F.coalesce("component", "head").alias("component"))

@@ -88,3 +88,50 @@ def test_nulls_repeats_and_nothing(spark, no_docs):
     got = ngram_join.joined(spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("tokens", F.lit(1))).collect()
     found = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str)
     assert found == sorted([(None, 2, 4), (4, 2, 4), (4, 2, 4), (None, 0, None), (9, 0, 9)], key=str)
+
+
+def test_links_of_large_groups_of_near_copies_grow_with_the_rows(spark, words, monkeypatch):
+    """A group's links number fewer than the rows its tasks read, and join what all links join."""
+    rng, base, rows = random.Random(4), [f"w{k}" for k in range(60)], []
+    for i in range(300):
+        t = list(base)
+        t[rng.randrange(60)] = f"x{i}"
+        rows.append((i, " ".join(t)))
+    made, blocks = [], ngram_join._in_blocks
+
+    def counted(clusters, sets, percent, **options):
+        links = blocks(clusters, sets, percent, **options)
+        made.append((links.count(), clusters.count()))
+        return links
+
+    monkeypatch.setattr(ngram_join, "_in_blocks", counted)
+    check(spark, rows, 5, 80)
+    assert made and all(n < read for n, read in made)
+
+
+def test_spanning_links():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 5, 60, 400):
+        x, y = rng.integers(0, 50, n) * 7, rng.integers(0, 50, n) * 7 + 3 * (n == 60)
+
+        def joined(x, y, nodes):
+            root = {v: v for v in nodes}
+            for a, b in zip(x.tolist(), y.tolist(), strict=True):
+                while root[a] != a:
+                    a = root[a]
+                while root[b] != b:
+                    b = root[b]
+                root[max(a, b)] = min(a, b)
+
+            def top(v):
+                return v if root[v] == v else top(root[v])
+
+            return {v: top(v) for v in nodes}
+
+        nodes = {*x.tolist(), *y.tolist()}
+        some = ngram_join._spanning(x, y)
+        groups = joined(x, y, nodes)
+        assert joined(x[some], y[some], nodes) == groups
+        assert len(some) == len(nodes) - len(set(groups.values()))
