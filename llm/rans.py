@@ -44,23 +44,28 @@ class Coder:
 
     def encode(self, ids: np.ndarray, lanes: int = 512, every: int = 256) -> bytes:
         """One block; a checkpoint after each ``every`` steps of all lanes."""
-        n, low, shift = len(ids), np.uint64(32), np.uint64(LOW - BITS + 32)
+        n, low = len(ids), np.uint64(32)
         steps = -(-n // lanes)
         freq, start = self.freq[ids], self.start[ids]
         if n and not freq.all():
             raise ValueError("an id without a place in the table")
+        # with x = q * f + r the next state, (q << BITS) + r + c, is x + q * ((1 << BITS) - f) + c
+        limit, rest = freq << np.uint64(LOW - BITS + 32), np.uint64(1 << BITS) - freq
         state = np.full(lanes, 1 << LOW, dtype=np.uint64)
         words, states, marks, total = [], {}, {}, 0
         for t in range(steps - 1, -1, -1):
-            f, c = freq[t * lanes : (t + 1) * lanes], start[t * lanes : (t + 1) * lanes]
-            x = state[: len(f)]
-            full = x >= f << shift
-            if full.any():
-                words.append(x[full].astype(np.uint32))  # the low 32 bits
-                total += len(words[-1])
-                x[full] >>= low
-            q, r = np.divmod(x, f)
-            state[: len(f)] = (q << np.uint64(BITS)) + r + c
+            a, b = t * lanes, min((t + 1) * lanes, n)
+            x = state[: b - a]
+            full = np.flatnonzero(x >= limit[a:b])
+            if len(full):
+                over = x[full]
+                words.append(over.astype(np.uint32))  # the low 32 bits
+                total += len(over)
+                x[full] = over >> low
+            q = x // freq[a:b]
+            q *= rest[a:b]
+            x += q
+            x += start[a:b]
             if t % every == 0:
                 states[t], marks[t] = state.copy(), total
         points = range(0, steps, every)
@@ -77,8 +82,8 @@ class Coder:
         if magic != _MAGIC or crc != self.crc:
             raise ValueError("not a block of this table")
         size = 8 + 8 * lanes
-        words = np.frombuffer(block, "<u4", total, _HEAD.size + points * size)
-        out, mask, bits = [], np.uint64((1 << BITS) - 1), np.uint64(BITS)
+        words = np.frombuffer(block, "<u4", total, _HEAD.size + points * size).astype(np.uint64)
+        out, mask, bits, least, low = [], np.uint64((1 << BITS) - 1), np.uint64(BITS), np.uint64(1 << LOW), np.uint64(32)
         for p in range(first, points if last is None else last):
             at = _HEAD.size + p * size
             read, check = struct.unpack_from("<II", block, at)
@@ -87,14 +92,16 @@ class Coder:
             for t in range(p * every, min((p + 1) * every, -(-n // lanes))):
                 x = state[: min(lanes, n - t * lanes)]
                 slot = x & mask
-                ids = self.id_of[slot]
-                y = self.freq[ids] * (x >> bits) + slot - self.start[ids]
-                empty = y < np.uint64(1 << LOW)
-                k = int(empty.sum())
+                ids = self.id_of.take(slot)
+                x >>= bits
+                x *= self.freq.take(ids)
+                slot -= self.start.take(ids)
+                x += slot
+                empty = np.flatnonzero(x < least)
+                k = len(empty)
                 if k:
-                    y[empty] = (y[empty] << np.uint64(32)) | words[read : read + k]
+                    x[empty] = (x[empty] << low) | words[read : read + k]
                     read += k
-                state[: len(y)] = y
                 got.append(ids)
             part = np.concatenate(got)
             if zlib.crc32(part.astype("<u4").tobytes()) != check:

@@ -28,10 +28,10 @@ class Generations:
         """Those of ``keys`` that are unknown; all others are in ``new`` afterwards."""
         if len(self.new) > self.most:
             self.old, self.new = self.new, {}
-        lacking = keys - self.new.keys()
-        kept = lacking & self.old.keys()
-        self.new.update({k: self.old[k] for k in kept})
-        return lacking - kept
+        lacking, old = keys.difference(self.new), self.old
+        kept = {k: old[k] for k in lacking if k in old}
+        self.new.update(kept)
+        return lacking.difference(kept)
 
 
 def strings(words) -> list[str]:
@@ -99,11 +99,11 @@ class Encoder:
         missing = list(self.parts.missing(set(letters).union(tails.values(), *split.values())))
         self.parts.new.update(zip(missing, self._parts(missing), strict=True))
         known = self.parts.new
-        out = list(map(known.get, cores))
+        out, find = list(map(known.get, cores)), known.__getitem__
         for i, t in tails.items():
             out[i] += known[t]
         for i, ps in split.items():
-            out[i] = b"".join([known[p] for p in ps])
+            out[i] = b"".join(map(find, ps))
         if whole:
             encoded = self.whole.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False)
             for i, e in zip(whole, encoded, strict=True):
@@ -123,12 +123,13 @@ class Encoder:
         place = coded.indices.to_numpy()
         length = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
         flat, start = np.frombuffer(b"".join(ids), dtype="<u4"), np.cumsum(length) - length
-        each = length[place]
+        each = length.take(place)
         ends = np.concatenate([[0], np.cumsum(each)])
-        at = np.repeat(start[place] - ends[:-1], each)
-        at += np.arange(len(at))
+        kind = np.int32 if max(len(flat), ends[-1]) < 1 << 31 else np.int64
+        at = np.repeat((start.take(place) - ends[:-1]).astype(kind), each)
+        at += np.arange(len(at), dtype=kind)
         offsets = words.offsets.to_numpy()
-        return flat[at], ends[offsets - offsets[0]]
+        return flat.take(at), ends[offsets - offsets[0]]
 
     def encode_all(self, texts) -> list[bytes]:
         """The ids of each text of an Arrow array as little-endian unsigned 32-bit bytes."""

@@ -57,6 +57,33 @@ def test_rans_round_trip(n):
             coder.decode(block[:-8] + b"\0" * 8)
 
 
+def test_rans_words_follow_the_definition():
+    """The words of a block, by the definition with one division a symbol, lane by lane."""
+    ids = np.minimum(np.random.default_rng(8).zipf(1.1, 2_003), 40).astype(np.uint32)
+    coder, lanes = Coder(frequencies(np.bincount(ids))), 16
+    states, words = [1 << 31] * lanes, []
+    for t in range(-(-len(ids) // lanes) - 1, -1, -1):
+        given = []
+        for lane, i in enumerate(ids[t * lanes : (t + 1) * lanes].tolist()):
+            x, f, c = states[lane], int(coder.freq[i]), int(coder.start[i])
+            if x >= f << 43:
+                given.append(x & 0xFFFFFFFF)
+                x >>= 32
+            states[lane] = (x // f << 20) + x % f + c
+        words = given + words
+    block = coder.encode(ids, lanes=lanes, every=8)
+    assert words and np.frombuffer(block, "<u4", len(words), len(block) - 4 * len(words)).tolist() == words
+    assert coder.decode(block).tolist() == ids.tolist()
+
+
+def test_generations_keep_what_is_in_use():
+    from llm.tokens import Generations
+
+    kept = Generations(2)
+    kept.new.update(a=1, b=2, c=3)
+    assert kept.missing({"a", "x"}) == {"x"} and kept.new == {"a": 1} and set(kept.old) == {"a", "b", "c"}
+
+
 def test_files_round_trip(spark, library, odd_docs, odd_texts, tmp_path):
     path = str(tmp_path / "files")
     token_files.write(odd_docs, path, tokenizer_path(), end_id=2, block_ids=3000, range_ids=20_000)
