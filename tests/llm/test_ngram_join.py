@@ -135,3 +135,51 @@ def test_spanning_links():
         groups = joined(x, y, nodes)
         assert joined(x[some], y[some], nodes) == groups
         assert len(some) == len(nodes) - len(set(groups.values()))
+
+
+def test_hot_tokens_come_last_and_change_nothing(spark, words, monkeypatch):
+    """Common lines make no clusters of texts that are not alike, and the links are those of all pairs."""
+    rng = random.Random(5)
+    common = [" ".join(rng.choice(words) for _ in range(12)) for _ in range(2)]
+    rows = [(i, " ".join([rng.choice(common), *(f"w{rng.randrange(10**9)}" for _ in range(60))])) for i in range(120)]
+    rows += [(200 + i, t) for i, t in near_copies(words, 3, groups=3, copies=12)]
+    made, blocks = [], ngram_join._in_blocks
+
+    def counted(clusters, sets, percent, **options):
+        made.append(clusters.where("n < 70 and n > 60").count())
+        return blocks(clusters, sets, percent, **options)
+
+    monkeypatch.setattr(ngram_join, "_in_blocks", counted)
+    monkeypatch.setattr(ngram_join, "SAMPLED", 1)
+    check(spark, rows, 4, 85)
+    check(spark, rows, 4, 50)
+    assert not any(made)
+    monkeypatch.setattr(ngram_join, "MOST_HOT", 5)
+    check(spark, rows, 4, 85)
+    for most in (1, 2):
+        monkeypatch.setattr(ngram_join, "HOT", most)
+        monkeypatch.setattr(ngram_join, "MOST_HOT", 1 << 21)
+        check(spark, rows, 4, 85)
+
+
+@pytest.mark.parametrize("rare", [1, 8])
+def test_passes_find_what_one_pass_finds(spark, words, monkeypatch, rare):
+    monkeypatch.setattr(ngram_join, "RARE", rare)
+    monkeypatch.setattr(ngram_join, "PASS_TOKENS", 1)
+    seen, passes = [], ngram_join._passes
+    monkeypatch.setattr(ngram_join, "_passes", lambda tokens, most: seen.append(min(passes(tokens, most), 5)) or seen[-1])
+    rows = near_copies(words, 9, groups=2, copies=40)
+    check(spark, rows, 4, 85)
+    assert max(seen) > 1
+
+
+def test_scratch_tables_and_shuffle_files_go(spark, words):
+    """Only the result is left of what a join writes."""
+    import os
+
+    folder = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(folder))
+    found = ngram_join.similar_sets(spark.createDataFrame(near_copies(words, 1), "doc_id bigint, text string"))
+    assert found.count()
+    assert [x.partition("-")[0] for x in set(os.listdir(folder)) - before] == ["found"]
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
