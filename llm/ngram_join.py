@@ -112,9 +112,9 @@ def _hot(docs: DataFrame, size: int, text_col: str, scratch: Scratch) -> bytes:
         from llm.common import utf8_bytes
         from llm.tokens import in_batches
 
-        hashed = Words()
+        hashed = Words(100_000)
         for batch in batches:
-            for a, b in in_batches(batch.column(0)):
+            for a, b in in_batches(batch.column(0), 2_000_000):
                 sets = [shingles(t.lower().split(), size, hashed) for t in utf8_bytes(batch.column(0).slice(a, b - a))]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["token"])
 
