@@ -393,7 +393,8 @@ def _in_blocks(
         rows = rows.withColumns({"low": F.least(me, you), "high": F.greatest(me, you), "side": F.when(me == you, 2).when(me < you, 0).otherwise(1)})
     if passes > 1:
         rows = rows.where(F.pmod(F.xxhash64("cluster", "low", "high"), F.lit(passes)) == number)
-    rows = rows.join(sets, "head").select("cluster", "low", "high", "side", "head", "component", "tokens")
+    # by sorting: Spark would take the exploded rows for few and broadcast them
+    rows = rows.join(sets.hint("merge"), "head").select("cluster", "low", "high", "side", "head", "component", "tokens")
     return rows.groupBy("cluster", "low", "high").applyInArrow(run, "a bigint, b bigint")
 
 

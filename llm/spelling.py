@@ -10,6 +10,7 @@ anagrams, which are never near each other, make no pairs.
 Classes that share a signature are verified with their words: the letter that one class has and the other
 hasn't says which words to look for, so that a pair of classes costs as much as they have words. Classes
 with many words are cut into chunks. No list of all pairs of a group is made; only near words are.
+Tables that grow with the words are joined by sorting: Spark takes the signatures, exploded from a small compressed file, for a small table and would broadcast them.
 
 Defined results: a null or empty text has no words, a null id counts as an empty text in ``damaged``; equal rows are read as often as they
 occur. A word without near words has none and is its own root. An empty table gives an empty result.
@@ -158,11 +159,11 @@ def near(words: DataFrame, parts: int = PARTS) -> DataFrame:
     ids = cut(classes, "class-ids")
     signed = ids.select("id", "length", F.explode(signatures(F.col("hashes"), parts)).alias("sig"))
     a, b = signed.select("sig", F.col("id").alias("a"), F.col("length").alias("la")), signed.select("sig", F.col("id").alias("b"), F.col("length").alias("lb"))
-    pairs = a.join(b, "sig").where((F.col("a") < F.col("b")) & (F.abs(F.col("la") - F.col("lb")) <= 1)).select("a", "b").distinct()
+    pairs = a.join(b.hint("merge"), "sig").where((F.col("a") < F.col("b")) & (F.abs(F.col("la") - F.col("lb")) <= 1)).select("a", "b").distinct()
 
     # the words of a class, chunk by chunk, as one text: word, n, word, n, ...
     chunk = F.pmod(F.xxhash64("word"), F.col("chunks"))
-    spelt = keyed.join(ids.select("key", "id", "chunks"), "key").groupBy("id", chunk.alias("chunk")).agg(F.array_join(F.collect_list(F.concat_ws(" ", "word", "n")), " ").alias("words"))
+    spelt = keyed.join(ids.select("key", "id", "chunks").hint("merge"), "key").groupBy("id", chunk.alias("chunk")).agg(F.array_join(F.collect_list(F.concat_ws(" ", "word", "n")), " ").alias("words"))
     chunks = cut(spelt.select("id", "words"), "chunks")
 
     def run(batches):
@@ -182,7 +183,7 @@ def near(words: DataFrame, parts: int = PARTS) -> DataFrame:
 
     first = chunks.select(F.col("id").alias("a"), F.col("words").alias("one"))
     second = chunks.select(F.col("id").alias("b"), F.col("words").alias("two"))
-    return pairs.join(first, "a").join(second, "b").select("one", "two").mapInArrow(run, "word string, n bigint, near string, near_n bigint")
+    return pairs.join(first.hint("merge"), "a").join(second.hint("merge"), "b").select("one", "two").mapInArrow(run, "word string, n bigint, near string, near_n bigint")
 
 
 def roots(words: DataFrame) -> DataFrame:
@@ -190,7 +191,7 @@ def roots(words: DataFrame) -> DataFrame:
     step = cut(words.where("form is not null").select("word", F.col("form").alias("root")), "forms")
     while True:
         further = step.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        moved = cut(step.join(further, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
+        moved = cut(step.join(further.hint("merge"), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
         step = moved.select("word", "root")
         if not moved.where("moved").limit(1).count():
             return step
@@ -204,7 +205,7 @@ def variants(words: DataFrame, times: int = 10, parts: int = PARTS) -> DataFrame
     """
     words = cut(words, "words")
     best = near(words, parts).groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("minus"), "near")).alias("best"))
-    found = words.join(best, "word", "left")
+    found = words.join(best.hint("merge"), "word", "left")
     formed = F.when(-F.col("best.minus") >= times * F.col("n"), F.struct(F.col("best.near").alias("form"), (-F.col("best.minus")).alias("form_n")))
     found = cut(found.select("word", "n", F.coalesce("n_near", F.lit(0)).cast("bigint").alias("n_near"), formed.alias("f")).select("word", "n", "n_near", "f.form", "f.form_n"), "variants")
-    return found.join(roots(found), "word", "left").select("word", "n", "n_near", "form", "form_n", F.coalesce("root", "word").alias("root"))
+    return found.join(roots(found).hint("merge"), "word", "left").select("word", "n", "n_near", "form", "form_n", F.coalesce("root", "word").alias("root"))

@@ -98,3 +98,20 @@ def test_nothing(spark):
 def test_undamaged_counts(spark):
     df = spark.createDataFrame([(1, "Spelling spelling spElling short")], "doc_id bigint, text string")
     assert [tuple(r) for r in spelling.counted(df, damage=None).collect()] == [("spelling", 3)]
+
+
+def test_no_table_that_grows_is_broadcast(spark):
+    """Not even those that Spark takes for small: signatures are exploded from a small file."""
+    joins = re.compile("(?:Broadcast|SortMerge|ShuffledHash)\\w*Join")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100m")
+    try:
+        words = spelling.cut(spark.createDataFrame([("lantern", 9), ("lanterns", 90), ("lanternss", 900)], "word string, n bigint"), "words")
+        for found, n in ((spelling.near(words), 3), (spelling.variants(words, times=10), 1)):
+            assert len(found.collect()) in (3, 4)
+            for plan in (found._jdf.queryExecution().sparkPlan(), found._jdf.queryExecution().executedPlan()):
+                assert set(joins.findall(plan.toString())) == {"SortMergeJoin"}
+            assert len(joins.findall(found._jdf.queryExecution().sparkPlan().toString())) == n
+        assert {r.word: r.root for r in found.collect()} == {"lantern": "lanternss", "lanterns": "lanternss", "lanternss": "lanternss"}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
